@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import exact, mixing, packing, simhash
+from corpuscle.llm import exact, langid, mixing, packing, simhash, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,13 +27,32 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+#: The rules of the URL filter.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules).drop("listed")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.curriculum(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op5_simhash_near_dedup, op6_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op4_best_fit_packing, op5_simhash_near_dedup, op6_exact_dedup, op8_language_id, op9_url_filter, op10_mixing)}
 
 
 OP6_SQL = r"""
@@ -48,6 +67,21 @@ WITH d AS (
 SELECT doc_id, keep_id, n AS group_size, place = 1 AS kept, sha256(t) AS text_sha256 FROM g
 """
 
+OP9_SQL = r"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages
+), r(h, p, v) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), f AS (
+  SELECT u.*, CASE WHEN h IS NOT NULL THEN h || p END AS rule, v,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST) AS place
+  FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM f WHERE place = 1
+"""
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS h
@@ -79,4 +113,4 @@ FROM q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op9_url_filter": OP9_SQL, "op10_mixing": OP10_SQL}
