@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuscle.llm import exact, langid, mixing, packing, simhash, urlfilter
+from corpuscle.llm import ann, exact, langid, mixing, packing, simhash, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op5_simhash_near_dedup, op6_exact_dedup, op8_language_id, op9_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op2_rotated_codes, op4_best_fit_packing, op5_simhash_near_dedup, op6_exact_dedup, op8_language_id, op9_url_filter, op10_mixing)}
 
 
 OP6_SQL = r"""
