@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import ann, exact, langid, mixing, packing, simhash, urlfilter
+from corpuscle.llm import ann, exact, hmm, langid, mixing, packing, simhash, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op2_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op3_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), langid.held_out(F.col("doc_id"), 5, 1))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_rotated_codes, op4_best_fit_packing, op5_simhash_near_dedup, op6_exact_dedup, op8_language_id, op9_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op2_rotated_codes, op3_hidden_markov, op4_best_fit_packing, op5_simhash_near_dedup, op6_exact_dedup, op8_language_id, op9_url_filter, op10_mixing)}
 
 
 OP6_SQL = r"""
