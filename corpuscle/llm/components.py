@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import cut
+from corpuscle.llm.common import cut, partitions
+
+#: Links of one task and one checkpoint file; rounds over few links leave few files.
+TASK_LINKS = 500_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,7 +20,8 @@ def components(links: DataFrame) -> DataFrame:
     are never gathered: minima combine map-side and the joins split where a key is hot.
     """
     high, low = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    now = cut(links.where("a <> b").select(high, low).distinct())
+    first = links.where("a <> b").select(high, low).distinct()
+    now = cut(first.coalesce(tasks(links, links.count())))
     state = mark(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -25,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        after = cut(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        after = cut(small.unionByName(least.withColumnRenamed("m", "v")).distinct().coalesce(tasks(links, state[0])))
         now, before = after, state
         state = mark(now)
         if state == before:
@@ -35,6 +39,10 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
+def tasks(links: DataFrame, rows: int) -> int:
+    return partitions(links.sparkSession, rows, TASK_LINKS)
+
+
 def mark(links: DataFrame) -> tuple[int, int]:
     """Number of links and a checksum that doesn't depend on their order."""
     row = links.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()

@@ -233,7 +233,7 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", most: i
     rows = written(fingerprints(docs, text, id, width), "prints")
     prints = rows.groupBy("print").agg(F.min("doc_id").alias("least"))
     roots = components(near_links(prints, most))
-    labelled = cut(prints.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print")))
+    labelled = prints.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = labelled.join(ids, "root").select("print", "component_id")
     return rows.join(classes, "print").select(
