@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import ann, exact, hmm, langid, mixing, packing, simhash, urlfilter
+from corpuscle.llm import ann, exact, hmm, langid, mixing, packing, simhash, urlfilter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+
+
 def op2_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -61,9 +66,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_rotated_codes, op3_hidden_markov, op4_best_fit_packing, op5_simhash_near_dedup, op6_exact_dedup, op8_language_id, op9_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op1_warc_index, op2_rotated_codes, op3_hidden_markov, op4_best_fit_packing, op5_simhash_near_dedup, op6_exact_dedup, op8_language_id, op9_url_filter, op10_mixing)}
 
 
+OP1_SQL = r"""
+WITH u AS (
+  SELECT *, split_part(CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)://(.*)$', 1) ELSE coalesce(url, '') END, '#', 1) AS rest FROM pages
+), p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+         array_to_string(list_reverse(string_split(lower(regexp_extract(rest, '^[^/?]*')), '.')), ',') || ')' || regexp_extract(rest, '(?s)^[^/?]*(.*)$', 1) AS url_key,
+         strftime(make_timestamp((1704067200 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at
+  FROM u
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, url_key, captured_at,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+"""
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t
@@ -122,4 +144,4 @@ FROM q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op9_url_filter": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op1_warc_index": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op9_url_filter": OP9_SQL, "op10_mixing": OP10_SQL}
