@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import ann, exact, hmm, langid, mixing, packing, simhash, urlfilter, warc
+from corpuscle.llm import ann, exact, hmm, langid, mixing, packing, simhash, urlfilter, warc, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.passages(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc_index, op2_rotated_codes, op3_hidden_markov, op4_best_fit_packing, op5_simhash_near_dedup, op6_exact_dedup, op8_language_id, op9_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op1_warc_index, op2_rotated_codes, op3_hidden_markov, op4_best_fit_packing, op5_simhash_near_dedup, op6_exact_dedup, op7_compact_windows, op8_language_id, op9_url_filter, op10_mixing)}
 
 
 OP1_SQL = r"""
