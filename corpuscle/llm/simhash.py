@@ -1,9 +1,13 @@
-"""SimHash near-dedup: Golay-code fuzzy hashing of 64-bit fingerprints."""
+"""SimHash near-dedup: Golay-code fuzzy hashing of 64-bit fingerprints.
+
+near_groups() links fingerprints of four-word shingles by their distance alone. copies() takes fingerprints of the
+words as candidates and verifies them on five-word shingles; it is what drops near copies from a corpus.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -14,6 +18,8 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm.common import cut, written
 from corpuscle.llm.components import components
+from corpuscle.llm.urlfilter import BlockedBloom
+from corpuscle.llm.windows import WordHashes, shingles
 
 SEED = 42
 #: Widths of the segments of a fingerprint, from its lowest bit; each is a word of the code with zeros before it.
@@ -106,15 +112,16 @@ def spanning(prints: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.nda
                 yield np.full(len(hit), x), hit
 
 
-def bucket_links(keys: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the runs of equal keys: all of them in small runs, a spanning forest in longer ones."""
+def bucket_links(keys: np.ndarray, prints: np.ndarray, most: int, chains: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links within the runs of equal keys: all of them in small runs, a spanning forest in longer ones; with
+    chains also links of each print to the next ones in order, for candidates of which some will be refused."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     long_ = sizes > SMALL
     lone = np.repeat(~long_, sizes)
     out = [(prints[:0], prints[:0])]
     for step in range(1, min(SMALL, int(sizes.max(initial=1)))):
-        hit = (keys[step:] == keys[:-step]) & lone[step:]
+        hit = (keys[step:] == keys[:-step]) & (lone[step:] | chains)
         hit[hit] = np.bitwise_count(prints[step:][hit] ^ prints[:-step][hit]) <= most
         out.append((prints[:-step][hit], prints[step:][hit]))
     for start, size in zip(starts[long_], sizes[long_], strict=True):
@@ -125,7 +132,7 @@ def bucket_links(keys: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.nd
 LINKS = "a long, b long, crowded long"
 
 
-def linker(most: int, large: int):
+def linker(most: int, large: int, chains: bool = False):
     """Over batches sorted by key: the links inside each key; of keys with more than `large` rows only the key."""
 
     def rows(a: np.ndarray, b: np.ndarray, crowded: list[int]) -> pa.RecordBatch:
@@ -164,7 +171,7 @@ def linker(most: int, large: int):
             values, counts = np.unique(keys, return_counts=True)
             crowded = values[counts > large]
             fit = ~np.isin(keys, crowded)
-            a, b = bucket_links(keys[fit], prints[fit], most) if fit.any() else (prints[:0], prints[:0])
+            a, b = bucket_links(keys[fit], prints[fit], most, chains) if fit.any() else (prints[:0], prints[:0])
             if len(a) or len(crowded):
                 yield rows(a, b, crowded.tolist())
 
@@ -185,15 +192,14 @@ def keyed(prints: DataFrame) -> DataFrame:
     return prints.select("print").mapInArrow(run, "key long, print long")
 
 
-def near_links(prints: DataFrame, most: int = 4, large: int = LARGE) -> DataFrame:
-    """Distinct fingerprints (print) -> links (a, b) whose components are those of distance `most` (4 or less).
+def near_links(prints: DataFrame, most: int = 4, large: int = LARGE, chains: bool = False) -> DataFrame:
+    """Distinct fingerprints (print) -> links (a, b) whose components are those of distance `most`, up to 5; of greater
+    distances part are found: nine in ten at 6, seven in ten at 7, four in ten at 8.
 
     Keys of more than `large` fingerprints come back unlinked from the first pass. Their rows are then dealt
     into blocks, and each pair of blocks is a key of its own: every pair of rows still meets, in tasks of bounded size.
     """
-    if most > 4:
-        raise ValueError("the keys find distances up to 4")
-    found = cut(keyed(prints).repartition("key").sortWithinPartitions("key", "print").mapInArrow(linker(most, large), LINKS))
+    found = cut(keyed(prints).repartition("key").sortWithinPartitions("key", "print").mapInArrow(linker(most, large, chains), LINKS))
     links = found.where("a is not null").select("a", "b")
     crowded = found.where("crowded is not null").select(F.col("crowded").alias("key")).distinct()
     if crowded.isEmpty():
@@ -205,7 +211,7 @@ def near_links(prints: DataFrame, most: int = 4, large: int = LARGE) -> DataFram
     pairs = dealt.select("key", "print", "block", every).select(
         F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "print"
     )
-    split = pairs.repartition("key").sortWithinPartitions("key", "print").mapInArrow(linker(most, 1 << 62), LINKS)
+    split = pairs.repartition("key").sortWithinPartitions("key", "print").mapInArrow(linker(most, 1 << 62, chains), LINKS)
     return links.unionByName(split.select("a", "b"))
 
 
@@ -241,8 +247,93 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", most: i
     )
 
 
-def without_near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", most: int = 4) -> DataFrame:
-    """The document with the smallest id of each component, with all its columns. Ids must name rows;
-    rows without an id stay."""
-    gone = near_groups(docs, text, id, most).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id) == F.col("__gone"), "left_anti")
+# --- near copies by word shingles ---------------------------------------------------------------
+
+
+def word_print(words: list[bytes], seed: int) -> int:
+    """SimHash of a text's different words of four bytes or more; of all of them where those are few."""
+    different = set(words)
+    long_ = [w for w in different if len(w) >= 4]
+    own = long_ if len(long_) >= 5 else list(different)
+    if not own:
+        return 0
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(seed)), np.uint64, len(own))
+    bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(own), bitorder="little").view(np.uint64)[0])
+
+
+def alike(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
+    """Those of the pairs (a, b) of rows whose sets of five-word shingles have a Jaccard similarity of `similar` or more."""
+    wanted = pairs.selectExpr("a row").unionByName(pairs.selectExpr("b row")).distinct()
+    bloom = docs.sparkSession.sparkContext.broadcast(BlockedBloom.of(wanted.select(F.col("row").cast("string").alias("key"))).blocks)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen = BlockedBloom(bloom.value), WordHashes()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.filter(pa.array(held.may_hold([str(r).encode() for r in batch.column("row").to_pylist()])))
+            own = []
+            for text in batch.column("text"):
+                hashes = shingles(text.as_py(), seen)
+                if not len(hashes):  # fewer than five words: the whole sequence is the only shingle
+                    whole = b" ".join((text.as_py() or "").encode().lower().split())
+                    hashes = np.array([xxhash.xxh64_intdigest(whole)], np.uint64)
+                own.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32)).tobytes())
+            yield pa.record_batch([batch.column("row"), pa.array(own, pa.binary())], names=["row", "own"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("own_a"), batch.column("own_b"), strict=True):
+                one, two = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(both >= similar * (len(one) + len(two) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    parts = docs.select("row", "text").mapInArrow(sets, "row long, own binary").join(wanted, "row", "left_semi").dropDuplicates(["row"])
+    parts = written(parts, "shingle-sets")
+    joined = pairs.join(parts.selectExpr("row a", "own own_a"), "a").join(parts.selectExpr("row b", "own own_b"), "b")
+    return joined.select("a", "b", "own_a", "own_b").mapInArrow(verify, "a long, b long")
+
+
+def copies(docs: DataFrame, text: str = "text", id: str = "doc_id", similar: float = 0.8, most: int = 8, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
+    """(row, keep): for each document, named by a hash of its id and text, the one of its group that stays, the one
+    with the smallest id. A group is what is linked by a Jaccard similarity of `similar` or more of five-word shingle sets.
+
+    Candidates are fingerprints of the words, by each seed, at `most` bits or fewer; each is verified. Documents with
+    one fingerprint are compared with the first of them. Null texts count as empty; texts without words are alike.
+    """
+    name = F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
+    docs = docs.select(name.alias("row"), F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    prints = [f"print{k}" for k in range(len(seeds))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [(t.as_py() or "").encode().lower().split() for t in batch.column("text")]
+            own = [pa.array(np.fromiter((word_print(w, s) for w in words), np.uint64, len(words)).view(np.int64)) for s in seeds]
+            yield pa.record_batch([batch.column("row"), batch.column("doc_id"), *own], names=["row", "doc_id", *prints])
+
+    shape = f"row long, doc_id {kind}, " + ", ".join(f"{p} long" for p in prints)
+    rows = written(docs.mapInArrow(run, shape), "word-prints")
+    found = []
+    for p in prints:
+        firsts = rows.groupBy(F.col(p).alias("print")).agg(F.min("row").alias("first"))
+        found.append(rows.join(firsts, F.col(p) == F.col("print")).where("row <> first").selectExpr("first a", "row b"))
+        near = near_links(firsts.select("print"), most, chains=True).distinct()
+        near = near.join(firsts.selectExpr("print a", "first first_a"), "a").join(firsts.selectExpr("print b", "first first_b"), "b")
+        found.append(near.selectExpr("least(first_a, first_b) a", "greatest(first_a, first_b) b"))
+    pairs = cut(reduce(DataFrame.unionByName, found).distinct())
+    roots = components(alike(pairs, docs, similar))
+    labelled = rows.select("row", "doc_id").join(roots.withColumnRenamed("node", "row"), "row").distinct()
+    stays = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
+    return labelled.join(stays, "root").select("row", F.col("best.row").alias("keep"))
+
+
+def without_near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", similar: float = 0.8) -> DataFrame:
+    """The rows of docs without those that copies() replaces by another, with all their columns. Repeated rows
+    are one document and stay or go together."""
+    gone = copies(docs, text, id, similar).where("row <> keep").select(F.col("row").alias("__row"))
+    name = F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
+    return docs.withColumn("__row", name).join(gone, "__row", "left_anti").select(*docs.columns)

@@ -393,7 +393,7 @@ def passages(
     probability of 0.97.
     """
     least = least_words - SHINGLE + 1
-    name = F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("")), F.col(text))
+    name = F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
     docs = docs.select(name.alias("row"), F.col(id).alias("doc_id"), F.col(text).alias("text"))
     found = written(windows(docs, least), "windows")
     near = cut(regions(linked(found).where("a <> b"), least))
