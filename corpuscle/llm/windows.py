@@ -413,7 +413,7 @@ def passages(
     roots = components(links.selectExpr("node_a a", "node_b b"))
     whole = united.groupBy("node", "row").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("similarity").alias("similarity"))
     names = parts.select("row", "doc_id").distinct()
-    named = whole.join(names, "row").join(roots, "node")
+    named = cut(whole.join(names, "row").join(roots, "node"))  # so that classes are counted map-side before they are dealt out
     classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return named.join(classes, "root").select(
         "doc_id", F.col("s").alias("start_word"), (F.col("e") + SHINGLE - 1).alias("end_word"), "class_id", "class_size", "similarity"
