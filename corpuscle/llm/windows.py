@@ -17,7 +17,7 @@ from corpuscle.llm.urlfilter import BlockedBloom
 #: Words of a shingle and of the shortest passage; hash functions, and how many of them must agree; similarity.
 SHINGLE, LEAST_WORDS, HASHES, AGREE, SIMILAR = 5, 50, 4, 2, 0.8
 #: Words that a task takes at a time; words whose hashes it remembers; centres of a group of equal signatures.
-CHUNK_WORDS, REMEMBERED, CENTRES = 2_000_000, 400_000, 2
+CHUNK_WORDS, REMEMBERED, CENTRES = 1_000_000, 250_000, 2
 #: Next edges of a pair that an edge is compared with; grain to which the ranges that are fetched are widened.
 REACH, GRAIN = 12, 64
 #: Odd multipliers that mix bits.
