@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import cut, written
+from corpuscle.llm.common import cut, partitions, written
 from corpuscle.llm.components import components
 from corpuscle.llm.urlfilter import BlockedBloom
 from corpuscle.llm.windows import WordHashes, shingles
@@ -129,6 +129,8 @@ def bucket_links(keys: np.ndarray, prints: np.ndarray, most: int, chains: bool =
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
+#: Rows of the narrow tables that go into one checkpoint file.
+FILE_ROWS = 250_000
 LINKS = "a long, b long, crowded long"
 
 
@@ -199,7 +201,8 @@ def near_links(prints: DataFrame, most: int = 4, large: int = LARGE, chains: boo
     Keys of more than `large` fingerprints come back unlinked from the first pass. Their rows are then dealt
     into blocks, and each pair of blocks is a key of its own: every pair of rows still meets, in tasks of bounded size.
     """
-    found = cut(keyed(prints).repartition("key").sortWithinPartitions("key", "print").mapInArrow(linker(most, large, chains), LINKS))
+    linked = keyed(prints).repartition("key").sortWithinPartitions("key", "print").mapInArrow(linker(most, large, chains), LINKS)
+    found = cut(linked.repartition(partitions(prints.sparkSession, prints.count(), FILE_ROWS)))  # few rows of many tasks in few files
     links = found.where("a is not null").select("a", "b")
     crowded = found.where("crowded is not null").select(F.col("crowded").alias("key")).distinct()
     if crowded.isEmpty():
@@ -292,7 +295,7 @@ def alike(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     parts = docs.select("row", "text").mapInArrow(sets, "row long, own binary").join(wanted, "row", "left_semi").dropDuplicates(["row"])
-    parts = written(parts, "shingle-sets")
+    parts = written(parts.repartition(partitions(docs.sparkSession, wanted.count(), FILE_ROWS // 10)), "shingle-sets")
     joined = pairs.join(parts.selectExpr("row a", "own own_a"), "a").join(parts.selectExpr("row b", "own own_b"), "b")
     return joined.select("a", "b", "own_a", "own_b").mapInArrow(verify, "a long, b long")
 
@@ -324,7 +327,8 @@ def copies(docs: DataFrame, text: str = "text", id: str = "doc_id", similar: flo
         near = near_links(firsts.select("print"), most, chains=True).distinct()
         near = near.join(firsts.selectExpr("print a", "first first_a"), "a").join(firsts.selectExpr("print b", "first first_b"), "b")
         found.append(near.selectExpr("least(first_a, first_b) a", "greatest(first_a, first_b) b"))
-    pairs = cut(reduce(DataFrame.unionByName, found).distinct())
+    files = partitions(docs.sparkSession, rows.count(), FILE_ROWS)
+    pairs = cut(reduce(DataFrame.unionByName, found).distinct().coalesce(files))
     roots = components(alike(pairs, docs, similar))
     labelled = rows.select("row", "doc_id").join(roots.withColumnRenamed("node", "row"), "row").distinct()
     stays = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
