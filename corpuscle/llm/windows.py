@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import cut, written
+from corpuscle.llm.common import cut, partitions, written
 from corpuscle.llm.components import components
 from corpuscle.llm.urlfilter import BlockedBloom
 
@@ -18,6 +18,8 @@ from corpuscle.llm.urlfilter import BlockedBloom
 SHINGLE, LEAST_WORDS, HASHES, AGREE, SIMILAR = 5, 50, 4, 2, 0.8
 #: Words that a task takes at a time; words whose hashes it remembers; centres of a group of equal signatures.
 CHUNK_WORDS, REMEMBERED, CENTRES = 1_000_000, 250_000, 2
+#: Windows for which the small tables made of them get one file more.
+FILE_WINDOWS = 2_000_000
 #: Next edges of a pair that an edge is compared with; grain to which the ranges that are fetched are widened.
 REACH, GRAIN = 12, 64
 #: Odd multipliers that mix bits.
@@ -396,24 +398,25 @@ def passages(
     name = F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
     docs = docs.select(name.alias("row"), F.col(id).alias("doc_id"), F.col(text).alias("text"))
     found = written(windows(docs, least), "windows")
-    near = cut(regions(linked(found).where("a <> b"), least))
+    files = partitions(docs.sparkSession, found.count(), FILE_WINDOWS)
+    near = cut(regions(linked(found).where("a <> b"), least).repartition(files))
     snap = lambda c, up: ((F.floor(F.col(c) / GRAIN) + up) * GRAIN - up).cast("int")
     pairs = near.select(
         "*", snap("a1", 0).alias("al"), snap("a2", 1).alias("ar"), snap("b1", 0).alias("bl"), snap("b2", 1).alias("br")
     )
     wanted = pairs.selectExpr("a row", "al l", "ar r").unionByName(pairs.selectExpr("b row", "bl l", "br r")).distinct()
-    parts = written(slices(docs, wanted), "slices")
-    shared = cut(checked(pairs, parts, least, similar).distinct())
+    parts = written(slices(docs, wanted).repartition(files), "slices")
+    shared = cut(checked(pairs, parts, least, similar).distinct().coalesce(files))
     sides = shared.selectExpr("a row", "a1 s", "a2 e", "similarity").unionByName(shared.selectExpr("b row", "b1 s", "b2 e", "similarity"))
     spans = sides.groupBy("row", "s", "e").agg(F.max("similarity").alias("similarity"))
-    united = cut(unite(spans))
+    united = cut(unite(spans).coalesce(files))
     ends = united.select("row", "s", "e", "node")
     links = shared.join(ends.selectExpr("row a", "s a1", "e a2", "node node_a"), ["a", "a1", "a2"])
     links = links.join(ends.selectExpr("row b", "s b1", "e b2", "node node_b"), ["b", "b1", "b2"])
     roots = components(links.selectExpr("node_a a", "node_b b"))
     whole = united.groupBy("node", "row").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("similarity").alias("similarity"))
     names = parts.select("row", "doc_id").distinct()
-    named = cut(whole.join(names, "row").join(roots, "node"))  # so that classes are counted map-side before they are dealt out
+    named = cut(whole.join(names, "row").join(roots, "node").coalesce(files))  # so that classes are counted map-side before they are dealt out
     classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return named.join(classes, "root").select(
         "doc_id", F.col("s").alias("start_word"), (F.col("e") + SHINGLE - 1).alias("end_word"), "class_id", "class_size", "similarity"
