@@ -34,10 +34,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives lost executors, keeps columns prunable."""
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage, survives lost executors, keeps columns prunable.
+    narrow: a few bytes of each row of a large table; Spark deals them into files by size, not one for each task."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.hint("rebalance") if narrow else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

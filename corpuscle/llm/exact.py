@@ -51,6 +51,7 @@ def exact_groups(
             F.sha2("normal", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row"),
         ),
         "exact-rows",
+        narrow=True,
     )
     order = F.struct(-F.col("chars"), F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
     groups = rows.groupBy("h", "apart").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))

@@ -78,6 +78,7 @@ def curriculum(
             F.monotonically_increasing_id().alias("row"),
         ),
         "mix-rows",
+        narrow=True,
     )
     n = rows.count()
     digits = next(d for d in range(1, 33) if n <= bucket_rows * 16**d)

@@ -137,6 +137,7 @@ def pack(
             words_in(F.col(text)).alias("words"), F.monotonically_increasing_id().alias("row"),
         ),
         "pack-rows",
+        narrow=True,
     )
     whole = F.floor(F.col("words") / capacity).cast("int")
     full = (

@@ -239,7 +239,7 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", most: i
     all of it are null. Repeated rows come back each. An empty table gives an empty result; other columns are not read.
     Copies share a fingerprint, and only distinct fingerprints are keyed, linked and joined.
     """
-    rows = written(fingerprints(docs, text, id, width), "prints")
+    rows = written(fingerprints(docs, text, id, width), "prints", narrow=True)
     prints = rows.groupBy("print").agg(F.min("doc_id").alias("least"))
     roots = components(near_links(prints, most))
     labelled = prints.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
@@ -319,7 +319,7 @@ def copies(docs: DataFrame, text: str = "text", id: str = "doc_id", similar: flo
             yield pa.record_batch([batch.column("row"), batch.column("doc_id"), *own], names=["row", "doc_id", *prints])
 
     shape = f"row long, doc_id {kind}, " + ", ".join(f"{p} long" for p in prints)
-    rows = written(docs.mapInArrow(run, shape), "word-prints")
+    rows = written(docs.mapInArrow(run, shape), "word-prints", narrow=True)
     found = []
     for p in prints:
         firsts = rows.groupBy(F.col(p).alias("print")).agg(F.min("row").alias("first"))
