@@ -105,6 +105,32 @@ def segmenter(phrases: Iterable[str]):
     return lambda text: " ".join(longest_match(text.split(), known, most))
 
 
+#: Terms that are joined already, such as `rtx_3060_ti`; marks around which words are told apart; runs of blanks.
+TERM, STOPS, MARKS, BLANKS = re.compile(r"\b\w+(?:_\w+)+\b"), re.compile(r"(?<!\d)[.,](?!\d)"), re.compile(r"[!?;:()\[\]{}”\"’']"), re.compile(r"[ \t]{2,}")
+
+
+def term_segmenter(phrases: Iterable[str], fixed: bool = False):
+    """Segmentation that leaves joined terms whole. Stops and commas that aren't between digits are set apart; other
+    marks are deleted, or set apart as well if fixed."""
+    segment = segmenter(phrases)
+
+    def run(text: str) -> str:
+        terms: list[str] = []
+
+        def mask(found: re.Match) -> str:
+            terms.append(found[0])
+            return f"MASKEDENTTOKEN{len(terms) - 1}X"
+
+        own = TERM.sub(mask, text)
+        own = MARKS.sub(lambda m: f" {m[0]} " if fixed else "  ", STOPS.sub(lambda m: f" {m[0]} ", own))
+        own = segment(BLANKS.sub(" ", own).strip())
+        for k in range(len(terms) - 1, -1, -1):  # the last first: a name may begin with another
+            own = own.replace(f"MASKEDENTTOKEN{k}X", terms[k])
+        return BLANKS.sub(" ", own).strip()
+
+    return run
+
+
 def translator(entries: list[tuple[str, str]]):
     """Applies a slang dictionary: longest key first, whole words, any case, one key after another, so a later key
     may rewrite what an earlier one put in. Values are literal."""

@@ -21,13 +21,13 @@ def token_rows(df: DataFrame, id: list[str], text: str) -> DataFrame:
 def pairs(df: DataFrame, id: list[str], text: str) -> DataFrame:
     """(id..., pos, tok, next, pair, before) for every token: the pairs with the next token and with the one before,
     null at the ends. Neighbours are taken inside the row's array, so nothing is shuffled."""
-    own = df.select(*id, tokens(F.col(text)).alias("t"))
-    none, n = F.array(F.lit(None).cast("string")), F.greatest(F.size("t") - 1, F.lit(0))
-    cells = F.arrays_zip(F.col("t").alias("tok"), F.slice("t", F.lit(2), n).alias("next"), F.concat(none, F.slice("t", F.lit(1), n)).alias("prev"))
-    rows = own.where(F.size("t") > 0).select(*id, F.posexplode(cells).alias("pos", "p"))
+    own = df.select(*id, tokens(F.col(text)).alias("__t"))
+    none, n = F.array(F.lit(None).cast("string")), F.greatest(F.size("__t") - 1, F.lit(0))
+    cells = F.arrays_zip(F.col("__t").alias("tok"), F.slice("__t", F.lit(2), n).alias("next"), F.concat(none, F.slice("__t", F.lit(1), n)).alias("prev"))
+    rows = own.where(F.size("__t") > 0).select(*id, F.posexplode(cells).alias("pos", "__p"))
     return rows.select(
-        *id, "pos", F.col("p.tok").alias("tok"), F.col("p.next").alias("next"),
-        F.concat(F.col("p.tok"), F.lit(" "), F.col("p.next")).alias("pair"), F.concat(F.col("p.prev"), F.lit(" "), F.col("p.tok")).alias("before"),
+        *id, "pos", F.col("__p.tok").alias("tok"), F.col("__p.next").alias("next"),
+        F.concat(F.col("__p.tok"), F.lit(" "), F.col("__p.next")).alias("pair"), F.concat(F.col("__p.prev"), F.lit(" "), F.col("__p.tok")).alias("before"),
     )
 
 

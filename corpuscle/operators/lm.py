@@ -21,11 +21,11 @@ MIX = 0.7
 
 def steps(df: DataFrame, id: list[str], text: str) -> DataFrame:
     """(id..., pos from 1, prev, label): each word with the one before; `<sos>` before the first, `<eos>` at the end."""
-    own = df.select(*id, words(F.col(text)).alias("w"))
-    labels = F.concat("w", F.array(F.lit("<eos>")))
-    prev = F.concat(F.array(F.lit("<sos>")), F.col("w"))
-    rows = own.select(*id, F.posexplode(F.arrays_zip(prev.alias("prev"), labels.alias("label"))).alias("pos", "s"))
-    return rows.select(*id, (F.col("pos") + 1).alias("pos"), F.col("s.prev").alias("prev"), F.col("s.label").alias("label"))
+    own = df.select(*id, words(F.col(text)).alias("__w"))
+    labels = F.concat("__w", F.array(F.lit("<eos>")))
+    prev = F.concat(F.array(F.lit("<sos>")), F.col("__w"))
+    rows = own.select(*id, F.posexplode(F.arrays_zip(prev.alias("prev"), labels.alias("label"))).alias("__pos", "__s"))
+    return rows.select(*id, (F.col("__pos") + 1).alias("pos"), F.col("__s.prev").alias("prev"), F.col("__s.label").alias("label"))
 
 
 def bigrams(train: DataFrame, text: str) -> DataFrame:

@@ -40,9 +40,9 @@ def encode(df: DataFrame, id: list[str], text: str, vocab: DataFrame, marks: boo
 
 def decode(df: DataFrame, id: list[str], ids: str, vocab: DataFrame, skip: tuple[int, ...] = (SOS, EOS, PAD)) -> DataFrame:
     """(id..., text): the words of the indices, joined by blanks; unknown indices as <unk>, special ones left out."""
-    own = df.select(*id, F.posexplode_outer(ids).alias("pos", "idx")).where(F.col("idx").isNull() | ~F.col("idx").isin(*skip))
+    own = df.select(*id, F.posexplode_outer(ids).alias("pos", "idx"))
     found = own.join(vocab.select("word", "idx"), "idx", "left")
-    pair = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("word", F.lit("<unk>")).alias("word")))
+    pair = F.when(F.col("pos").isNotNull() & ~F.coalesce("idx", F.lit(UNK)).isin(*skip), F.struct("pos", F.coalesce("word", F.lit("<unk>")).alias("word")))
     return found.groupBy(*id).agg(F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["word"]), " ").alias("text"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.functions import html, rules, text, udfs
+from corpuscle.functions import bpe, html, rules, text, udfs
 from corpuscle.operators import dedup, lexicon, lm, metrics, sequences, split, vocab
 from corpuscle.sources import readers
 from corpuscle.streaming import ingest
@@ -286,8 +287,18 @@ def word_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = lexicon.pairs(table(spark, sf_dir, "benchmark"), ["item_id"], "text").where("pair is not null").groupBy("pair").count()
     phrases = [r.pair for r in counts.orderBy(F.desc("count"), "pair").limit(1000).collect()]
     own = lines(spark, sf_dir).where(~text.is_blank(F.col("line")))
-    spaced = text.strip(text.rewrite(F.col("line"), rules.SEGMENT_MARKS))
-    return own.select("doc_id", "line_no", udfs.each(udfs.segmenter(phrases))(spaced).alias("segmented"))
+    return own.select("doc_id", "line_no", udfs.each(udfs.term_segmenter(phrases))(F.col("line")).alias("segmented"))
+
+
+#: Where the vocabulary of the BPE query lies; a parameter of the operator.
+BPE_FILE = os.environ.get("CORPUSCLE_BPE", "/opt/tokenizers/byte_bpe_50k.json")
+
+
+@query()
+def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids up to 128 of each document: the limit is the operator's, for sequences of a fixed length."""
+    docs = table(spark, sf_dir, "documents").withColumn("ids", bpe.encode(F.col("text"), BPE_FILE, 128))
+    return docs.select("doc_id", F.size("ids").alias("n"), joined("ids").alias("md5"))
 
 
 # ---- tokens, lexicon, vocabulary -----------------------------------------------------------------

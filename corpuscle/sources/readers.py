@@ -31,6 +31,13 @@ def json_text(line: Column, key: str = "text") -> Column:
     return F.when(parsed.isNull(), line).otherwise(F.coalesce(F.try_variant_get(parsed, f"$['{key}']", "string"), F.lit("")))
 
 
+def json_updated(line: Column, key: str, value: Column) -> Column:
+    """The JSON object with one key set, its other keys as they are."""
+    own = F.from_json(line, "map<string,variant>")
+    rest = F.map_filter(own, lambda k, _: k != key)
+    return F.to_json(F.map_concat(rest, F.create_map(F.lit(key), F.parse_json(F.to_json(F.struct(value.alias("v")))))))
+
+
 def tolerant_json(spark: SparkSession, path: str, key: str | None = None, is_json: bool | None = None) -> DataFrame:
     """(value, text): lines of any file. They are JSON if a key is given or the name ends in .json or .jsonl."""
     lines = text_lines(spark, path)
