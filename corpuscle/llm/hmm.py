@@ -19,6 +19,8 @@ from corpuscle.llm.common import scratch_path
 STATES = 8
 #: Words with an emission of their own, at most, and their least count; the rest emit one of CLASSES shapes.
 HEAD_WORDS, HEAD_LEAST, CLASSES = 1 << 18, 16, 256
+#: Bytes of a head word, at most, so the table of them has a bounded size.
+HEAD_BYTES = 64
 #: Tokens of the sample that training starts from, its rounds, and the rounds over the whole corpus.
 SAMPLE_TOKENS, SAMPLE_ROUNDS, ROUNDS = 400_000, 12, 2
 #: Weight, in tokens, of the unigram distribution in each state's emissions.
@@ -306,7 +308,7 @@ def head_of(counts: DataFrame, head_words: int) -> Head:
         if held + r["count"] > head_words or r["n"] < HEAD_LEAST:
             break
         least, held = r["n"], held + r["count"]
-    is_head = ((F.col("n") >= least) & F.lit(held > 0)) | (F.length("word") == 0)
+    is_head = ((F.col("n") >= least) & F.lit(held > 0) & (F.length("word") <= HEAD_BYTES)) | (F.length("word") == 0)
     top = sorted((bytes(r["word"]), r["n"]) for r in counts.where(is_head).select("word", "n").collect())
     rest = {r["shape"]: (r["t"], r["w"]) for r in counts.where(~is_head).groupBy("shape").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("w")).collect()}
     by_class = np.array([rest.get(k, (0, 0)) for k in range(CLASSES)], np.int64)

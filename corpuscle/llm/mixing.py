@@ -58,7 +58,7 @@ def curriculum(
 ) -> DataFrame:
     """One row per document: how many words the mix takes of it and when, range-sorted by first position.
 
-    A source's documents stand in the order of md5(id), then id: a stream of words that is read
+    A source's documents stand in the order of md5(id), id and size: a stream of words that is read
     again from its start when it ends. A document is taken whole, once for each time that the
     middle of its words in that stream lies before the source's target: so a source's words come
     within half a document of its target, and no document is taken more than `most` times, rounded up.
@@ -98,7 +98,7 @@ def curriculum(
     )
     b = buckets.withColumnsRenamed({"source": "__s", "bucket": "__b"})
     placed = rows.join(b, F.col("source").eqNullSafe(F.col("__s")) & (F.col("bucket") == F.col("__b")))
-    inside = Window.partitionBy("rank", "bucket").orderBy("h", F.col("doc_id").asc_nulls_last(), "row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("rank", "bucket").orderBy("h", F.col("doc_id").asc_nulls_last(), "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     middle = F.col("start") + F.col("size") / F.lit(2.0)
     times = F.when(
@@ -120,13 +120,13 @@ def mixed(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str =
     training position. Ids must name rows; a document that the mix doesn't take is not in it."""
     plan = curriculum(docs, text, id, source, **how).where("times > 0")
     copies = plan.select(
-        F.col("doc_id").alias("__id"), "h", "start", "source_size", "target", "rate_start", "rate_end",
-        F.explode(F.sequence(F.lit(0), F.col("times").cast("int") - 1)).alias("pass"),
+        F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "start", "source_size", "target", "rate_start", "rate_end",
+        F.explode(F.sequence(F.lit(0), F.col("times").cast("int") - 1)).alias("__pass"),
     )
-    share = (F.col("start") + F.col("pass") * F.col("source_size")) / F.col("target")
-    copies = copies.select("__id", "h", "pass", reached(share, F.col("rate_start"), F.col("rate_end")).alias("__at"))
+    share = (F.col("start") + F.col("__pass") * F.col("source_size")) / F.col("target")
+    copies = copies.select("__id", "__h", "__pass", reached(share, F.col("rate_start"), F.col("rate_end")).alias("__at"))
     return (
         docs.join(copies, F.col(id).eqNullSafe(F.col("__id")))
-        .orderBy("__at", "h", "pass")
+        .orderBy("__at", "__h", "__pass")
         .select(*[docs[c] for c in docs.columns])
     )

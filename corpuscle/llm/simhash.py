@@ -26,8 +26,8 @@ SEED = 42
 SEGMENTS = (22, 21, 21)
 #: Fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, which generates the (23, 12) Golay code.
 GENERATOR = 0b110001110101
-#: A bucket of fingerprints up to which all pairs are compared at once, and up to which one task takes it.
-SMALL, LARGE = 8, 20_000
+#: A bucket of fingerprints up to which all pairs are linked, and up to which one task takes it (by all distances at once).
+SMALL, LARGE, LARGE_CENTRED = 8, 20_000, 2000
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -112,20 +112,34 @@ def spanning(prints: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.nda
                 yield np.full(len(hit), x), hit
 
 
-def bucket_links(keys: np.ndarray, prints: np.ndarray, most: int, chains: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the runs of equal keys: all of them in small runs, a spanning forest in longer ones; with
-    chains also links of each print to the next ones in order, for candidates of which some will be refused."""
+def centred(prints: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links to the print that has the most others at distance `most` or less, then to the next such one among the
+    rest: the original of many near copies is closer to each than they are to each other."""
+    left = prints
+    while len(left) > 1:
+        near = np.bitwise_count(left[:, None] ^ left[None, :]) <= most
+        centre = int(near.sum(axis=1).argmax())
+        hit = near[centre].copy()
+        hit[centre] = False
+        if not hit.any():
+            return
+        yield np.full(int(hit.sum()), left[centre]), left[hit]
+        left = left[~near[centre]]
+
+
+def bucket_links(keys: np.ndarray, prints: np.ndarray, most: int, forest=spanning) -> tuple[np.ndarray, np.ndarray]:
+    """Links within the runs of equal keys: all of them in small runs, a forest of them in longer ones."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     long_ = sizes > SMALL
     lone = np.repeat(~long_, sizes)
     out = [(prints[:0], prints[:0])]
     for step in range(1, min(SMALL, int(sizes.max(initial=1)))):
-        hit = (keys[step:] == keys[:-step]) & (lone[step:] | chains)
+        hit = (keys[step:] == keys[:-step]) & lone[step:]
         hit[hit] = np.bitwise_count(prints[step:][hit] ^ prints[:-step][hit]) <= most
         out.append((prints[:-step][hit], prints[step:][hit]))
     for start, size in zip(starts[long_], sizes[long_], strict=True):
-        out.extend(spanning(prints[start : start + size], most))
+        out.extend(forest(prints[start : start + size], most))
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
@@ -134,7 +148,7 @@ FILE_ROWS = 250_000
 LINKS = "a long, b long, crowded long"
 
 
-def linker(most: int, large: int, chains: bool = False):
+def linker(most: int, large: int, forest=spanning):
     """Over batches sorted by key: the links inside each key; of keys with more than `large` rows only the key."""
 
     def rows(a: np.ndarray, b: np.ndarray, crowded: list[int]) -> pa.RecordBatch:
@@ -173,7 +187,7 @@ def linker(most: int, large: int, chains: bool = False):
             values, counts = np.unique(keys, return_counts=True)
             crowded = values[counts > large]
             fit = ~np.isin(keys, crowded)
-            a, b = bucket_links(keys[fit], prints[fit], most, chains) if fit.any() else (prints[:0], prints[:0])
+            a, b = bucket_links(keys[fit], prints[fit], most, forest) if fit.any() else (prints[:0], prints[:0])
             if len(a) or len(crowded):
                 yield rows(a, b, crowded.tolist())
 
@@ -194,14 +208,14 @@ def keyed(prints: DataFrame) -> DataFrame:
     return prints.select("print").mapInArrow(run, "key long, print long")
 
 
-def near_links(prints: DataFrame, most: int = 4, large: int = LARGE, chains: bool = False) -> DataFrame:
+def near_links(prints: DataFrame, most: int = 4, large: int = LARGE, forest=spanning) -> DataFrame:
     """Distinct fingerprints (print) -> links (a, b) whose components are those of distance `most`, up to 5; of greater
     distances part are found: nine in ten at 6, seven in ten at 7, four in ten at 8.
 
     Keys of more than `large` fingerprints come back unlinked from the first pass. Their rows are then dealt
     into blocks, and each pair of blocks is a key of its own: every pair of rows still meets, in tasks of bounded size.
     """
-    linked = keyed(prints).repartition("key").sortWithinPartitions("key", "print").mapInArrow(linker(most, large, chains), LINKS)
+    linked = keyed(prints).repartition("key").sortWithinPartitions("key", "print").mapInArrow(linker(most, large, forest), LINKS)
     found = cut(linked.repartition(partitions(prints.sparkSession, prints.count(), FILE_ROWS)))  # few rows of many tasks in few files
     links = found.where("a is not null").select("a", "b")
     crowded = found.where("crowded is not null").select(F.col("crowded").alias("key")).distinct()
@@ -214,7 +228,7 @@ def near_links(prints: DataFrame, most: int = 4, large: int = LARGE, chains: boo
     pairs = dealt.select("key", "print", "block", every).select(
         F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "print"
     )
-    split = pairs.repartition("key").sortWithinPartitions("key", "print").mapInArrow(linker(most, 1 << 62, chains), LINKS)
+    split = pairs.repartition("key").sortWithinPartitions("key", "print").mapInArrow(linker(most, 1 << 62, forest), LINKS)
     return links.unionByName(split.select("a", "b"))
 
 
@@ -265,9 +279,9 @@ def word_print(words: list[bytes], seed: int) -> int:
     return int(np.packbits(2 * bits > len(own), bitorder="little").view(np.uint64)[0])
 
 
-def alike(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
-    """Those of the pairs (a, b) of rows whose sets of five-word shingles have a Jaccard similarity of `similar` or more."""
-    wanted = pairs.selectExpr("a row").unionByName(pairs.selectExpr("b row")).distinct()
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row, own): the wanted documents' sets of five-word shingles as sorted 32-bit hashes. A Bloom filter of bounded size
+    keeps the others from being shuffled."""
     bloom = docs.sparkSession.sparkContext.broadcast(BlockedBloom.of(wanted.select(F.col("row").cast("string").alias("key"))).blocks)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,6 +299,13 @@ def alike(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
                 own.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32)).tobytes())
             yield pa.record_batch([batch.column("row"), pa.array(own, pa.binary())], names=["row", "own"])
 
+    parts = docs.select("row", "text").mapInArrow(sets, "row long, own binary").join(wanted, "row", "left_semi").dropDuplicates(["row"])
+    return written(parts.repartition(partitions(docs.sparkSession, wanted.count(), FILE_ROWS // 10)), "shingle-sets")
+
+
+def alike(pairs: DataFrame, parts: DataFrame, similar: float) -> DataFrame:
+    """Those of the pairs (a, b) of rows whose sets have a Jaccard similarity of `similar` or more."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -294,18 +315,34 @@ def alike(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
                 keep.append(both >= similar * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    parts = docs.select("row", "text").mapInArrow(sets, "row long, own binary").join(wanted, "row", "left_semi").dropDuplicates(["row"])
-    parts = written(parts.repartition(partitions(docs.sparkSession, wanted.count(), FILE_ROWS // 10)), "shingle-sets")
     joined = pairs.join(parts.selectExpr("row a", "own own_a"), "a").join(parts.selectExpr("row b", "own own_b"), "b")
     return joined.select("a", "b", "own_a", "own_b").mapInArrow(verify, "a long, b long")
 
 
-def copies(docs: DataFrame, text: str = "text", id: str = "doc_id", similar: float = 0.8, most: int = 8, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
+def candidates(rows: DataFrame, prints: list[str], most: int) -> DataFrame:
+    """Distinct pairs (a, b) of rows to verify: the first rows of fingerprints that are close under one of the seeds,
+    and each row with the first and the last one of its fingerprint."""
+    found = []
+    for p in prints:
+        ends = rows.groupBy(F.col(p).alias("print")).agg(F.min("row").alias("first"), F.max("row").alias("last"))
+        same = rows.select("row", F.col(p).alias("print")).join(ends, "print")
+        both = F.explode(F.array("first", "last")).alias("a")
+        found.append(same.where("first <> last").select(both, F.col("row").alias("b")).where("a <> b"))
+        near = near_links(ends.select("print"), most, LARGE_CENTRED, centred).distinct()
+        near = near.join(ends.selectExpr("print a", "first first_a"), "a").join(ends.selectExpr("print b", "first first_b"), "b")
+        found.append(near.selectExpr("first_a a", "first_b b"))
+    every = reduce(DataFrame.unionByName, found)
+    return every.selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
+
+
+def copies(docs: DataFrame, text: str = "text", id: str = "doc_id", similar: float = 0.8, most: int = 6, seeds: tuple[int, ...] = (42, 43), rounds: int = 2) -> DataFrame:
     """(row, keep): for each document, named by a hash of its id and text, the one of its group that stays, the one
     with the smallest id. A group is what is linked by a Jaccard similarity of `similar` or more of five-word shingle sets.
 
-    Candidates are fingerprints of the words, by each seed, at `most` bits or fewer; each is verified. Documents with
-    one fingerprint are compared with the first of them. Null texts count as empty; texts without words are alike.
+    Candidates are fingerprints of the words, by each seed, at `most` bits or fewer, linked to the centres of each bucket;
+    each is verified. A later round takes the representatives of what was linked or refused before, among which other
+    centres come up. Documents with one fingerprint are compared with the first and the last of them. Null texts count
+    as empty; texts without words are alike.
     """
     name = F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
     docs = docs.select(name.alias("row"), F.col(id).alias("doc_id"), F.col(text).alias("text"))
@@ -320,16 +357,17 @@ def copies(docs: DataFrame, text: str = "text", id: str = "doc_id", similar: flo
 
     shape = f"row long, doc_id {kind}, " + ", ".join(f"{p} long" for p in prints)
     rows = written(docs.mapInArrow(run, shape), "word-prints", narrow=True)
-    found = []
-    for p in prints:
-        firsts = rows.groupBy(F.col(p).alias("print")).agg(F.min("row").alias("first"))
-        found.append(rows.join(firsts, F.col(p) == F.col("print")).where("row <> first").selectExpr("first a", "row b"))
-        near = near_links(firsts.select("print"), most, chains=True).distinct()
-        near = near.join(firsts.selectExpr("print a", "first first_a"), "a").join(firsts.selectExpr("print b", "first first_b"), "b")
-        found.append(near.selectExpr("least(first_a, first_b) a", "greatest(first_a, first_b) b"))
     files = partitions(docs.sparkSession, rows.count(), FILE_ROWS)
-    pairs = cut(reduce(DataFrame.unionByName, found).distinct().coalesce(files))
-    roots = components(alike(pairs, docs, similar))
+    active, links, parts, roots = rows, None, None, None
+    for _ in range(rounds):
+        pairs = cut(candidates(active, prints, most).coalesce(files))
+        linked = pairs.selectExpr("a row").unionByName(pairs.selectExpr("b row")).distinct()
+        parts = shingle_sets(docs, linked) if parts is None else parts  # later rounds' rows are among the first's
+        good = cut(alike(pairs, parts, similar).coalesce(files))
+        links = good if links is None else links.unionByName(good)
+        roots = components(links)
+        stay = linked.join(roots.where("node <> root").selectExpr("node row"), "row", "left_anti")
+        active = rows.join(stay, "row", "left_semi")
     labelled = rows.select("row", "doc_id").join(roots.withColumnRenamed("node", "row"), "row").distinct()
     stays = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
     return labelled.join(stays, "root").select("row", F.col("best.row").alias("keep"))
