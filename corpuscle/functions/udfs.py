@@ -119,13 +119,12 @@ def term_segmenter(phrases: Iterable[str], fixed: bool = False):
 
         def mask(found: re.Match) -> str:
             terms.append(found[0])
-            return f"MASKEDENTTOKEN{len(terms) - 1}X"
+            return f"\ue000{len(terms) - 1}\ue001"  # letters for private use, which texts don't have
 
         own = TERM.sub(mask, text)
         own = MARKS.sub(lambda m: f" {m[0]} " if fixed else "  ", STOPS.sub(lambda m: f" {m[0]} ", own))
         own = segment(BLANKS.sub(" ", own).strip())
-        for k in range(len(terms) - 1, -1, -1):  # the last first: a name may begin with another
-            own = own.replace(f"MASKEDENTTOKEN{k}X", terms[k])
+        own = re.sub("\ue000(\\d+)\ue001", lambda m: terms[int(m[1])], own)
         return BLANKS.sub(" ", own).strip()
 
     return run
