@@ -149,68 +149,68 @@ LINKS = "a long, b long, crowded long"
 
 
 def linker(most: int, large: int, forest=spanning):
-    """Over batches sorted by key: the links inside each key; of keys with more than `large` rows only the key."""
+    """Over batches (key, print, name) sorted by key: links between the names of prints inside each key; of keys with
+    more than `large` rows only the key."""
 
     def rows(a: np.ndarray, b: np.ndarray, crowded: list[int]) -> pa.RecordBatch:
-        none = pa.nulls(len(a), pa.int64())
+        blank = pa.nulls(len(crowded), pa.int64())
         return pa.record_batch(
             [
-                pa.concat_arrays([pa.array(a.view(np.int64)), pa.nulls(len(crowded), pa.int64())]),
-                pa.concat_arrays([pa.array(b.view(np.int64)), pa.nulls(len(crowded), pa.int64())]),
-                pa.concat_arrays([none, pa.array(crowded, pa.int64())]),
+                pa.concat_arrays([pa.array(a), blank]), pa.concat_arrays([pa.array(b), blank]),
+                pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(crowded, pa.int64())]),
             ],
             names=["a", "b", "crowded"],
-        )
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, prints, skipped = np.empty(0, np.int64), np.empty(0, np.uint64), None
+        held, skipped = np.empty((3, 0), np.int64), None
         for batch in batches:
-            k = batch.column(0).to_numpy(zero_copy_only=False)
-            p = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            own = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             if skipped is not None:
-                k, p = k[k != skipped], p[k != skipped]
-            if not len(k):
+                own = own[:, own[0] != skipped]
+            if not own.shape[1]:
                 continue
             skipped = None
-            keys, prints = np.concatenate([keys, k]), np.concatenate([prints, p])
-            last = np.searchsorted(keys, keys[-1])
-            whole, tail, keys, prints = (keys[:last], prints[:last]), keys[-1], keys[last:], prints[last:]
-            yield from closed(*whole)
-            if len(keys) > large:
-                skipped = int(tail)
-                yield rows(prints[:0], prints[:0], [skipped])
-                keys, prints = keys[:0], prints[:0]
-        yield from closed(keys, prints)
-
-    def closed(keys: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(keys):
-            values, counts = np.unique(keys, return_counts=True)
+            held = np.concatenate([held, own], axis=1)
+            last = np.searchsorted(held[0], held[0, -1])
+            yield from closed(held[:, :last])
+            held = held[:, last:]
+            if held.shape[1] > large:
+                skipped = int(held[0, 0])
+                yield rows(held[0, :0], held[0, :0], [skipped])
+                held = held[:, :0]
+        yield from closed(held)
+
+    def closed(held: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if held.shape[1]:
+            values, counts = np.unique(held[0], return_counts=True)
             crowded = values[counts > large]
-            fit = ~np.isin(keys, crowded)
-            a, b = bucket_links(keys[fit], prints[fit], most, forest) if fit.any() else (prints[:0], prints[:0])
+            keys, prints, names = held[:, ~np.isin(held[0], crowded)]
+            a, b = bucket_links(keys, prints.view(np.uint64), most, forest) if len(keys) else (prints.view(np.uint64),) * 2
+            known, first = np.unique(prints.view(np.uint64), return_index=True)
             if len(a) or len(crowded):
-                yield rows(a, b, crowded.tolist())
+                yield rows(*(names[first[np.searchsorted(known, x)]] for x in (a, b)), crowded.tolist())
 
     return run
 
 
 def keyed(prints: DataFrame) -> DataFrame:
-    """(print) -> (key, print), one row for each fuzzy key."""
+    """(print, name) -> (key, print, name), one row for each fuzzy key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
+            own, names = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             for at in range(0, len(own), 4096):
-                part = own[at : at + 4096]
+                part, part_names = own[at : at + 4096], names[at : at + 4096]
                 key, row = fuzzy_keys(part.view(np.uint64))
-                yield pa.record_batch([pa.array(key), pa.array(part[row])], names=["key", "print"])
+                yield pa.record_batch([pa.array(key), pa.array(part[row]), pa.array(part_names[row])], names=["key", "print", "name"])
 
-    return prints.select("print").mapInArrow(run, "key long, print long")
+    return prints.select("print", "name").mapInArrow(run, "key long, print long, name long")
 
 
 def near_links(prints: DataFrame, most: int = 4, large: int = LARGE, forest=spanning) -> DataFrame:
-    """Distinct fingerprints (print) -> links (a, b) whose components are those of distance `most`, up to 5; of greater
-    distances part are found: nine in ten at 6, seven in ten at 7, four in ten at 8.
+    """Distinct fingerprints (print, name) -> links (a, b) of names whose components are those of distance `most`, up to
+    5; of greater distances part are found: nine in ten at 6, seven in ten at 7, four in ten at 8.
 
     Keys of more than `large` fingerprints come back unlinked from the first pass. Their rows are then dealt
     into blocks, and each pair of blocks is a key of its own: every pair of rows still meets, in tasks of bounded size.
@@ -225,8 +225,8 @@ def near_links(prints: DataFrame, most: int = 4, large: int = LARGE, forest=span
     n = rows.groupBy("key").agg(F.ceil(2 * F.count(F.lit(1)) / large).cast("int").alias("blocks"))
     dealt = rows.join(n, "key").withColumn("block", F.pmod(F.xxhash64("print"), "blocks").cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = dealt.select("key", "print", "block", every).select(
-        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "print"
+    pairs = dealt.select("key", "print", "name", "block", every).select(
+        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "print", "name"
     )
     split = pairs.repartition("key").sortWithinPartitions("key", "print").mapInArrow(linker(most, 1 << 62, forest), LINKS)
     return links.unionByName(split.select("a", "b"))
@@ -255,7 +255,7 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", most: i
     """
     rows = written(fingerprints(docs, text, id, width), "prints", narrow=True)
     prints = rows.groupBy("print").agg(F.min("doc_id").alias("least"))
-    roots = components(near_links(prints, most))
+    roots = components(near_links(prints.select("print", F.col("print").alias("name")), most))
     labelled = prints.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = labelled.join(ids, "root").select("print", "component_id")
@@ -328,9 +328,7 @@ def candidates(rows: DataFrame, prints: list[str], most: int) -> DataFrame:
         same = rows.select("row", F.col(p).alias("print")).join(ends, "print")
         both = F.explode(F.array("first", "last")).alias("a")
         found.append(same.where("first <> last").select(both, F.col("row").alias("b")).where("a <> b"))
-        near = near_links(ends.select("print"), most, LARGE_CENTRED, centred).distinct()
-        near = near.join(ends.selectExpr("print a", "first first_a"), "a").join(ends.selectExpr("print b", "first first_b"), "b")
-        found.append(near.selectExpr("first_a a", "first_b b"))
+        found.append(near_links(ends.select("print", F.col("first").alias("name")), most, LARGE_CENTRED, centred))
     every = reduce(DataFrame.unionByName, found)
     return every.selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
 
@@ -358,9 +356,11 @@ def copies(docs: DataFrame, text: str = "text", id: str = "doc_id", similar: flo
     shape = f"row long, doc_id {kind}, " + ", ".join(f"{p} long" for p in prints)
     rows = written(docs.mapInArrow(run, shape), "word-prints", narrow=True)
     files = partitions(docs.sparkSession, rows.count(), FILE_ROWS)
-    active, links, parts, roots = rows, None, None, None
+    active, links, parts, roots, tried = rows, None, None, None, None
     for _ in range(rounds):
-        pairs = cut(candidates(active, prints, most).coalesce(files))
+        pairs = candidates(active, prints, most)
+        pairs = cut((pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")).coalesce(files))
+        tried = pairs if tried is None else tried.unionByName(pairs)
         linked = pairs.selectExpr("a row").unionByName(pairs.selectExpr("b row")).distinct()
         parts = shingle_sets(docs, linked) if parts is None else parts  # later rounds' rows are among the first's
         good = cut(alike(pairs, parts, similar).coalesce(files))

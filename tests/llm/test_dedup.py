@@ -110,7 +110,7 @@ def test_links_of_dense_prints_equal_brute_force(spark, large):
             prints[len(prints)] = x
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     distinct = {v: k for k, v in reversed(prints.items())}
-    df = spark.createDataFrame([(signed(v),) for v in distinct], "print long")
+    df = spark.createDataFrame([(signed(v), signed(v)) for v in distinct], "print long, name long")
     links = simhash.near_links(df, 4, large)
     for a, b in links.collect():
         assert bin((a ^ b) & (1 << 64) - 1).count("1") <= 4
