@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,12 @@ from corpuscle.functions import rules
 from corpuscle.functions.rules import Rule, rx
 
 
+def once(value: Column, expression: Callable[[Column], Column]) -> Column:
+    """An expression over a costly value that is computed once. The optimiser puts a column's expression in wherever a
+    filter names the column; a lambda's variable stays a variable."""
+    return F.get(F.transform(F.array(value), expression), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
@@ -106,8 +112,8 @@ def news_clean(nfc: Column) -> Column:
 
 def news_quality(text: Column, least: int = rules.MIN_WORDS) -> Column:
     """Words enough, and five in a hundred characters at most that are neither letters, digits, space nor usual marks."""
-    odd = F.length(text) - F.length(F.regexp_replace(text, rx(r"[^\w\s.,!?;:\-\"'()/%…]"), ""))
-    return (word_count(text) >= least) & (odd <= F.length(text) * F.lit(0.05))
+    odd = lambda t: F.length(t) - F.length(F.regexp_replace(t, rx(r"[^\w\s.,!?;:\-\"'()/%…]"), ""))
+    return once(text, lambda t: (word_count(t) >= least) & (odd(t) <= F.length(t) * F.lit(0.05)))
 
 
 def code_words(text: Column) -> Column:
@@ -129,7 +135,8 @@ def most_repeated(text: Column) -> Column:
 
 
 def forum_quality(text: Column) -> Column:
-    return (word_count(text) >= rules.MIN_FORUM_WORDS) & (code_words(text) < 2) & (most_repeated(text) <= rules.MAX_WORD_REPEATS)
+    good = lambda t: (word_count(t) >= rules.MIN_FORUM_WORDS) & (code_words(t) < 2) & (most_repeated(t) <= rules.MAX_WORD_REPEATS)
+    return once(text, good)
 
 
 def tokens(text: Column) -> Column:

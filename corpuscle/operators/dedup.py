@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def keep_first(df: DataFrame, text: str, order: list[str], scope: list[str] = ()) -> DataFrame:
-    """The first row, by `order`, of each text (and scope, e.g. an article). The least order key of each digest is
-    found by a hash aggregate that combines map-side, so a text that most rows share is no hot window; the join back
-    is one that Spark splits where a key is hot. Order keys must name rows."""
+    """The first row, by `order`, of each text (and scope, e.g. an article). One aggregate by digest that combines
+    map-side: a text that most rows share reaches its reducer as a row per task, and df is computed once. Order keys
+    must name rows."""
     key = [F.md5(F.col(text)).alias("__md5"), *[F.col(c).alias(f"__s{k}") for k, c in enumerate(scope)]]
-    names = ["__md5", *[f"__s{k}" for k in range(len(scope))]]
-    keyed = df.select("*", *key, F.struct(*order).alias("__order"))
-    first = keyed.groupBy(*names).agg(F.min("__order").alias("__first"))
-    same = [F.col(f"k.{n}").eqNullSafe(F.col(f"f.{n}")) for n in names]
-    both = keyed.alias("k").join(first.alias("f"), same[0] if len(same) == 1 else all_of(same))
-    return both.where(F.col("k.__order") == F.col("f.__first")).select(*[F.col(f"k.{c}") for c in df.columns])
-
-
-def all_of(tests: list[Column]) -> Column:
-    out = tests[0]
-    for t in tests[1:]:
-        out = out & t
-    return out
+    first = df.groupBy(*key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("__row"))
+    return first.select("__row.*")
 
 
 def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
