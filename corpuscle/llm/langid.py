@@ -245,7 +245,7 @@ def predicted(rows: DataFrame, model: Model | None) -> DataFrame:
     return rows.select(*keep, "text").mapInArrow(run, shape)
 
 
-def accepted(docs: DataFrame, text: str = "text", id: str = "doc_id", lang: str = "lang", least: float = 0.5, **how) -> DataFrame:
+def accepted(docs: DataFrame, text: str = "text", id: str = "doc_id", lang: str = "lang", least: float = 0.4, **how) -> DataFrame:
     """The rows whose language is told with a probability of `least` or more, with all their columns."""
     model = train(docs, text, id, lang, ~held_out(F.col(id), 4, 2), **how)
     rows = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col(text).alias("text"))
