@@ -1,13 +1,13 @@
 """SimHash near-dedup: Golay-code fuzzy hashing of 64-bit fingerprints.
 
-near_groups() links fingerprints of four-word shingles by their distance alone. copies() takes fingerprints of the
-words as candidates and verifies them on five-word shingles; it is what drops near copies from a corpus.
+near_groups() links fingerprints of four-word shingles by their distance alone. copies() takes bands of min-hashes of
+five-word shingles as candidates and verifies them on the shingles; it is what drops near copies from a corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import cache
 from itertools import combinations, repeat
 
 import numpy as np
@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 from corpuscle.llm.common import cut, partitions, written
 from corpuscle.llm.components import components
 from corpuscle.llm.urlfilter import BlockedBloom
-from corpuscle.llm.windows import WordHashes, shingles
+from corpuscle.llm.windows import MIX, WordHashes, mixed, shingles, whole_runs
 
 SEED = 42
 #: Widths of the segments of a fingerprint, from its lowest bit; each is a word of the code with zeros before it.
 SEGMENTS = (22, 21, 21)
 #: Fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, which generates the (23, 12) Golay code.
 GENERATOR = 0b110001110101
-#: A bucket of fingerprints up to which all pairs are linked, and up to which one task takes it (by all distances at once).
-SMALL, LARGE, LARGE_CENTRED = 8, 20_000, 2000
+#: A bucket of fingerprints up to which all pairs are linked, and up to which one task takes it.
+SMALL, LARGE = 8, 20_000
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -112,21 +112,6 @@ def spanning(prints: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.nda
                 yield np.full(len(hit), x), hit
 
 
-def centred(prints: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links to the print that has the most others at distance `most` or less, then to the next such one among the
-    rest: the original of many near copies is closer to each than they are to each other."""
-    left = prints
-    while len(left) > 1:
-        near = np.bitwise_count(left[:, None] ^ left[None, :]) <= most
-        centre = int(near.sum(axis=1).argmax())
-        hit = near[centre].copy()
-        hit[centre] = False
-        if not hit.any():
-            return
-        yield np.full(int(hit.sum()), left[centre]), left[hit]
-        left = left[~near[centre]]
-
-
 def bucket_links(keys: np.ndarray, prints: np.ndarray, most: int, forest=spanning) -> tuple[np.ndarray, np.ndarray]:
     """Links within the runs of equal keys: all of them in small runs, a forest of them in longer ones."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -267,16 +252,34 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", most: i
 # --- near copies by word shingles ---------------------------------------------------------------
 
 
-def word_print(words: list[bytes], seed: int) -> int:
-    """SimHash of a text's different words of four bytes or more; of all of them where those are few."""
-    different = set(words)
-    long_ = [w for w in different if len(w) >= 4]
-    own = long_ if len(long_) >= 5 else list(different)
-    if not own:
-        return 0
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(seed)), np.uint64, len(own))
-    bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(own), bitorder="little").view(np.uint64)[0])
+#: Bands of min-hashes and hashes of a band: two sets with a Jaccard similarity of j share a band with a probability of
+#: 1 - (1 - j ** BAND) ** BANDS, which is 0.9999 at 0.8.
+BANDS, BAND = 24, 5
+#: A band's bucket up to which all pairs are listed; bytes of the sets that a task takes at once of a larger one.
+BUCKET, BLOCK_BYTES = 16, 16_000_000
+#: What the hash functions of the bands mix in, and their odd multipliers.
+MASKS, FACTORS = ((mixed(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * k) >> np.uint64(32)).astype(np.uint32)[:, None] for k in MIX)
+FACTORS |= np.uint32(1)
+
+
+def shingle_set(text: str | None, seen: WordHashes) -> np.ndarray:
+    """A text's set of five-word shingles as sorted 32-bit hashes; of fewer words the whole sequence is the only shingle."""
+    hashes = shingles(text, seen)
+    if not len(hashes):
+        hashes = np.array([xxhash.xxh64_intdigest(b" ".join((text or "").encode().lower().split()))], np.uint64)
+    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """A key for each band of a set's min-hashes."""
+    low = np.full(BANDS * BAND, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(own), 1024):
+        values = (own[at : at + 1024] ^ MASKS) * FACTORS
+        low = np.minimum(low, ((values ^ (values >> np.uint32(15))) * FACTORS[::-1]).min(axis=1))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in low.astype(np.uint64).reshape(BANDS, BAND).T:
+        key = mixed((key ^ column) * MIX[1])
+    return key.view(np.int64)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -290,13 +293,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             batch = batch.filter(pa.array(held.may_hold([str(r).encode() for r in batch.column("row").to_pylist()])))
-            own = []
-            for text in batch.column("text"):
-                hashes = shingles(text.as_py(), seen)
-                if not len(hashes):  # fewer than five words: the whole sequence is the only shingle
-                    whole = b" ".join((text.as_py() or "").encode().lower().split())
-                    hashes = np.array([xxhash.xxh64_intdigest(whole)], np.uint64)
-                own.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32)).tobytes())
+            own = [shingle_set(text.as_py(), seen).tobytes() for text in batch.column("text")]
             yield pa.record_batch([batch.column("row"), pa.array(own, pa.binary())], names=["row", "own"])
 
     parts = docs.select("row", "text").mapInArrow(sets, "row long, own binary").join(wanted, "row", "left_semi").dropDuplicates(["row"])
@@ -319,55 +316,140 @@ def alike(pairs: DataFrame, parts: DataFrame, similar: float) -> DataFrame:
     return joined.select("a", "b", "own_a", "own_b").mapInArrow(verify, "a long, b long")
 
 
-def candidates(rows: DataFrame, prints: list[str], most: int) -> DataFrame:
-    """Distinct pairs (a, b) of rows to verify: the first rows of fingerprints that are close under one of the seeds,
-    and each row with the first and the last one of its fingerprint."""
-    found = []
-    for p in prints:
-        ends = rows.groupBy(F.col(p).alias("print")).agg(F.min("row").alias("first"), F.max("row").alias("last"))
-        same = rows.select("row", F.col(p).alias("print")).join(ends, "print")
-        both = F.explode(F.array("first", "last")).alias("a")
-        found.append(same.where("first <> last").select(both, F.col("row").alias("b")).where("a <> b"))
-        found.append(near_links(ends.select("print", F.col("first").alias("name")), most, LARGE_CENTRED, centred))
-    every = reduce(DataFrame.unionByName, found)
-    return every.selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
+def similar_links(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
+    """Links that span the components of all pairs of sets with a Jaccard similarity of `similar` or more.
+
+    Two such sets share one of their rarest elements, as many as the similarity leaves room for; what so meets is
+    compared unless it is linked already. No pair is left out.
+    """
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, token, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    token = rank[token]
+    token = token[np.lexsort((token, owner))]
+    room = sizes - np.ceil(similar * sizes - 1e-9).astype(np.int64) + 1
+    early = np.arange(len(token)) - starts[owner] < room[owner]
+    held = token[early]
+    order = np.argsort(held, kind="stable")
+    held, holder = held[order], owner[early][order]
+    first, end = (np.searchsorted(held, np.arange(len(counts)), side) for side in ("left", "right"))
+    root, mark, links = np.arange(len(sets)), np.zeros(len(counts), np.int32), []
+    for i, size in enumerate(sizes.tolist()):
+        own = token[starts[i] : starts[i] + size]
+        head = own[: room[i]]
+        head = head[end[head] - first[head] > 1]
+        if not len(head):
+            continue
+        open_ = np.unique(np.concatenate([holder[first[t] : end[t]] for t in head.tolist()]))
+        fits = (open_ > i) & (np.minimum(sizes[open_], size) >= similar * np.maximum(sizes[open_], size) - 1e-9)
+        open_, step = open_[fits], 16
+        mark[own] = 1
+        while len(open_ := open_[root[open_] != root[i]]):
+            step = max(1, min(step, int(np.searchsorted(np.cumsum(sizes[open_]), 1_000_000))))
+            now, open_, step = open_[:step], open_[step:], 4 * step
+            at = np.cumsum(sizes[now]) - sizes[now]
+            places = np.repeat(starts[now] - at, sizes[now]) + np.arange(int(sizes[now].sum()))
+            both = np.add.reduceat(mark[token[places]], at)
+            for j in now[both >= similar * (size + sizes[now] - both)].tolist():
+                if root[i] != root[j]:
+                    links.append((i, j))
+                    root[root == root[j]] = root[i]
+        mark[own] = 0
+    return links
+
+
+def buckets(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
+    """Over batches (key, row, size) sorted by key: all pairs of rows inside each key that sizes don't rule out; of keys with
+    more than BUCKET rows only the key."""
+    for own in whole_runs(batches, ["key"]):
+        key, row, size = own["key"], own["row"], own["size"]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        counts = np.diff(np.r_[starts, len(key)])
+        lone = np.repeat(counts <= BUCKET, counts)
+        out = []
+        for step in range(1, min(BUCKET, int(counts.max()))):
+            one, two = slice(None, -step), slice(step, None)
+            hit = (key[one] == key[two]) & lone[one]
+            hit &= np.minimum(size[one], size[two]) >= similar * np.maximum(size[one], size[two]) - 1e-9
+            out.append(np.stack([np.minimum(row[one][hit], row[two][hit]), np.maximum(row[one][hit], row[two][hit])]))
+        a, b = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+        crowded = key[starts[counts > BUCKET]]
+        none = lambda n: pa.nulls(n, pa.int64())
+        yield pa.record_batch(
+            [pa.concat_arrays([pa.array(x), none(len(crowded))]) for x in (a, b)] + [pa.concat_arrays([none(len(a)), pa.array(crowded)])],
+            names=["a", "b", "crowded"],
+        )
+
+
+def crowded_links(rows: DataFrame, parts: DataFrame, similar: float) -> DataFrame:
+    """(key, row, size) and the rows' sets -> links (a, b) that span all similar pairs inside each key. A key's rows are
+    dealt into blocks of bounded bytes, and each pair of blocks is a key of its own: every pair of rows meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, names, sets = None, [], []
+        for batch in batches:
+            for k, row, own in zip(batch.column("key").to_pylist(), batch.column("row").to_pylist(), batch.column("own").to_pylist(), strict=True):
+                if k != key:
+                    yield close(names, sets)
+                    key, names, sets = k, [], []
+                names.append(row)
+                sets.append(np.frombuffer(own, np.uint32))
+        yield close(names, sets)
+
+    def close(names: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        links = similar_links(sets, similar) if len(sets) > 1 else []
+        return pa.record_batch([pa.array([names[x[k]] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    n = rows.groupBy("key").agg(F.ceil(F.sum("size") * F.lit(8) / BLOCK_BYTES).cast("int").alias("blocks"))
+    dealt = rows.join(n, "key").withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = dealt.select("key", "row", "block", every).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "row")
+    joined = pairs.join(parts, "row").select("key", "row", "own")
+    return joined.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def copies(docs: DataFrame, text: str = "text", id: str = "doc_id", similar: float = 0.8, most: int = 6, seeds: tuple[int, ...] = (42, 43), rounds: int = 2) -> DataFrame:
+def copies(docs: DataFrame, text: str = "text", id: str = "doc_id", similar: float = 0.8) -> DataFrame:
     """(row, keep): for each document, named by a hash of its id and text, the one of its group that stays, the one
     with the smallest id. A group is what is linked by a Jaccard similarity of `similar` or more of five-word shingle sets.
 
-    Candidates are fingerprints of the words, by each seed, at `most` bits or fewer, linked to the centres of each bucket;
-    each is verified. A later round takes the representatives of what was linked or refused before, among which other
-    centres come up. Documents with one fingerprint are compared with the first and the last of them. Null texts count
-    as empty; texts without words are alike.
+    Documents with equal sets are linked to the first of them, which stands for all. All pairs of others that share a band
+    of min-hashes are compared on their sets, those of crowded bands inside one task or a pair of blocks, except pairs
+    that are linked already. Null texts count as empty; texts without words are alike.
     """
     name = F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
     docs = docs.select(name.alias("row"), F.col(id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = [f"print{k}" for k in range(len(seeds))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = WordHashes()
         for batch in batches:
-            words = [(t.as_py() or "").encode().lower().split() for t in batch.column("text")]
-            own = [pa.array(np.fromiter((word_print(w, s) for w in words), np.uint64, len(words)).view(np.int64)) for s in seeds]
-            yield pa.record_batch([batch.column("row"), batch.column("doc_id"), *own], names=["row", "doc_id", *prints])
-
-    shape = f"row long, doc_id {kind}, " + ", ".join(f"{p} long" for p in prints)
-    rows = written(docs.mapInArrow(run, shape), "word-prints", narrow=True)
+            size, print_, keys = [], [], []
+            for text in batch.column("text"):
+                own = shingle_set(text.as_py(), seen)
+                size.append(len(own))
+                print_.append(xxhash.xxh64_intdigest(own.tobytes()))
+                keys.append(band_keys(own))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
+            prints = pa.array(np.array(print_, np.uint64).view(np.int64))
+            yield pa.record_batch([batch.column("row"), batch.column("doc_id"), pa.array(size, pa.int32()), prints, lists], names=["row", "doc_id", "size", "print", "keys"])
+
+    rows = written(docs.mapInArrow(run, f"row long, doc_id {kind}, size int, print long, keys array<long>"), "bands", narrow=True)
     files = partitions(docs.sparkSession, rows.count(), FILE_ROWS)
-    active, links, parts, roots, tried = rows, None, None, None, None
-    for _ in range(rounds):
-        pairs = candidates(active, prints, most)
-        pairs = cut((pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")).coalesce(files))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        linked = pairs.selectExpr("a row").unionByName(pairs.selectExpr("b row")).distinct()
-        parts = shingle_sets(docs, linked) if parts is None else parts  # later rounds' rows are among the first's
-        good = cut(alike(pairs, parts, similar).coalesce(files))
-        links = good if links is None else links.unionByName(good)
-        roots = components(links)
-        stay = linked.join(roots.where("node <> root").selectExpr("node row"), "row", "left_anti")
-        active = rows.join(stay, "row", "left_semi")
+    firsts = cut(rows.groupBy("print").agg(F.min("row").alias("first")).coalesce(files))
+    twins = rows.select("row", "print").join(firsts, "print").where("row <> first").selectExpr("first a", "row b").distinct()
+    lone = rows.select("row", "size", "keys").join(firsts.selectExpr("first row"), "row").dropDuplicates(["row"])
+    keyed = lone.select(F.explode("keys").alias("key"), "row", "size")
+    dealt = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: buckets(batches, similar), LINKS)
+    found = cut(dealt.distinct().coalesce(files))
+    pairs = found.where("a is not null").select("a", "b")
+    crowded = cut(keyed.join(found.where("crowded is not null").selectExpr("crowded key"), "key", "left_semi").coalesce(files))
+    wanted = cut(pairs.selectExpr("a row").unionByName(pairs.selectExpr("b row")).unionByName(crowded.select("row")).distinct().coalesce(files))
+    parts = shingle_sets(docs, wanted)
+    links = alike(pairs, parts, similar).unionByName(crowded_links(crowded, parts, similar)).unionByName(twins)
+    roots = components(cut(links.repartition(files)))
     labelled = rows.select("row", "doc_id").join(roots.withColumnRenamed("node", "row"), "row").distinct()
     stays = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
     return labelled.join(stays, "root").select("row", F.col("best.row").alias("keep"))

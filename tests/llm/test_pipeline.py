@@ -1,3 +1,4 @@
+import random
 import re
 
 from corpuscle.llm import packing, simhash
@@ -79,6 +80,30 @@ def test_near_copies_on_odd_rows(spark):
     assert simhash.without_near_copies(docs.where("false")).count() == 0
 
 
+def edited(words, case, new):
+    n = len(words)
+    return {
+        "appended": words + new(n * 22 // 100), "truncated": words[: n * 82 // 100],
+        "block": words[: n // 2] + new(n * 8 // 100) + words[n // 2 + n * 8 // 100 :],
+    }[case]
+
+
+def test_near_copies_with_block_edits(spark):
+    """Text appended, cut off or replaced as a block, all at a similarity of 0.8 or more: every copy goes."""
+    rng = random.Random(5)
+    new = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows = []
+    for case in ("appended", "truncated", "block"):
+        for _ in range(100):
+            words = new(rng.randrange(150, 400))
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(edited(words, case, new)))]
+    sets = [shingle_set(t) for _, t in rows]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in simhash.without_near_copies(docs).collect()}
+    assert left == set(range(0, len(rows), 2))
+
+
 def test_pack_is_the_last_stage():
     import corpus_pipeline
 
