@@ -104,6 +104,26 @@ def test_near_copies_with_block_edits(spark):
     assert left == set(range(0, len(rows), 2))
 
 
+def test_near_copies_inside_template_families(spark):
+    """Families of one set of long words, and of a common half: near copies meet though the others are dissimilar."""
+    rng = random.Random(6)
+    rows = []
+
+    def add(words, at):
+        changed = list(words)
+        changed[at] = str(rng.randrange(1000, 2000))[1:]
+        rows.extend((len(rows) + k, " ".join(w)) for k, w in enumerate((words, changed)))
+
+    for _ in range(30):
+        add([w for k in range(60) for w in (f"field{k}", str(rng.randrange(100, 1000)))], 61)
+    common = [f"line{rng.randrange(900)}" for _ in range(120)]
+    for _ in range(60):
+        add(common + [str(rng.randrange(100, 1000)) for _ in range(40)], 140)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in simhash.without_near_copies(docs).collect()}
+    assert left == kept_by_brute_force(dict(rows)) == set(range(0, len(rows), 2))
+
+
 def test_pack_is_the_last_stage():
     import corpus_pipeline
 
