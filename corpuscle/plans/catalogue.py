@@ -509,6 +509,15 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "position", listed(window).alias("before"), F.element_at("ids", F.col("position") + 1).alias("label"))
 
 
+@query()
+def context_window_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 16 indices before every predicted position; the SQL of context_window has the first positions only."""
+    ids = encoded(spark, sf_dir).where(F.size("ids") > 1)
+    rows = ids.select("doc_id", "ids", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("position"))
+    window = sequences.context(F.col("ids"), F.col("position"))
+    return rows.select("doc_id", "position", listed(window).alias("before"), F.element_at("ids", F.col("position") + 1).alias("label"))
+
+
 @query(f"""{SCORED_SQL}, g AS (SELECT prev, list(label ORDER BY k) [1:3] AS words FROM (SELECT prev, label, row_number() OVER (PARTITION BY prev ORDER BY n DESC, label) AS k FROM c WHERE label NOT IN ('<eos>', '<unk>')) WHERE k <= 3 GROUP BY prev)
 SELECT doc_id, pos, sc.prev, label, words FROM sc LEFT JOIN (SELECT prev, array_to_string(list_transform(words, lambda w: replace(w, '_', ' ')), '|') AS words FROM g) USING (prev) WHERE coalesce(rank, 0) <> 1 AND label NOT IN ({", ".join(quoted(w) for w in (*rules.ORPHANS, "<eos>"))})""")
 def mismatch_report(spark: SparkSession, sf_dir: str) -> DataFrame:

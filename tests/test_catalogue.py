@@ -37,6 +37,14 @@ def test_other_queries_have_rows(spark, small, name):
     assert catalogue.QUERIES[name](spark, small).count() > 0
 
 
+def test_context_window_all_has_every_position(spark, small):
+    ids = {r.doc_id: r.ids for r in catalogue.encoded(spark, small).collect()}
+    want = {(d, k): (",".join(map(str, x[max(k - 16, 0) : k])), x[k]) for d, x in ids.items() for k in range(1, len(x))}
+    rows = catalogue.QUERIES["context_window_all"](spark, small).collect()
+    assert len(rows) == len(want) > catalogue.QUERIES["context_window"](spark, small).count()
+    assert {(r.doc_id, r.position): (r.before, r.label) for r in rows} == want
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
