@@ -275,6 +275,13 @@ def slang_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.translate(docs, "text", SLANG).select("doc_id", "translated")
 
 
+@query()
+def slang_translate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, of any language and script, with Unicode word bounds; the SQL of slang_translate has ASCII ones only."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", udfs.nfc(F.col("text")))
+    return lexicon.translate(docs, "text", SLANG).select("doc_id", "translated")
+
+
 @query()
 def final_polish(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = lines(spark, sf_dir).where(~text.is_blank(F.col("line")))

@@ -1,6 +1,8 @@
 """Every query with SQL gives the rows that DuckDB gives, at sf0.001."""
 
 import math
+import re
+import unicodedata
 
 import duckdb
 import pytest
@@ -45,6 +47,21 @@ def test_context_window_all_has_every_position(spark, small):
     assert {(r.doc_id, r.position): (r.before, r.label) for r in rows} == want
 
 
+def test_slang_translate_all_takes_every_document(spark, tmp_path):
+    texts = ["of the And N", "été of THE élan", "theé éthe thé the", "von und and", "日本 of 日本the the。", "by the", "", None, "e\u0301and and"]
+    rows = [(k, t, "en" if k % 2 else None) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(t):
+        t = unicodedata.normalize("NFC", t)
+        for key, value in sorted(catalogue.SLANG, key=lambda e: -len(e[0])):
+            t = re.sub(rf"\b{key}\b", lambda _, v=value: v, t, flags=re.I)
+        return t
+
+    got = {r.doc_id: r.translated for r in catalogue.QUERIES["slang_translate_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: t if t is None else brute(t) for k, t in enumerate(texts)}
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
