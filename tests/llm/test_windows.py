@@ -107,3 +107,79 @@ def test_all_exact_repeats_of_a_table_are_found(spark):
     want = {d for ids in where.values() if len(ids) > 1 for d in ids}
     got = {r.doc_id for r in windows.passages(docs).collect()}
     assert want and want <= got
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pairs_beside_boilerplate_that_hundreds_share(spark, seed):
+    """160 documents have 40 words in common; 30 pairs have 15 more right after them, and 10 pairs all but one of 15."""
+    rng = random.Random(seed)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)]
+    common, rows, want = words(40), [], set()
+    for k in range(80):
+        more = words(15)
+        for side in (0, 1):
+            tail = more if k < 30 else more[:7] + words(1) + more[8:] if k < 40 else words(15)
+            rows.append((len(rows), " ".join(words(rng.randrange(50, 200)) + common + tail + words(rng.randrange(50, 200)))))
+        if k < 40:
+            want.add((2 * k, 2 * k + 1))
+    got = windows.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    classes = {}
+    for r in got:
+        classes.setdefault(r.class_id, set()).add(r.doc_id)
+    found = {tuple(sorted(v)) for v in classes.values()}
+    assert {w for w in want if w[0] < 60} <= found and found <= want and len(found) >= 38
+
+
+def test_a_passage_that_a_document_repeats_often_is_found_everywhere(spark):
+    rng = random.Random(4)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)]
+    passage = words(60)
+    long_ = [w for _ in range(40) for w in [*words(300), *passage]]
+    rows = [(1, " ".join(words(80) + passage + words(80))), (2, " ".join(long_))]
+    got = windows.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word) for r in got) == [(1, 80, 140)] + [(2, 300 + 360 * k, 360 + 360 * k) for k in range(40)]
+
+
+def test_crowded_signatures_equal_brute_force():
+    """Families of near copies, templates and common lines: what linked_windows joins is what all verified pairs join."""
+    rng = random.Random(7)
+    least = 46
+    for _ in range(8):
+        base, rows, centre, low, parts = [rng.randrange(1 << 30) for _ in range(91)], [], [], [], []
+        for k in range(60):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 3, 6])):
+                at = rng.choice([x for x in range(91) if x != 45])
+                own[at] = rng.randrange(1 << 30)
+            if k % 3 == 0:
+                cut = rng.randrange(46)
+                own[:cut] = [rng.randrange(1 << 30) for _ in range(cut)]
+                own[cut + 47 :] = [rng.randrange(1 << 30) for _ in range(91 - cut - 47)]
+            if k % 5 == 0:
+                own = own[:45] + [base[45]] + own[46:]
+            first = rng.choice([0, 0, 10, 40])
+            last = rng.choice([91, 91, first + 50])
+            if not first <= 45 < last:
+                first, last = 0, 91
+            rows.append(k // 2 if k % 7 == 0 else k)
+            centre.append(1000 + k)
+            low.append(1000 + k - 45 + first)
+            parts.append(np.array(own[first:last], np.int32))
+        order = sorted(range(60), key=lambda k: (rows[k], centre[k]))
+        rows, centre, low, parts = ([x[k] for k in order] for x in (rows, centre, low, parts))
+        got = windows.linked_windows(np.zeros(60, np.int64), np.array(rows), np.array(centre), np.array(low), parts, least, 0.8)
+        root = {r: r for r in rows}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for passage in got:
+            a, b, s = passage[0], passage[5], passage[-1]
+            assert s >= 0.8 and a != b
+            root[find(a)] = find(b)
+        for i in range(60):
+            for j in range(i):
+                if rows[i] != rows[j] and windows.verified(parts[i], parts[j], least, 0.8):
+                    assert find(rows[i]) == find(rows[j])
