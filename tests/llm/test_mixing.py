@@ -29,15 +29,15 @@ def table(spark, rows):
     return spark.createDataFrame([(*r, 1, 2.0) for r in rows], "doc_id long, text string, source string, size int, target double")
 
 
-@pytest.mark.parametrize("bucket_rows", [mixing.BUCKET_ROWS, 20])
-def test_mix_of_documents(spark, small, bucket_rows):
+@pytest.mark.parametrize("range_rows", [mixing.RANGE_ROWS, 20])
+def test_mix_of_documents(spark, small, range_rows):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     own = {r.doc_id: (r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in docs.collect()}
     total = {}
     for s, n in own.values():
         total[s] = total.get(s, 0) + n
     target = plain_targets(total)
-    got = mixing.curriculum(docs, bucket_rows=bucket_rows).collect()
+    got = mixing.curriculum(docs, range_rows=range_rows).collect()
     assert len(got) == len(own)
     taken = {}
     for r in got:
@@ -47,7 +47,7 @@ def test_mix_of_documents(spark, small, bucket_rows):
         taken[s] = taken.get(s, 0) + r.taken
     for s in total:
         assert abs(taken[s] - target[s]) <= max(n for t, n in own.values() if t == s)
-    again = mixing.curriculum(docs, bucket_rows=7).collect()
+    again = mixing.curriculum(docs, range_rows=7).collect()
     assert {r.doc_id: (r.taken, r.first_position) for r in again} == {r.doc_id: (r.taken, r.first_position) for r in got}
     positions = [r.first_position for r in got if r.first_position is not None]
     assert positions == sorted(positions) and 0 <= positions[0] and positions[-1] < 1
@@ -90,3 +90,20 @@ def test_schedules_move_sources_in_time(spark):
     half = {s: [r.first_position for r in plan if (r.doc_id % 2 == 1) == (s == "early") and r.taken] for s in ("early", "late")}
     share = {s: sum(p < 0.5 for p in v) / len(v) for s, v in half.items()}
     assert abs(share["early"] - 0.75) < 0.02 and abs(share["late"] - 0.25) < 0.02
+
+
+def test_the_stream_has_each_row_as_often_as_planned(spark):
+    """Repeated and null ids, repeated rows, clashing names: as many copies as the plan says, of the rows that it names."""
+    rows = [(k % 7 if k % 3 else None, f"text of {k % 5} " * (k % 5 + 1), "hot" if k % 3 else "cold", k % 2, 0.5) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row int, order double")
+    for range_rows in (mixing.RANGE_ROWS, 8):
+        plan = mixing.curriculum(docs, range_rows=range_rows).collect()
+        want, got = {}, {}
+        for r in plan:
+            want[r.doc_id, r.size] = want.get((r.doc_id, r.size), 0) + r.times
+        for r in mixing.mixed(docs, range_rows=range_rows).collect():
+            key = r.doc_id, len(r.text.split())
+            got[key] = got.get(key, 0) + 1
+        assert got == {k: n for k, n in want.items() if n}
+        assert sum(got.values()) == sum(r.times for r in plan)
+    assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs.where("false")).count() == 0
