@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import cut, squeezed, written
+from corpuscle.llm.common import cut, fresh, small_side, squeezed, with_row, written
 
 
 def content_hash(normal: Column) -> Column:
@@ -25,48 +25,45 @@ def exact_groups(
     rows exactly one has kept = true. Rows of an empty table give an empty result.
     Other columns are neither read nor returned.
 
-    Rows with one hash count as a group only if the least and the greatest text among
-    them are the same bytes. Where they differ (a collision), the text itself joins
-    the key. Both aggregates combine map-side, so a group of any size reaches the
-    reducers as one row per task, and the join back to rows is one that Spark splits
-    where a key is hot. Texts are shuffled once; the rest moves digests only.
+    Only rows whose hash another row has, too, bring their texts along; of these the least and
+    the greatest of each hash must be the same bytes. Where they differ (a collision), the text
+    itself joins the key. All aggregates combine map-side, so a group of any size reaches the
+    reducers as one row per task, and the join back to rows is one that Spark splits where a key
+    is hot. Single texts are never shuffled; the rest moves digests.
     """
-    spark = docs.sparkSession
+    named = docs.withColumn(row := fresh("row", docs), F.monotonically_increasing_id())
+    return grouped(named, row, text, id, digest).drop("row")
+
+
+def grouped(docs: DataFrame, row: str, text: str, id: str, digest: Callable[[Column], Column] = content_hash) -> DataFrame:
+    """exact_groups() with the column `row`, which names rows."""
     normal = squeezed(F.col(text))
     keyed = docs.select(
         F.col(id).alias("doc_id"), digest(normal).alias("h"), normal.alias("normal"),
-        F.length(F.coalesce(F.col(text), F.lit(""))).alias("chars"),
-    )
-    clashes = cut(
-        keyed.groupBy("h").agg(F.min("normal").alias("lo"), F.max("normal").alias("hi")).where("lo <> hi").select("h")
-    )
-    if clashes.isEmpty():
-        keyed = keyed.withColumn("apart", F.lit(""))
-    else:
-        marked = clashes.withColumn("clash", F.lit(True))
-        keyed = keyed.join(marked, "h", "left").withColumn("apart", F.when(F.col("clash"), F.col("normal")).otherwise(""))
-    rows = written(
-        keyed.select(
-            "doc_id", "h", "apart", "chars",
-            F.sha2("normal", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row"),
-        ),
-        "exact-rows",
-        narrow=True,
+        F.length(F.coalesce(F.col(text), F.lit(""))).alias("chars"), F.col(row).alias("row"),
     )
+    apart = F.lit("").alias("apart")
+    sha = F.sha2("normal", 256).alias("text_sha256")
+    rows = written(keyed.select("doc_id", "h", apart, "chars", sha, "row"), "exact-rows", narrow=True)
+    shared = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h").coalesce(8))
+    texts = keyed.select("h", "normal").join(small_side(shared), "h", "left_semi")
+    clashes = cut(texts.groupBy("h").agg(F.min("normal").alias("lo"), F.max("normal").alias("hi")).where("lo <> hi").select("h").coalesce(8))
+    if not clashes.isEmpty():
+        marked = keyed.join(clashes.withColumn("clash", F.lit(True)), "h", "left")
+        own = F.when(F.col("clash"), F.col("normal")).otherwise("").alias("apart")
+        rows = written(marked.select("doc_id", "h", own, "chars", sha, "row"), "exact-rows", narrow=True)
     order = F.struct(-F.col("chars"), F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
     groups = rows.groupBy("h", "apart").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
     return rows.join(groups, ["h", "apart"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
-        (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256",
+        (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "row",
     )
 
 
 def without_exact_copies(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, with all their columns: one of each group of equal texts,
-    of wholly repeated rows too. Null ids are alike."""
-    name = F.coalesce(F.col(id).cast("string"), F.lit("")).alias("__id")
-    stay = exact_groups(docs, text, id).where("kept")
-    stay = stay.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("text_sha256").alias("__sha"))
-    keyed = docs.select("*", name, F.sha2(squeezed(F.col(text)), 256).alias("__sha"))
-    one_each = keyed.join(stay, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"])
-    return one_each.select(*docs.columns)
+    """The rows of docs that stay, with all their columns: one of each group of equal texts, of wholly repeated rows
+    too. Nulls, ties, repeats and empty tables are as in exact_groups(). Rows are told apart by their place in the
+    table; only the places of those that go are joined to it."""
+    rows = with_row(docs, row := fresh("row", docs))
+    gone = cut(grouped(rows, row, text, id).where("not kept").select(F.col("row").alias(row)).coalesce(64))
+    return rows.join(small_side(gone), row, "left_anti").select(*docs.columns)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import cut, partitions, squeezed, words_in, written
+from corpuscle.llm.common import partitions, squeezed, words_in, written
 
 #: Pieces that one task packs.
 SHARD_ROWS = 40_000
@@ -125,46 +125,45 @@ def pack(
 
     Returns a row per piece: doc_id, source, piece, first_word, size, shard, bin (number in the shard),
     place (first word of the piece in its bin), bin_used (words in the bin).
-    Pieces are dealt by a hash into shards of about `shard_rows`, each packed by one task in the order
-    of size, largest first, then id. A hot source or cluster spreads over all shards, and conflicts
-    are within a bin, so none is lost. More documents mean more shards, not larger ones.
+    Pieces are dealt by a hash of id and text into shards of about `shard_rows`, each packed by one task
+    in the order of size, largest first, then id and text; equal rows are numbered and spread, too. So the
+    result depends on the rows alone, not on files or partitions. A hot source or cluster spreads over all
+    shards, and conflicts are within a bin, so none is lost. More documents mean more shards, not larger
+    ones: a bin takes pieces of one shard, which costs little fill (see the README) and is what bounds a task.
     """
     spark = docs.sparkSession
     group = F.col(cluster).cast("string") if cluster else F.md5(squeezed(F.col(text)))
+    own = ["doc_id", "source", "cluster", "text_md5", "words"]
     rows = written(
         docs.select(
             F.col(id).alias("doc_id"), F.col(source).cast("string").alias("source"), group.alias("cluster"),
-            words_in(F.col(text)).alias("words"), F.monotonically_increasing_id().alias("row"),
-        ),
+            F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_md5"), words_in(F.col(text)).alias("words"),
+        ).groupBy(*own).agg(F.count(F.lit(1)).cast("int").alias("n")),
         "pack-rows",
         narrow=True,
-    )
+    ).select(*own, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
     whole = F.floor(F.col("words") / capacity).cast("int")
-    full = (
-        rows.where(F.col("words") >= capacity)
-        .select("doc_id", "source", "row", F.explode(F.sequence(F.lit(0), whole - 1)).alias("piece"))
-        .select(
-            "doc_id", "source", "piece", (F.col("piece").cast("long") * capacity).alias("first_word"),
-            F.lit(capacity).cast("long").alias("size"), F.lit(-1).alias("shard"),
-            F.struct("row", "piece").alias("own"), F.lit(0).cast("long").alias("place"), F.lit(capacity).cast("long").alias("bin_used"),
-        )
+    names = ["doc_id", "source", "cluster", "text_md5", "copy"]
+    full = rows.where(F.col("words") >= capacity).select(*names, F.explode(F.sequence(F.lit(0), whole - 1)).alias("piece"))
+    full = full.select(
+        "doc_id", "source", "piece", (F.col("piece").cast("long") * capacity).alias("first_word"), F.lit(capacity).cast("long").alias("size"),
+        (-1 - F.pmod(F.hash(*names, "piece"), F.lit((1 << 31) - 1))).cast("int").alias("shard"), F.xxhash64(*names, "piece").alias("bin"),
+        F.lit(0).cast("long").alias("place"), F.lit(capacity).cast("long").alias("bin_used"),
     )
-    full = full.withColumn("bin", F.xxhash64("own")).drop("own")
     none = rows.where("words = 0").selectExpr(
         "doc_id", "source", "0 piece", "0L first_word", "0L size", "cast(null as int) shard",
         "cast(null as long) place", "cast(null as long) bin_used", "cast(null as long) bin",
     )
-    rest = rows.where(F.col("words") % capacity > 0).select(
-        "doc_id", "source", "cluster", "row", whole.alias("piece"), (F.col("words") % capacity).alias("size")
-    )
+    rest = rows.where(F.col("words") % capacity > 0).select(*names, whole.alias("piece"), (F.col("words") % capacity).alias("size"))
     shards = partitions(spark, rest.count(), shard_rows)
-    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int"))
+    dealt = rest.withColumn("shard", F.pmod(F.xxhash64(*names), F.lit(shards)).cast("int"))
     shape = "doc_id {}, source string, piece int, first_word long, size long, shard int, bin long, place long, bin_used long".format(
         rows.schema["doc_id"].dataType.simpleString()
     )
 
     def one_shard(items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        by = ["size", "doc_id", "source", "cluster", "text_md5", "copy"]
+        items = items.sort_values(by, ascending=[False] + [True] * 5, kind="stable", ignore_index=True)
         by_source, used = local_bits(items["source"], 0)
         by_cluster, _ = local_bits(items["cluster"], used)
         items["bin"] = best_fit(items["size"].tolist(), [a | b for a, b in zip(by_source, by_cluster, strict=True)], capacity)
