@@ -45,10 +45,11 @@ def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder, for narrow tables; Spark's cleaner removes its files with the DataFrame."""
+def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """A checkpoint in the shared folder, for narrow tables; Spark's cleaner removes its files with the DataFrame. narrow: few
+    rows of many tasks; Spark deals them into files by size."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.hint("rebalance") if narrow else df).checkpoint(eager=True)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

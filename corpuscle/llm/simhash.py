@@ -16,14 +16,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import cut, partitions, written
+from corpuscle.llm.common import cut, fresh, named, partitions, small_side, with_row, written
 from corpuscle.llm.components import components
 from corpuscle.llm.urlfilter import BlockedBloom
 from corpuscle.llm.windows import MIX, WordHashes, mixed, shingles, whole_runs
 
 SEED = 42
-#: Widths of the segments of a fingerprint, from its lowest bit; each is a word of the code with zeros before it.
-SEGMENTS = (22, 21, 21)
+#: Widths of the segments of a fingerprint, from its lowest bit, each made of two halves. Two halves are a word of the
+#: code, with zeros before it.
+SEGMENTS = ((11, 11), (11, 10), (11, 10))
+#: Differing bits up to which two fingerprints share a key for certain.
+MOST = 4
 #: Fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, which generates the (23, 12) Golay code.
 GENERATOR = 0b110001110101
 #: A bucket of fingerprints up to which all pairs are linked, and up to which one task takes it.
@@ -83,19 +86,27 @@ def codeword_keys(words: np.ndarray) -> np.ndarray:
 
 
 def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, row of prints). Of three segments that hold four errors together, some two hold two at most
-    each: so fingerprints at distance 4 or less share a key made of two segments' codeword indices."""
-    at, parts = 0, []
-    for width in SEGMENTS:
-        parts.append(codeword_keys((prints >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int32)))
-        at += width
-    keys, rows = [], []
-    for number, (one, two) in enumerate(combinations(parts, 2)):
-        both = (number << 24) | (one[:, :, None] << 12) | two[:, None, :]
-        row, a, b = np.nonzero((one >= 0)[:, :, None] & (two >= 0)[:, None, :])
-        keys.append(both[row, a, b])
-        rows.append(row)
-    return np.concatenate(keys).astype(np.int64), np.concatenate(rows)
+    """(keys, row of prints). Of three segments that hold MOST errors together some two hold two at most between them, and
+    of the four halves of those some two hold none: so for each pair of segments and each two of its halves a key is
+    made of these two as they are and of the index of a codeword near the other two. Fingerprints at a distance of MOST
+    or less share one. Keys have 33 bits or more, so buckets stay small in large corpora."""
+    halves, at = [], 0
+    for widths in SEGMENTS:
+        for width in widths:
+            halves.append((prints >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int64))
+            at += width
+    keys, rows, number = [], [], 0
+    for one, two in combinations(range(len(SEGMENTS)), 2):
+        four = [2 * one, 2 * one + 1, 2 * two, 2 * two + 1]
+        for exact in combinations(four, 2):
+            a, b = (k for k in four if k not in exact)
+            near = codeword_keys((halves[a] << 11 | halves[b]).astype(np.int32)).astype(np.int64)
+            whole = number << 34 | halves[exact[0]] << 23 | halves[exact[1]] << 12
+            row, column = np.nonzero(near >= 0)
+            keys.append(whole[row] | near[row, column])
+            rows.append(row)
+            number += 1
+    return np.concatenate(keys), np.concatenate(rows)
 
 
 def spanning(prints: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -128,27 +139,27 @@ def bucket_links(keys: np.ndarray, prints: np.ndarray, most: int, forest=spannin
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-#: Rows of the narrow tables that go into one checkpoint file.
-FILE_ROWS = 250_000
+#: Rows of the narrow tables that go into one checkpoint file; fingerprints that a task makes keys of.
+FILE_ROWS, KEYED_ROWS = 250_000, 10_000
 LINKS = "a long, b long, crowded long"
 
 
 def linker(most: int, large: int, forest=spanning):
-    """Over batches (key, print, name) sorted by key: links between the names of prints inside each key; of keys with
-    more than `large` rows only the key."""
+    """Over batches (key, print) sorted by key: links between the prints of each key; of keys with more than `large` rows
+    only the key."""
 
     def rows(a: np.ndarray, b: np.ndarray, crowded: list[int]) -> pa.RecordBatch:
         blank = pa.nulls(len(crowded), pa.int64())
         return pa.record_batch(
             [
-                pa.concat_arrays([pa.array(a), blank]), pa.concat_arrays([pa.array(b), blank]),
+                pa.concat_arrays([pa.array(a.view(np.int64)), blank]), pa.concat_arrays([pa.array(b.view(np.int64)), blank]),
                 pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(crowded, pa.int64())]),
             ],
             names=["a", "b", "crowded"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, skipped = np.empty((3, 0), np.int64), None
+        held, skipped = np.empty((2, 0), np.int64), None
         for batch in batches:
             own = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             if skipped is not None:
@@ -170,48 +181,52 @@ def linker(most: int, large: int, forest=spanning):
         if held.shape[1]:
             values, counts = np.unique(held[0], return_counts=True)
             crowded = values[counts > large]
-            keys, prints, names = held[:, ~np.isin(held[0], crowded)]
-            a, b = bucket_links(keys, prints.view(np.uint64), most, forest) if len(keys) else (prints.view(np.uint64),) * 2
-            known, first = np.unique(prints.view(np.uint64), return_index=True)
+            keys, prints = held[:, ~np.isin(held[0], crowded)]
+            prints = np.ascontiguousarray(prints).view(np.uint64)
+            a, b = bucket_links(keys, prints, most, forest) if len(keys) else (prints,) * 2
             if len(a) or len(crowded):
-                yield rows(*(names[first[np.searchsorted(known, x)]] for x in (a, b)), crowded.tolist())
+                yield rows(a, b, crowded.tolist())
 
     return run
 
 
 def keyed(prints: DataFrame) -> DataFrame:
-    """(print, name) -> (key, print, name), one row for each fuzzy key."""
+    """(print) -> (key, print), one row for each fuzzy key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, names = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for at in range(0, len(own), 4096):
-                part, part_names = own[at : at + 4096], names[at : at + 4096]
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(own), 2048):
+                part = own[at : at + 2048]
                 key, row = fuzzy_keys(part.view(np.uint64))
-                yield pa.record_batch([pa.array(key), pa.array(part[row]), pa.array(part_names[row])], names=["key", "print", "name"])
+                yield pa.record_batch([pa.array(key), pa.array(part[row])], names=["key", "print"])
 
-    return prints.select("print", "name").mapInArrow(run, "key long, print long, name long")
+    return prints.select("print").mapInArrow(run, "key long, print long")
 
 
-def near_links(prints: DataFrame, most: int = 4, large: int = LARGE, forest=spanning) -> DataFrame:
-    """Distinct fingerprints (print, name) -> links (a, b) of names whose components are those of distance `most`, up to
-    5; of greater distances part are found: nine in ten at 6, seven in ten at 7, four in ten at 8.
+def near_links(prints: DataFrame, most: int = MOST, large: int = LARGE, forest=spanning) -> DataFrame:
+    """Distinct fingerprints (print) -> links (a, b) of prints whose components are those of distance `most`, MOST at most.
 
     Keys of more than `large` fingerprints come back unlinked from the first pass. Their rows are then dealt
     into blocks, and each pair of blocks is a key of its own: every pair of rows still meets, in tasks of bounded size.
     """
-    linked = keyed(prints).repartition("key").sortWithinPartitions("key", "print").mapInArrow(linker(most, large, forest), LINKS)
-    found = cut(linked.repartition(partitions(prints.sparkSession, prints.count(), FILE_ROWS)))  # few rows of many tasks in few files
+    if most > MOST:
+        raise ValueError(f"fingerprints share a key for certain up to {MOST} differing bits")
+    prints = cut(prints.select("print"), narrow=True)
+    n = prints.count()
+    rows = prints.repartition(partitions(prints.sparkSession, n, KEYED_ROWS))  # a row becomes about 90
+    linked = keyed(rows).repartition("key").sortWithinPartitions("key", "print").mapInArrow(linker(most, large, forest), LINKS)
+    found = cut(linked.repartition(partitions(prints.sparkSession, n, FILE_ROWS)))  # few rows of many tasks in few files
     links = found.where("a is not null").select("a", "b")
     crowded = found.where("crowded is not null").select(F.col("crowded").alias("key")).distinct()
     if crowded.isEmpty():
         return links
-    rows = cut(keyed(prints).join(crowded, "key"))
-    n = rows.groupBy("key").agg(F.ceil(2 * F.count(F.lit(1)) / large).cast("int").alias("blocks"))
-    dealt = rows.join(n, "key").withColumn("block", F.pmod(F.xxhash64("print"), "blocks").cast("int"))
+    rows = cut(keyed(rows).join(crowded, "key"), narrow=True)
+    sizes = rows.groupBy("key").agg(F.ceil(2 * F.count(F.lit(1)) / large).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("print"), "blocks").cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = dealt.select("key", "print", "name", "block", every).select(
-        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "print", "name"
+    pairs = dealt.select("key", "print", "block", every).select(
+        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "print"
     )
     split = pairs.repartition("key").sortWithinPartitions("key", "print").mapInArrow(linker(most, 1 << 62, forest), LINKS)
     return links.unionByName(split.select("a", "b"))
@@ -230,7 +245,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id", width:
     return docs.select(F.col(id).alias("doc_id"), F.col(text)).mapInArrow(run, f"doc_id {kind}, print long")
 
 
-def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", most: int = 4, width: int = 4) -> DataFrame:
+def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", most: int = MOST, width: int = 4) -> DataFrame:
     """One row per document: fingerprint (16 hex digits) and component_id, the smallest id that is reachable over
     fingerprints that differ in `most` bits or fewer, its own included.
 
@@ -240,7 +255,7 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", most: i
     """
     rows = written(fingerprints(docs, text, id, width), "prints", narrow=True)
     prints = rows.groupBy("print").agg(F.min("doc_id").alias("least"))
-    roots = components(near_links(prints.select("print", F.col("print").alias("name")), most))
+    roots = components(near_links(prints, most))
     labelled = prints.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = labelled.join(ids, "root").select("print", "component_id")
@@ -411,17 +426,17 @@ def crowded_links(rows: DataFrame, parts: DataFrame, similar: float) -> DataFram
     return joined.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def copies(docs: DataFrame, text: str = "text", id: str = "doc_id", similar: float = 0.8) -> DataFrame:
-    """(row, keep): for each document, named by a hash of its id and text, the one of its group that stays, the one
-    with the smallest id. A group is what is linked by a Jaccard similarity of `similar` or more of five-word shingle sets.
+def copies(docs: DataFrame, row: str, text: str = "text", id: str = "doc_id", similar: float = 0.8) -> DataFrame:
+    """The rows, by their column `row`, that another one of their group replaces: the one with the smallest id stays, and
+    rows that are equal to it in id and text. A group is what is linked by a Jaccard similarity of `similar` or more of
+    five-word shingle sets.
 
     Documents with equal sets are linked to the first of them, which stands for all. All pairs of others that share a band
     of min-hashes are compared on their sets, those of crowded bands inside one task or a pair of blocks, except pairs
-    that are linked already. Null texts count as empty; texts without words are alike.
+    that are linked already. Null texts count as empty; texts without words are alike; null ids come last.
     """
-    name = F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
-    docs = docs.select(name.alias("row"), F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = named(docs.select(F.col(row).alias("place"), F.col(id).alias("doc_id"), F.col(text).alias("text")), "text", "row")
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("place", "doc_id")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
@@ -434,30 +449,36 @@ def copies(docs: DataFrame, text: str = "text", id: str = "doc_id", similar: flo
                 keys.append(band_keys(own))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
             prints = pa.array(np.array(print_, np.uint64).view(np.int64))
-            yield pa.record_batch([batch.column("row"), batch.column("doc_id"), pa.array(size, pa.int32()), prints, lists], names=["row", "doc_id", "size", "print", "keys"])
+            yield pa.record_batch(
+                [batch.column("place"), batch.column("doc_id"), batch.column("row"), pa.array(size, pa.int32()), prints, lists],
+                names=["place", "doc_id", "row", "size", "print", "keys"],
+            )
 
-    rows = written(docs.mapInArrow(run, f"row long, doc_id {kind}, size int, print long, keys array<long>"), "bands", narrow=True)
+    shape = f"place {kinds['place']}, doc_id {kinds['doc_id']}, row long, size int, print long, keys array<long>"
+    rows = written(docs.select("place", "doc_id", "row", "text").mapInArrow(run, shape), "bands", narrow=True)
     files = partitions(docs.sparkSession, rows.count(), FILE_ROWS)
-    firsts = cut(rows.groupBy("print").agg(F.min("row").alias("first")).coalesce(files))
-    twins = rows.select("row", "print").join(firsts, "print").where("row <> first").selectExpr("first a", "row b").distinct()
+    firsts = cut(rows.groupBy("print", "size").agg(F.min("row").alias("first")), narrow=True)
+    twins = rows.select("row", "print", "size").join(firsts, ["print", "size"]).where("row <> first").selectExpr("first a", "row b").distinct()
     lone = rows.select("row", "size", "keys").join(firsts.selectExpr("first row"), "row").dropDuplicates(["row"])
     keyed = lone.select(F.explode("keys").alias("key"), "row", "size")
     dealt = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: buckets(batches, similar), LINKS)
-    found = cut(dealt.distinct().coalesce(files))
+    found = cut(dealt.distinct(), narrow=True)
     pairs = found.where("a is not null").select("a", "b")
-    crowded = cut(keyed.join(found.where("crowded is not null").selectExpr("crowded key"), "key", "left_semi").coalesce(files))
-    wanted = cut(pairs.selectExpr("a row").unionByName(pairs.selectExpr("b row")).unionByName(crowded.select("row")).distinct().coalesce(files))
+    crowded = cut(keyed.join(found.where("crowded is not null").selectExpr("crowded key"), "key", "left_semi"), narrow=True)
+    wanted = cut(pairs.selectExpr("a row").unionByName(pairs.selectExpr("b row")).unionByName(crowded.select("row")).unionByName(twins.selectExpr("a row")).unionByName(twins.selectExpr("b row")).distinct(), narrow=True)
     parts = shingle_sets(docs, wanted)
-    links = alike(pairs, parts, similar).unionByName(crowded_links(crowded, parts, similar)).unionByName(twins)
+    links = alike(pairs.unionByName(twins), parts, similar).unionByName(crowded_links(crowded, parts, similar))
     roots = components(cut(links.repartition(files)))
-    labelled = rows.select("row", "doc_id").join(roots.withColumnRenamed("node", "row"), "row").distinct()
+    labelled = rows.select("place", "row", "doc_id").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     stays = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
-    return labelled.join(stays, "root").select("row", F.col("best.row").alias("keep"))
+    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row") == F.col("best.row"))
+    return labelled.join(stays, "root").where(~same).select(F.col("place").alias(row))
 
 
 def without_near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", similar: float = 0.8) -> DataFrame:
-    """The rows of docs without those that copies() replaces by another, with all their columns. Repeated rows
-    are one document and stay or go together."""
-    gone = copies(docs, text, id, similar).where("row <> keep").select(F.col("row").alias("__row"))
-    name = F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
-    return docs.withColumn("__row", name).join(gone, "__row", "left_anti").select(*docs.columns)
+    """The rows of docs without those that copies() finds, with all their columns, whatever their names. Nulls, ties and
+    repeats are as there: rows equal in id and text stay or go together. An empty table gives an empty result. Rows are
+    told apart by their place in the table; only the places of those that go are joined to it."""
+    rows = with_row(docs, row := fresh("place", docs))
+    gone = cut(copies(rows, row, text, id, similar), narrow=True)
+    return rows.join(small_side(gone), row, "left_anti").select(*docs.columns)

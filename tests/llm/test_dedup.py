@@ -110,7 +110,7 @@ def test_links_of_dense_prints_equal_brute_force(spark, large):
             prints[len(prints)] = x
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     distinct = {v: k for k, v in reversed(prints.items())}
-    df = spark.createDataFrame([(signed(v), signed(v)) for v in distinct], "print long, name long")
+    df = spark.createDataFrame([(signed(v),) for v in distinct], "print long")
     links = simhash.near_links(df, 4, large)
     for a, b in links.collect():
         assert bin((a ^ b) & (1 << 64) - 1).count("1") <= 4
@@ -141,3 +141,26 @@ def test_exact_dedup_agrees_with_sql(spark, small):
     want = sorted(duckdb.sql(entries.OP6_SQL).fetchall())
     df = entries.op6_exact_dedup(spark, small)
     assert sorted(map(tuple, df.collect())) == want
+
+
+def test_fingerprints_that_differ_in_four_bits_share_a_key():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 3000, dtype=np.uint64)
+    y = x.copy()
+    for k in range(3000):
+        for b in rng.choice(64, k % 5, replace=False):
+            y[k] ^= np.uint64(1) << np.uint64(b)
+    p, q = ({(int(a), int(b)) for a, b in zip(*simhash.fuzzy_keys(v)[::-1], strict=True)} for v in (x, y))
+    assert {r for r, _ in p & q} == set(range(3000))
+
+
+def test_names_of_texts_survive_hash_collisions(spark):
+    from corpuscle.llm.common import named
+
+    docs = spark.createDataFrame([(k, t, 1, True) for k, t in enumerate(["a", "b", "a", None, "", "c"])], "doc_id long, text string, h int, hit boolean")
+    for first in (F.xxhash64, lambda c: F.length(c).cast("long")):
+        got = {r.doc_id: r.row for r in named(docs, "text", "row", first).collect()}
+        assert got[0] == got[2] and got[3] == got[4] and len(set(got.values())) == 4
+    assert named(docs, "text", "row").columns == [*docs.columns, "row"]
