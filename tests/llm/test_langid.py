@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -52,3 +54,83 @@ def test_the_leader_keeps_useless_weights_at_zero():
     rows = [(np.array([k % 2, 10 + rng.integers(100), langid.BUCKETS]), np.array([1.0, 0.01, 1.0]), k % 2) for k in range(400)]
     w, _ = langid.follow_the_leader(rows, 2)
     assert w[0, 0] > 0 > w[0, 1] and (w[10:110] == 0).mean() > 0.5 and not w[200:].any()
+
+
+def plain_features(text):
+    """Buckets of all 1- to 3-grams that end at a character, blanks before the first; and the number of characters."""
+    own = [" ", *(c if c.isalpha() else " " for c in (text or "").lower()), " ", " "]
+    buckets = []
+    for n in (1, 2, 3):
+        for k in range(len(own)):
+            h = 0
+            for m in range(n):
+                h = (h + (ord(own[k - m]) if k >= m else 32) + m + 1) * 0x9E3779B1 % (1 << 32)
+                h ^= h >> 15
+            buckets.append(h * 0x85EBCA6B % (1 << 32) >> 32 - langid.BITS)
+    return buckets, len(own)
+
+
+def plain_leader(rows, classes, alpha=0.3, beta=1.0, l1=0.02, l2=0.01, epochs=3):
+    z, n, held = {}, {}, {}
+
+    def weight(key):
+        value = z.get(key, 0.0)
+        if abs(value) <= l1:
+            return 0.0
+        return -(value - math.copysign(l1, value)) / ((beta + math.sqrt(n.get(key, 0.0))) / alpha + l2)
+
+    for _ in range(epochs):
+        for index, value, label in rows:
+            w = {(i, c): weight((i, c)) for i in index for c in range(classes)}
+            logits = [sum(v * w[i, c] for i, v in zip(index, value, strict=True)) for c in range(classes)]
+            total = sum(math.exp(x) for x in logits)
+            for i, v in zip(index, value, strict=True):
+                for c in range(classes):
+                    g = v * (math.exp(logits[c]) / total - (c == label))
+                    old = n.get((i, c), 0.0)
+                    z[i, c] = z.get((i, c), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[i, c]
+                    n[i, c] = old + g * g
+    for key in z:
+        held[key] = weight(key)
+    return held
+
+
+def test_features_weights_and_scores_equal_plain_ones(spark):
+    texts = [("the cat and the dog", "en"), ("der Hund und die Katze", "de"), ("Das Haus, 12 Äpfel!", "de"), ("a house", "en"), ("le chat", "fr"), ("x", "fr")] * 3
+    texts = [(t + f" {'ab'[k % 2]}{'xyz'[k % 3]}", lang) for k, (t, lang) in enumerate(texts)]
+    rows, grams = [], []
+    for text, lang in texts:
+        index, share = langid.counted(text)
+        buckets, n = plain_features(text)
+        assert dict(zip(index.tolist(), (share * n).round().astype(int).tolist(), strict=True)) == Counter(buckets)
+        rows.append((index, share * langid.SCALE, ["de", "en", "fr"].index(lang)))
+        grams.append((buckets, n))
+    w, bias = langid.follow_the_leader([(np.append(i, langid.BUCKETS), np.append(v, 1.0), k) for i, v, k in rows], 3)
+    plain = plain_leader([([*i.tolist(), langid.BUCKETS], [*v.tolist(), 1.0], k) for i, v, k in rows], 3)
+    for (bucket, c), value in plain.items():
+        assert math.isclose((bias if bucket == langid.BUCKETS else w[bucket])[c], value, rel_tol=1e-9, abs_tol=1e-12)
+    model = langid.Model(["de", "en", "fr"], (w * langid.SCALE).astype(np.float32), bias, 1.7)
+    names, scores = model.scores([t for t, _ in texts])
+    for (buckets, n), name, score in zip(grams, names, scores, strict=True):
+        logits = [(sum(langid.SCALE * plain.get((b, c), 0.0) for b in buckets) / n + plain[langid.BUCKETS, c]) / 1.7 for c in range(3)]
+        p = [math.exp(x) / sum(map(math.exp, logits)) for x in logits]
+        assert name == model.langs[p.index(max(p))] and math.isclose(score, max(p), rel_tol=1e-5)
+
+
+def test_one_hot_id_does_not_fill_the_sample(spark, monkeypatch):
+    """A repeated id and a text that most rows have: the sample stays small and has every language."""
+    seen = []
+    plain = langid.follow_the_leader
+    monkeypatch.setattr(langid, "follow_the_leader", lambda rows, *a, **k: seen.append(len(rows)) or plain(rows, *a, **k))
+    rows = [(1, "the same text for all of us", "en")] * 3000 + [(None, f"der hund nummer {k} und die katze", "de") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs, sample_rows=50).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in got} == {"en": 3000, "de": 3000} and seen[0] <= 100
+
+
+def test_accepted_without_labels_keeps_texts_with_letters(spark):
+    docs = spark.createDataFrame([(1, "abc", None), (2, None, None), (3, "12", None), (3, "éa", None)], "doc_id long, text string, lang string")
+    assert sorted(r.text for r in langid.accepted(docs).collect()) == ["abc", "éa"]
+    assert langid.accepted(docs.where("false")).count() == 0
+    some = spark.createDataFrame([(k, "the cat and dog" if k % 2 else "der hund und katze", "en" if k % 2 else "de", 1) for k in range(60)], "doc_id long, text string, lang string, score int")
+    assert {r.doc_id % 2 for r in langid.accepted(some, langs=["en"]).collect()} == {1}
