@@ -13,16 +13,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import scratch_path
+from corpuscle.llm.common import scratch_path, written
 
 #: Hidden states.
 STATES = 8
-#: Words with an emission of their own, at most, and their least count; the rest emit one of CLASSES shapes.
-HEAD_WORDS, HEAD_LEAST, CLASSES = 1 << 18, 16, 256
-#: Bytes of a head word, at most, so the table of them has a bounded size.
-HEAD_BYTES = 64
-#: Tokens of the sample that training starts from, its rounds, and the rounds over the whole corpus.
-SAMPLE_TOKENS, SAMPLE_ROUNDS, ROUNDS = 400_000, 12, 2
+#: The model's vocabulary: words with an emission of their own, at most, and their least count; the rest emit one of
+#: CLASSES shapes. Longer words than KEY_BYTES go by their first bytes and a digest, so a key's size is bounded.
+HEAD_WORDS, HEAD_LEAST, CLASSES, KEY_BYTES = 1 << 18, 16, 256, 64
+#: Share of the training rows that each round of Baum-Welch goes over, at every size of the corpus.
+ROUNDS = (1 / 16, 1 / 16, 1 / 16, 1 / 16, 1 / 4, 1 / 4, 1.0, 1.0)
 #: Weight, in tokens, of the unigram distribution in each state's emissions.
 PRIOR = 100.0
 #: Tokens of a segment; longer texts are cut, and joined again through their segments' transfer matrices.
@@ -33,8 +32,11 @@ END = b""
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """Words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then the end, which is the empty word."""
+    """Words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then the end, which is the empty word. A word of more than
+    KEY_BYTES bytes is named by one byte more than that, of which sixteen are its digest."""
     words = (text or "").encode().lower().split()
+    if words and max(map(len, words)) > KEY_BYTES:
+        words = [w if len(w) <= KEY_BYTES else w[: KEY_BYTES - 15] + xxhash.xxh3_128_digest(w) for w in words]
     words.append(END)
     return words
 
@@ -260,7 +262,7 @@ def maximised(counts: Counts, unigram: np.ndarray, prior: float = PRIOR) -> Mode
 
 
 def first_model(symbols: np.ndarray, lengths: np.ndarray, unigram: np.ndarray, states: int, rounds: int, seed: int = 3) -> Model:
-    """From random emissions and states that tend to stay, by Baum-Welch on a sample."""
+    """From random emissions and states that tend to stay, by rounds of Baum-Welch on texts at hand."""
     rng = np.random.default_rng(seed)
     emit = unigram[:, None] * rng.gamma(2.0, 0.5, (len(unigram), states)) + 1e-12
     move = np.full((states, states), 0.3 / states) + 0.7 * np.eye(states)
@@ -303,29 +305,27 @@ def word_counts(texts: DataFrame) -> DataFrame:
 def head_of(counts: DataFrame, head_words: int) -> Head:
     """Words at least as frequent as the least count of which there are no more than head_words, HEAD_LEAST or more, and the end."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    least, held = 0, 0
-    for r in sorted(counts.groupBy("n").count().collect(), key=lambda r: -r["n"]):  # distinct counts: fewer than sqrt(2 total)
-        if held + r["count"] > head_words or r["n"] < HEAD_LEAST:
-            break
-        least, held = r["n"], held + r["count"]
-    is_head = ((F.col("n") >= least) & F.lit(held > 0) & (F.length("word") <= HEAD_BYTES)) | (F.length("word") == 0)
-    top = sorted((bytes(r["word"]), r["n"]) for r in counts.where(is_head).select("word", "n").collect())
+    best = counts.where(F.col("n") >= HEAD_LEAST).select("n").orderBy(F.desc("n")).limit(head_words + 1)  # a top-k
+    held, last = best.agg(F.count(F.lit(1)), F.min("n")).first()
+    least = HEAD_LEAST if held <= head_words else last + 1
+    is_head = (F.col("n") >= least) | (F.length("word") == 0)
+    top = sorted((bytes(r["word"]), r["n"]) for r in counts.where(is_head).select("word", "n").collect())  # head_words at most
     rest = {r["shape"]: (r["t"], r["w"]) for r in counts.where(~is_head).groupBy("shape").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("w")).collect()}
     by_class = np.array([rest.get(k, (0, 0)) for k in range(CLASSES)], np.int64)
     return Head([w for w, _ in top], np.array([n for _, n in top], np.int64), by_class[:, 0], by_class[:, 1], total, distinct)
 
 
-ENCODED = "row long, doc_id {}, held_out boolean, symbols binary, tail array<binary>"
+ENCODED = "row long, doc_id {}, held_out boolean, symbols binary, tail array<binary>, times array<int>"
 
 
 def encoded(docs: DataFrame, head, kind: str) -> DataFrame:
-    """Symbols (32-bit) of each text, and its words outside the head."""
+    """Symbols (32-bit) of each text, and its words outside the head, each once, with their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = head.value.index()
         size, shapes = len(index), {}
         for batch in batches:
-            symbols, tails = [], []
+            symbols, tails, times = [], [], []
             for text in batch.column("text"):
                 words = tokens(text.as_py())
                 own = np.fromiter((index.get(w, -1) for w in words), np.int32, len(words))
@@ -338,11 +338,16 @@ def encoded(docs: DataFrame, head, kind: str) -> DataFrame:
                         shapes[w] = size + shape(w)
                 own[rare] = [shapes[w] if w in shapes else size + shape(w) for w in tail]
                 symbols.append(own.tobytes())
-                tails.append(tail)
+                once = Counter(tail)
+                tails.append(list(once))
+                times.append(list(once.values()))
             yield pa.record_batch(
-                [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(symbols, pa.binary()), pa.array(tails, pa.list_(pa.binary()))],
-                names=["row", "doc_id", "held_out", "symbols", "tail"],
-            )
+                [
+                    batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(symbols, pa.binary()),
+                    pa.array(tails, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32())),
+                ],
+                names=["row", "doc_id", "held_out", "symbols", "tail", "times"],
+            )
 
     return docs.select("row", "doc_id", "held_out", "text").mapInArrow(run, ENCODED.format(kind))
 
@@ -360,15 +365,20 @@ def gathered(column: pa.Array, limit: int = 4 * CHUNK) -> Iterator[tuple[slice,
 
 
 def summed(parts: DataFrame, fans: int) -> list:
-    """Adds up rows (block, fan, data) with equal blocks, first by fan, so no task gathers more than the root of all."""
+    """Adds up rows (block, fan, task, data) with equal blocks in the order of tasks, so that reruns agree, and first by
+    fan, so no task gathers more than the root of all."""
 
     def add(key: tuple, rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in rows["data"].combine_chunks())
-        return pa.table({"block": rows["block"][:1], "fan": pa.array([0], pa.int32()), "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+        rows, total = rows.sort_by("task"), 0.0
+        for x in rows["data"].combine_chunks():
+            total = total + np.frombuffer(x.as_buffer(), np.float64)
+        return pa.table({"block": rows["block"][:1], "fan": pa.array([0], pa.int32()), "task": rows["task"][:1], "data": pa.array([total.tobytes()], pa.binary())})
+
+    once = parts.groupBy("block", "fan").applyInArrow(add, SUMS) if fans > 1 else parts
+    return once.groupBy("block").applyInArrow(add, SUMS).collect()  # states + head words, whatever the corpus
+
 
-    kind = "block int, fan int, data binary"
-    once = parts.groupBy("block", "fan").applyInArrow(add, kind) if fans > 1 else parts
-    return once.groupBy("block").applyInArrow(add, kind).collect()
+SUMS = "block int, fan int, task int, data binary"
 
 
 def whole_round(data: DataFrame, model: Model, unigram: np.ndarray) -> Model:
@@ -379,7 +389,7 @@ def whole_round(data: DataFrame, model: Model, unigram: np.ndarray) -> Model:
     fans = max(1, int(np.ceil(np.sqrt(tasks / 8))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, fan = held.value, TaskContext.get().partitionId() % fans
+        own, task = held.value, TaskContext.get().partitionId()
         states, symbols = len(own.start), len(own.emit)
         counts, seen = no_counts(states, symbols), False
         for batch in batches:
@@ -392,11 +402,11 @@ def whole_round(data: DataFrame, model: Model, unigram: np.ndarray) -> Model:
         tables += [counts.emit[k : k + BLOCK].ravel() for k in range(0, symbols, BLOCK)]
         for k, t in enumerate(tables):
             yield pa.record_batch(
-                [pa.array([k - 1], pa.int32()), pa.array([fan], pa.int32()), pa.array([t.astype(np.float32).tobytes()], pa.binary())],
-                names=["block", "fan", "data"],
+                [pa.array([k - 1], pa.int32()), pa.array([task % fans], pa.int32()), pa.array([task], pa.int32()), pa.array([t.tobytes()], pa.binary())],
+                names=["block", "fan", "task", "data"],
             )
 
-    got = {r["block"]: np.frombuffer(r["data"], np.float32).astype(np.float64) for r in summed(data.mapInArrow(run, "block int, fan int, data binary"), fans)}
+    got = {r["block"]: np.frombuffer(r["data"], np.float64) for r in summed(data.mapInArrow(run, SUMS), fans)}
     held.unpersist()
     k = len(model.start)
     if not got:
@@ -408,7 +418,7 @@ def whole_round(data: DataFrame, model: Model, unigram: np.ndarray) -> Model:
 
 def score(
     docs: DataFrame, held_out: Column, text: str = "text", id: str = "doc_id",
-    states: int = STATES, head_words: int = HEAD_WORDS, rounds: int = ROUNDS, sample_tokens: int = SAMPLE_TOKENS,
+    states: int = STATES, head_words: int = HEAD_WORDS, rounds: tuple[float, ...] = ROUNDS,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -418,10 +428,11 @@ def score(
     can be learned from, score is base_score. Repeated rows come back each; an empty table gives an empty result;
     other columns are not read.
 
-    Counts cover every training token. The frequent words (head_words at most) have emissions of their own and go to
-    the tasks as a table of bounded size. Others emit their shape's symbol, times the word's share of its shape; their
-    counts come by an equality join of the rare tokens with the counts, so the vocabulary may have any size. Training
-    starts from Baum-Welch rounds on a sample of about sample_tokens tokens, followed by `rounds` over all of them.
+    Counts cover every training token. The model's vocabulary, the frequent words (head_words at most), has emissions
+    of its own and goes to the tasks as a table of bounded size. Other words emit their shape's symbol, times the word's
+    share of its shape; their counts come by an equality join of each text's different rare words with the counts, so
+    the corpus may have any number of words. Each round of Baum-Welch goes over the share of the training rows that
+    `rounds` says, whatever their number, the last ones over all: what is gathered grows with the corpus.
     """
     spark = docs.sparkSession
     kind = docs.schema[id].dataType.simpleString()
@@ -439,19 +450,12 @@ def score(
 
     learn = data.where("not held_out").select("symbols")
     unigram = top.unigram()
-    rate = min(1.0, sample_tokens / max(1, top.total))
-    span = 1 << 30
-    place = F.pmod(F.xxhash64("row", F.lit(5)), F.lit(span))
-    sample = data.where(~F.col("held_out") & (place < int(span * rate) + 1)).orderBy(place, "row").select("symbols").collect()
-    parts, size = [], 0
-    for r in sample:
-        if size < 2 * sample_tokens:
-            parts.append(np.frombuffer(r["symbols"], np.int32))
-            size += len(parts[-1])
-    symbols = np.concatenate([np.empty(0, np.int32), *parts])
-    model = first_model(symbols, np.array([len(p) for p in parts], np.int64), unigram, states, SAMPLE_ROUNDS)
-    for _ in range(rounds if top.total else 0):
-        model = whole_round(learn, model, unigram)
+    model = first_model(np.empty(0, np.int32), np.empty(0, np.int64), unigram, states, 0)
+    place, span = F.pmod(F.xxhash64("row", F.lit(5)), F.lit(1 << 30)), 1 << 30
+    few = max((r for r in rounds if r < 1), default=0)
+    part = written(data.where(~F.col("held_out") & (place < int(span * few))).select(place.alias("place"), "symbols"), "symbols-part") if few else None
+    for share in rounds if top.total else ():
+        model = whole_round(learn if share >= 1 else part.where(F.col("place") < int(span * share)).select("symbols"), model, unigram)
     size, learned = len(top.words), bool(top.total)
     held = spark.sparkContext.broadcast(model)
     # of a head word the logarithm of its smoothed count; of a shape's words that comes by the join, here is their share's divisor
@@ -479,9 +483,11 @@ def score(
     scored = data.select("row", "doc_id", "held_out", "symbols").mapInArrow(
         run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, heads long, head_base double, head_score double"
     )
-    rare = data.select("row", F.explode("tail").alias("word")).join(counts.drop("shape"), "word", "left")
+    rare = data.select("row", F.explode(F.arrays_zip(F.col("tail").alias("word"), "times")).alias("w")).select("row", "w.word", "w.times")
+    rare = rare.join(counts.drop("shape"), "word", "left")
     tails = rare.groupBy("row").agg(
-        F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("tail_base"), F.count("n").alias("tail_known")
+        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("tail_base"),
+        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("tail_known"),
     )
     zero = F.lit(0.0)
     out = scored.join(tails, "row", "left")

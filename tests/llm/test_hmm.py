@@ -93,17 +93,48 @@ def test_scores_of_documents(spark, small, head_words):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
-def test_probabilities_of_one_word_texts_sum_to_one(spark, monkeypatch):
-    """Over all first tokens, unknown words being one outcome of each shape."""
-    texts = ["aa bb cc dd", "aa bb xx yy zz", "aa qq", "bb rr ss"] * 3
+def test_symbols_cover_all_words(spark, monkeypatch):
+    """Frequent words, whatever their length, are symbols; shapes hold the rest, with half a count for each and for unknown ones."""
+    long_ = "y" * 5000
+    texts = [f"aa bb cc {long_}", f"aa bb xx {long_} zz", f"aa qq {long_}", "bb rr ss"] * 3
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    monkeypatch.setattr(hmm, "HEAD_LEAST", 1)
-    counts = hmm.word_counts(docs)
-    head = hmm.head_of(counts, 4)
-    assert 0 < len(head.words) <= 5 and b"" in head.words and head.class_words.sum() > 0
-    assert math.isclose(head.unigram().sum(), 1)
-    model = hmm.first_model(np.array([0, 1, 2], np.int32), np.array([3]), head.unigram(), 2, 3)
-    assert np.allclose(model.emit.sum(axis=0), 1)
+    monkeypatch.setattr(hmm, "HEAD_LEAST", 9)
+    head = hmm.head_of(hmm.word_counts(docs), 4)
+    assert len(head.words) == 4 and {b"", b"aa", b"bb"} < set(head.words) and max(map(len, head.words)) == hmm.KEY_BYTES + 1
+    assert head.counts.sum() + head.class_tokens.sum() == head.total == 57 and head.class_words.sum() == head.distinct - 4
+    weight = np.concatenate([head.counts + 0.5, head.class_tokens + 0.5 * (head.class_words + 1)])
+    assert np.allclose(head.unigram(), weight / (head.total + 0.5 * (head.distinct + hmm.CLASSES)))
+
+
+def test_scores_equal_a_plain_forward_pass(spark, small, monkeypatch):
+    """Of the trained model, over each whole text: words by symbol, rare and unknown ones by shape and share."""
+    models = []
+    plain_round = hmm.whole_round
+    monkeypatch.setattr(hmm, "whole_round", lambda *a: models.append(plain_round(*a)) or models[-1])
+    heads = []
+    plain_head = hmm.head_of
+    monkeypatch.setattr(hmm, "head_of", lambda *a: heads.append(plain_head(*a)) or heads[-1])
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = {r.doc_id: r.score for r in hmm.score(docs, langid.held_out(F.col("doc_id"), 5, 1), head_words=300).collect()}
+    again = {r.doc_id: r.score for r in hmm.score(docs, langid.held_out(F.col("doc_id"), 5, 1), head_words=300).collect()}
+    assert got == again
+    model, head = models[len(hmm.ROUNDS) - 1], heads[0]
+    assert len(models) == 2 * len(hmm.ROUNDS) and np.allclose(model.emit.sum(axis=0), 1)
+    texts = {r.doc_id: hmm.tokens(r.text) for r in docs.collect()}
+    counts = Counter(w for i, t in texts.items() if not held(i) for w in t)
+    index = head.index()
+    for i, words_ in sorted(texts.items())[:60]:
+        now, log = model.start, 0.0
+        for w in words_:
+            if w in index:
+                emit = model.emit[index[w]]
+            else:
+                c = hmm.shape(w)
+                emit = model.emit[len(index) + c] * (counts[w] + 0.5) / (head.class_tokens[c] + 0.5 * (head.class_words[c] + 1))
+            now = now * emit
+            log += math.log10(now.sum())
+            now = now / now.sum() @ model.move
+        assert math.isclose(got[i], log, rel_tol=1e-9)
 
 
 def test_odd_rows(spark):
