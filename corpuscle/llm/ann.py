@@ -9,35 +9,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import cut, partitions
+from corpuscle.llm.common import cut, partitions, written
 
 SEED = 20
 #: Bits of a code; shorter vectors are padded with zeros before the rotation, longer ones take their length.
 BITS = 256
-#: Half width of the error bounds, in standard deviations of the estimate's error.
-EPSILON = 2.4
-#: Rows the centres are fitted to, and their number.
-SAMPLE_ROWS, CENTRES = 4096, 16
-#: Rows of a block of the table, and queries of a block of queries.
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 4096
-#: Queries whose estimates against a block are held at a time.
-STEP = 128
+#: Bits of a query's component beside the codes.
+QUERY_BITS = 6
+#: Half width of the error bounds, in standard deviations of the estimate's error; and how many of the standard deviations of
+#: a residual's product with a query, were it of random direction, the best of a cell may reach.
+EPSILON, REACH = 2.4, 4.0
+#: Rows the centres are fitted to, at most; rows of a cell, as long as a cell has 16 of those at least.
+SAMPLE_ROWS, CELL_ROWS = 16_384, 1024
+#: Rows of a block of a cell, and queries of a block of queries.
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 16_384
 
 
 @dataclass
 class Codes:
-    packed: np.ndarray  # (n, bits / 8)
+    packed: np.ndarray  # (n, bits / 64) of 64-bit words
     align: np.ndarray  # inner product of each unit residual with its code
     length: np.ndarray  # of each residual
     cell: np.ndarray
 
 
+def words_of(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
 class Rotation:
     """Codes of residuals to the nearest centre, under one random rotation."""
 
     def __init__(self, centres: np.ndarray, bits: int = BITS, seed: int = SEED) -> None:
         dim = centres.shape[1]
-        self.centres, self.bits = centres, max(bits, -(-dim // 8) * 8)
+        self.centres, self.bits = centres, max(bits, -(-dim // 64) * 64)
         turned, upper = np.linalg.qr(np.random.default_rng(seed).standard_normal((self.bits, self.bits)))
         self.matrix = (turned * np.sign(np.diag(upper)))[:, :dim]
 
@@ -48,21 +53,32 @@ class Rotation:
         length = np.sqrt((rest**2).sum(axis=1))
         turned = (rest / np.where(length > 0, length, 1)[:, None]) @ self.matrix.T
         align = np.abs(turned).sum(axis=1) / np.sqrt(self.bits)
-        return Codes(np.packbits(turned > 0, axis=1), np.where(align > 0, align, 1), length, cell)
+        return Codes(words_of(turned > 0), np.where(align > 0, align, 1), length, cell)
 
     def estimate(self, codes: Codes, queries: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
-        """(queries, rows) inner products as estimated from the codes, and the half width of their bounds.
+        """(queries, rows) inner products as estimated from the packed bits, and the half width of their bounds.
 
         <x, q> = <centre, q> + length * <o, q> for the unit residual o; <o, q> is estimated without bias by
-        <code, q> / <code, o>, with an error of about sqrt((1 - <code, o>^2) / (bits - 1)) / <code, o>."""
-        signs = np.unpackbits(codes.packed, axis=1, count=self.bits).astype(np.float32) * 2 - 1
-        turned = (queries @ self.matrix.T / np.sqrt(self.bits)).astype(np.float32)
-        scale = (codes.length / codes.align).astype(np.float32)
-        guess = (turned @ signs.T) * scale + (queries @ self.centres.T).astype(np.float32)[:, codes.cell]
-        spread = scale * np.sqrt(np.maximum(0, 1 - codes.align**2) / (self.bits - 1)).astype(np.float32)
-        norm = np.sqrt((queries**2).sum(axis=1)).astype(np.float32)
-        slack = 1e-5 * norm[:, None] * (codes.length + np.sqrt((self.centres**2).sum(axis=1).max())).astype(np.float32)
-        return guess, epsilon * norm[:, None] * spread + slack
+        <code, q> / <code, o>, with an error of about sqrt((1 - <code, o>^2) / (bits - 1)) / <code, o>. A query's
+        turned components are rounded to QUERY_BITS bits; then <code, q> is a sum of counts of common bits, one for
+        each plane of the query's bits."""
+        turned = queries @ self.matrix.T / np.sqrt(self.bits)
+        low = turned.min(axis=1)
+        step = np.maximum((turned.max(axis=1) - low) / ((1 << QUERY_BITS) - 1), 1e-300)
+        level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
+        ones = np.bitwise_count(codes.packed).sum(axis=1, dtype=np.int64)
+        common = np.zeros((len(queries), len(codes.packed)))
+        for b in range(QUERY_BITS):
+            plane = words_of(level >> b & 1)
+            for k in range(plane.shape[1]):
+                common += np.bitwise_count(plane[:, k, None] & codes.packed[None, :, k]) * float(1 << b)
+        whole = low * self.bits + step * level.sum(axis=1)
+        dot = 2 * (low[:, None] * ones[None, :] + step[:, None] * common) - whole[:, None]
+        scale = codes.length / codes.align
+        guess = dot * scale + (queries @ self.centres.T)[:, codes.cell]
+        norm = np.sqrt((queries**2).sum(axis=1))
+        spread = np.sqrt(np.maximum(0, 1 - codes.align**2) / (self.bits - 1)) * norm[:, None]
+        return guess, epsilon * scale * np.sqrt(spread**2 + (step**2 / 12)[:, None]) + 1e-9 * norm[:, None] * (codes.length + 1)
 
 
 def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -71,26 +87,25 @@ def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def nearest_in_block(
-    rotation: Rotation, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, epsilon: float
+    rotation: Rotation, ids: np.ndarray, vectors: np.ndarray, codes: Codes, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int, epsilon: float
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The block's k nearest rows of each query, its own excluded: those whose upper bound reaches the k-th best
-    exact product among the rows that look best are compared exactly."""
-    codes = rotation.encode(vectors)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for first in range(0, len(queries), STEP):
-        part = queries[first : first + STEP]
+    """The block's k nearest rows of each query that reach the query's floor, its own row excluded. Those whose upper
+    bound reaches the floor and the k-th best exact product among the rows that look best are compared exactly."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(ids[:0], ids[:0], np.empty(0))]
+    step = max(1, (1 << 20) // max(1, len(ids)))
+    for first in range(0, len(queries), step):
+        part = queries[first : first + step]
         guess, half = rotation.estimate(codes, part, epsilon)
-        for j, (query, own) in enumerate(zip(part, query_ids[first : first + STEP], strict=True)):
-            low, high = guess[j], guess[j] + half[j]
+        for j, (query, own, least) in enumerate(zip(part, query_ids[first : first + step], floor[first : first + step], strict=True)):
+            high = guess[j] + half[j]
             if len(ids) > k + 1:
-                best = np.argpartition(-low, k)[: k + 1]  # one more, as the query's own row may be among them
+                best = np.argpartition(-guess[j], k)[: k + 1]  # one more, as the query's own row may be among them
                 exact = np.sort(products(vectors[best[ids[best] != own]], query))[::-1]
-                chosen = np.flatnonzero(high >= exact[k - 1])
-            else:
-                chosen = np.arange(len(ids))
-            chosen = chosen[ids[chosen] != own]
+                least = max(least, exact[k - 1])
+            chosen = np.flatnonzero((high >= least) & (ids != own))
             score = products(vectors[chosen], query)
             order = np.lexsort((ids[chosen], -score))[:k]
+            order = order[score[order] >= least]
             out.append((np.full(len(order), own), ids[chosen][order], score[order]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -113,14 +128,18 @@ def centres_of(sample: np.ndarray, number: int, seed: int = SEED, rounds: int =
     return centres
 
 
-def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    flat = column.combine_chunks()
+def matrix(column: pa.ChunkedArray | pa.ListArray, dim: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(flat.flatten(), np.float64).reshape(-1, dim)
 
 
+ASKED = "query_id long, v array<double>, floor double, cell int"
+FOUND = "query_id long, vec_id long, score double"
+
+
 def search(
     table: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vector: str = "embedding",
-    epsilon: float = EPSILON, bits: int = BITS, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES,
+    epsilon: float = EPSILON, bits: int = BITS, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row that is_query picks its k nearest among all other rows,
     by inner product in double precision on the original vectors; equals go by the smaller id.
@@ -129,43 +148,96 @@ def search(
     vectors differ in length only those of the most frequent length take part, the longest of equals. Of rows with one
     id the smallest vector counts. Fewer than k candidates come back all; an empty table gives an empty result.
 
-    The rotation is drawn from a seed, the centres are fitted to about SAMPLE_ROWS rows; every row is encoded and every
-    code estimated against every query, in blocks that bound a task's memory whatever the sizes. A row is left out of
-    the exact comparison only if its upper bound lies below k exact products of its block, so what is missed is what
-    the bounds miss: at 2.4 standard deviations about one neighbour in a hundred.
+    The rotation is drawn from a seed, the centres of the cells are fitted to SAMPLE_ROWS rows at most; every row is
+    encoded once and kept by its cell. A query first asks the cells whose centres are best until these have some
+    hundred rows; the k-th best product there is its floor. Then it asks all cells whose best row could reach the
+    floor: the centre's product and REACH standard deviations of what the longest residual adds. In a cell only rows
+    whose upper bound reaches the floor and the k-th exact product of their block are compared exactly. What is missed
+    is what the bounds miss; nothing limits the number of cells or rows that a query may ask. Cells of many rows or
+    queries are split into blocks, so a task's memory is bounded whatever one cell's share of the rows.
     """
+    spark = table.sparkSession
     rows = table.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).alias("v"), is_query.alias("q"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     dim = sizes["dim"] if sizes else 1
     rows = cut(
-        rows.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
+        rows.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").cast("array<double>").alias("v"), F.max("q").alias("q"))
     )
-    n, asked = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
+    n = rows.count()
     span = 1 << 30
     place = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(span))
-    picked = rows.where(place < min(span, span * SAMPLE_ROWS // max(n, 1) + 1)).orderBy(place, "vec_id").select("v").collect()
+    likely = rows.where(place < min(span, 2 * span * SAMPLE_ROWS // max(n, 1) + 1))
+    picked = likely.orderBy(place, "vec_id").limit(SAMPLE_ROWS).select("v").collect()
     sample = np.array([r.v for r in picked], np.float64).reshape(-1, dim)
-    centres = centres_of(sample, CENTRES) if len(sample) else np.zeros((1, dim))
-    held = table.sparkSession.sparkContext.broadcast(Rotation(centres, bits))  # fixed size
-    blocks, turns = partitions(table.sparkSession, n, block_rows), partitions(table.sparkSession, asked, block_queries)
+    number = max(1, min(-(-n // cell_rows), len(sample) // 16))
+    centres = centres_of(sample, number) if len(sample) else np.zeros((1, dim))
+    held = spark.sparkContext.broadcast(Rotation(centres, bits))  # SAMPLE_ROWS / 16 centres at most
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = held.value.encode(matrix(batch.column("v"), dim))
+            yield pa.record_batch(
+                [batch.column("vec_id"), batch.column("v"), pa.array(codes.cell.astype(np.int32)), pa.array([x.tobytes() for x in codes.packed], pa.binary()), pa.array(codes.align), pa.array(codes.length)],
+                names=["vec_id", "v", "cell", "code", "align", "length"],
+            )
 
-    def dealt(df: DataFrame, own: str, count: int, other: str, others: int) -> DataFrame:
-        block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(count)).cast("int").alias(own)
-        return df.select("vec_id", "v", block, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+    coded = written(
+        rows.select("vec_id", "v").mapInArrow(encode, "vec_id long, v array<double>, cell int, code binary, align double, length double"), "codes"
+    )
+    cells = {r["cell"]: (r["n"], r["length"]) for r in coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("length")).collect()}  # a row per cell
+    held_cells = spark.sparkContext.broadcast(cells)
+    wide = min(1.0, REACH / np.sqrt(dim))
+
+    def ask(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
+        own, cells = held.value, held_cells.value
+        count, length = (np.array([cells.get(c, (0, 0.0))[x] for c in range(len(own.centres))]) for x in (0, 1))
+        for batch in batches:
+            queries = matrix(batch.column("v"), dim)
+            dots = queries @ own.centres.T
+            dots[:, count == 0] = -np.inf
+            norm = np.sqrt((queries**2).sum(axis=1))
+            order = np.argsort(-dots, axis=1, kind="stable")
+            rows_before = np.cumsum(count[order], axis=1) - count[order]
+            near = np.zeros(dots.shape, bool)
+            np.put_along_axis(near, order, rows_before < 10 * k, axis=1)
+            if not first:
+                floor = batch.column("floor").to_numpy(zero_copy_only=False)
+                near = ~near & (dots + wide * norm[:, None] * length + 1e-9 >= floor[:, None])
+            query, cell = np.nonzero(near & (count > 0))
+            out = batch.take(pa.array(query))
+            floors = pa.array(np.full(len(query), -np.inf)) if first else out.column("floor")
+            yield pa.record_batch([out.column("vec_id"), out.column("v"), floors, pa.array(cell.astype(np.int32))], names=["query_id", "v", "floor", "cell"])
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        found = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         if left.num_rows and right.num_rows:
+            number = lambda t, c: t[c].to_numpy()
+            packed = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint64).reshape(left.num_rows, -1)
+            codes = Codes(packed, number(left, "align"), number(left, "length"), number(left, "cell"))
             found = nearest_in_block(
-                held.value, left["vec_id"].to_numpy(), matrix(left["v"], dim), right["vec_id"].to_numpy(), matrix(right["v"], dim), k, epsilon
+                held.value, number(left, "vec_id"), matrix(left["v"], dim), codes, number(right, "query_id"), matrix(right["v"], dim), number(right, "floor"), k, epsilon
             )
-        else:
-            found = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
-    base = dealt(rows, "block", blocks, "turn", turns).groupBy("block", "turn")
-    queries = dealt(rows.where("q"), "turn", turns, "block", blocks).groupBy("block", "turn")
-    near = base.cogroup(queries).applyInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    def met(asked: DataFrame) -> DataFrame:
+        turns = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}  # a row per cell
+        plan = [(c, partitions(spark, cells[c][0], block_rows), partitions(spark, q, block_queries)) for c, q in turns.items()]
+        plan = F.broadcast(spark.createDataFrame(plan, "cell int, blocks int, turns int"))  # a row per cell
+        deal = lambda c, count: F.pmod(F.xxhash64(c, F.lit(1)), count).cast("int")
+        every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+        base = coded.join(plan, "cell").withColumn("block", deal("vec_id", "blocks")).withColumn("turn", every("turns"))
+        queries = asked.join(plan, "cell").withColumn("turn", deal("query_id", "turns")).withColumn("block", every("blocks"))
+        meeting = ["cell", "block", "turn"]
+        return base.drop("blocks", "turns").groupBy(*meeting).cogroup(queries.drop("blocks", "turns").groupBy(*meeting)).applyInArrow(run, FOUND)
+
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    queries = rows.where("q").select("vec_id", "v")
+    start = cut(best(met(cut(queries.mapInArrow(lambda b: ask(b, True), ASKED)))).drop("rank"), narrow=True)
+    floors = start.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+    floored = queries.join(floors.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("vec_id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    more = met(cut(floored.mapInArrow(lambda b: ask(b, False), ASKED)))
+    return best(start.unionByName(more)).select("query_id", "rank", "vec_id", "score")

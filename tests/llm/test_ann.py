@@ -29,8 +29,8 @@ def results(df):
 def test_recall_against_brute_force(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     want = brute({r.vec_id: r.embedding for r in table.collect()})
-    for blocks in ((ann.BLOCK_ROWS, ann.BLOCK_QUERIES), (300, 30)):
-        got = results(ann.search(table, F.col("vec_id") % 20 == 0, block_rows=blocks[0], block_queries=blocks[1]))
+    for blocks in ((ann.BLOCK_ROWS, ann.BLOCK_QUERIES, ann.CELL_ROWS), (300, 30, 100)):
+        got = results(ann.search(table, F.col("vec_id") % 20 == 0, block_rows=blocks[0], block_queries=blocks[1], cell_rows=blocks[2]))
         assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
         exact = {q: dict(v) for q, v in want.items()}
         hits = sum(len({i for i, _ in got[q]} & exact[q].keys()) for q in got)
@@ -72,3 +72,20 @@ def test_bounds_hold_for_nearly_all(spark):
     guess, half = rotation.estimate(rotation.encode(x), x[:50])
     error = np.abs(guess - x[:50] @ x.T)
     assert (error <= half).mean() > 0.97 and error.mean() < half.mean()
+
+
+def test_cells_are_pruned_and_recall_stays(spark, monkeypatch):
+    """Clustered vectors of unequal length and spread: a query asks few cells, and nine in ten neighbours at least are found."""
+    rng = np.random.default_rng(12)
+    middle = rng.standard_normal((40, 32)) * 2
+    rows = {i: middle[i % 40] * (1 + (i % 3)) + rng.standard_normal(32) * rng.uniform(0.2, 1.0) * np.linspace(0.1, 2, 32) for i in range(6000)}
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "vec_id long, embedding array<double>")
+    met = []
+    plain = ann.cut
+    monkeypatch.setattr(ann, "cut", lambda df, narrow=False: met.append(plain(df, narrow)) or met[-1])
+    got = results(ann.search(table, F.col("vec_id") % 20 == 0, cell_rows=100))
+    want = brute(rows)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in got)
+    assert got.keys() == want.keys() and hits >= 0.95 * 20 * len(want)
+    asked = sum(df.count() for df in met if "cell" in df.columns)
+    assert asked < 0.4 * 60 * len(want)
