@@ -21,8 +21,8 @@ QUERY_BITS = 6
 EPSILON, REACH = 2.4, 4.0
 #: Rows the centres are fitted to, at most; rows of a cell, as long as a cell has 16 of those at least.
 SAMPLE_ROWS, CELL_ROWS = 16_384, 1024
-#: Rows of a block of a cell, and queries of a block of queries.
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 16_384
+#: Rows that a task holds, of one cell or of several, and queries of a block of queries.
+BLOCK_ROWS, BLOCK_QUERIES = 65_536, 16_384
 
 
 @dataclass
@@ -87,26 +87,29 @@ def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def nearest_in_block(
-    rotation: Rotation, ids: np.ndarray, vectors: np.ndarray, codes: Codes, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int, epsilon: float
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The block's k nearest rows of each query that reach the query's floor, its own row excluded. Those whose upper
-    bound reaches the floor and the k-th best exact product among the rows that look best are compared exactly."""
+    rotation: Rotation, ids: np.ndarray, vectors: np.ndarray, codes: Codes, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray,
+    cells: list[list[int]], k: int, epsilon: float,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the cells that each query asks, which come sorted, the block's k nearest rows that reach the query's floor, its own
+    row excluded. Rows whose upper bound reaches the floor and the k-th best exact product among those that look best
+    are compared exactly."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(ids[:0], ids[:0], np.empty(0))]
-    step = max(1, (1 << 20) // max(1, len(ids)))
-    for first in range(0, len(queries), step):
-        part = queries[first : first + step]
-        guess, half = rotation.estimate(codes, part, epsilon)
-        for j, (query, own, least) in enumerate(zip(part, query_ids[first : first + step], floor[first : first + step], strict=True)):
-            high = guess[j] + half[j]
-            if len(ids) > k + 1:
-                best = np.argpartition(-guess[j], k)[: k + 1]  # one more, as the query's own row may be among them
-                exact = np.sort(products(vectors[best[ids[best] != own]], query))[::-1]
-                least = max(least, exact[k - 1])
-            chosen = np.flatnonzero((high >= least) & (ids != own))
-            score = products(vectors[chosen], query)
-            order = np.lexsort((ids[chosen], -score))[:k]
-            order = order[score[order] >= least]
-            out.append((np.full(len(order), own), ids[chosen][order], score[order]))
+    for own, query, least, asked in zip(query_ids, queries, floor, cells, strict=True):
+        bounds = zip(np.searchsorted(codes.cell, asked, "left").tolist(), np.searchsorted(codes.cell, asked, "right").tolist(), strict=True)
+        rows = np.concatenate([np.arange(x, z) for x, z in bounds])
+        rows = rows[ids[rows] != own]
+        if not len(rows):
+            continue
+        part = Codes(codes.packed[rows], codes.align[rows], codes.length[rows], codes.cell[rows])
+        guess, half = (x[0] for x in rotation.estimate(part, query[None, :], epsilon))
+        if len(rows) > k:
+            best = rows[np.argpartition(-guess, k - 1)[:k]]
+            least = max(least, products(vectors[best], query).min())
+        rows = rows[guess + half >= least]
+        score = products(vectors[rows], query)
+        order = np.lexsort((ids[rows], -score))[:k]
+        order = order[score[order] >= least]
+        out.append((np.full(len(order), own), ids[rows][order], score[order]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -133,10 +136,20 @@ def matrix(column: pa.ChunkedArray | pa.ListArray, dim: int) -> np.ndarray:
     return np.asarray(flat.flatten(), np.float64).reshape(-1, dim)
 
 
-ASKED = "query_id long, v array<double>, floor double, cell int"
+ASKED = "query_id long, v array<double>, floor double, part int, cells array<int>"
 FOUND = "query_id long, vec_id long, score double"
 
 
+def parts_of(counts: np.ndarray, block_rows: int) -> np.ndarray:
+    """Cells in turn go to a part until it has block_rows rows; a cell with more has a part of its own."""
+    part, size, out = 0, 0, np.zeros(len(counts), np.int32)
+    for c, n in enumerate(counts.tolist()):
+        if size and size + n > block_rows:
+            part, size = part + 1, 0
+        out[c], size = part, size + n
+    return out
+
+
 def search(
     table: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vector: str = "embedding",
     epsilon: float = EPSILON, bits: int = BITS, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES,
@@ -153,8 +166,9 @@ def search(
     hundred rows; the k-th best product there is its floor. Then it asks all cells whose best row could reach the
     floor: the centre's product and REACH standard deviations of what the longest residual adds. In a cell only rows
     whose upper bound reaches the floor and the k-th exact product of their block are compared exactly. What is missed
-    is what the bounds miss; nothing limits the number of cells or rows that a query may ask. Cells of many rows or
-    queries are split into blocks, so a task's memory is bounded whatever one cell's share of the rows.
+    is what the bounds miss; nothing limits the number of cells or rows that a query may ask. A task holds a part: some
+    cells with block_rows rows together; larger cells and the queries of a part are split into blocks, so its memory is
+    bounded whatever one cell's share of the rows.
     """
     spark = table.sparkSession
     rows = table.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).alias("v"), is_query.alias("q"))
@@ -185,50 +199,62 @@ def search(
     coded = written(
         rows.select("vec_id", "v").mapInArrow(encode, "vec_id long, v array<double>, cell int, code binary, align double, length double"), "codes"
     )
-    cells = {r["cell"]: (r["n"], r["length"]) for r in coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("length")).collect()}  # a row per cell
-    held_cells = spark.sparkContext.broadcast(cells)
+    counts, longest = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    for r in coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("length")).collect():  # a row per cell
+        counts[r["cell"]], longest[r["cell"]] = r["n"], r["length"]
+    part_of = parts_of(counts, block_rows)
+    held_cells = spark.sparkContext.broadcast((counts, longest, part_of))
     wide = min(1.0, REACH / np.sqrt(dim))
 
     def ask(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
-        own, cells = held.value, held_cells.value
-        count, length = (np.array([cells.get(c, (0, 0.0))[x] for c in range(len(own.centres))]) for x in (0, 1))
+        own, (count, length, part_of) = held.value, held_cells.value
         for batch in batches:
             queries = matrix(batch.column("v"), dim)
             dots = queries @ own.centres.T
             dots[:, count == 0] = -np.inf
             norm = np.sqrt((queries**2).sum(axis=1))
             order = np.argsort(-dots, axis=1, kind="stable")
-            rows_before = np.cumsum(count[order], axis=1) - count[order]
+            before = np.cumsum(count[order], axis=1) - count[order]
             near = np.zeros(dots.shape, bool)
-            np.put_along_axis(near, order, rows_before < 10 * k, axis=1)
+            np.put_along_axis(near, order, before < 10 * k, axis=1)
             if not first:
                 floor = batch.column("floor").to_numpy(zero_copy_only=False)
                 near = ~near & (dots + wide * norm[:, None] * length + 1e-9 >= floor[:, None])
             query, cell = np.nonzero(near & (count > 0))
-            out = batch.take(pa.array(query))
-            floors = pa.array(np.full(len(query), -np.inf)) if first else out.column("floor")
-            yield pa.record_batch([out.column("vec_id"), out.column("v"), floors, pa.array(cell.astype(np.int32))], names=["query_id", "v", "floor", "cell"])
+            order = np.lexsort((cell, part_of[cell], query))
+            query, cell = query[order], cell[order]
+            part = part_of[cell]
+            start = np.flatnonzero(np.r_[True, (query[1:] != query[:-1]) | (part[1:] != part[:-1])]) if len(query) else np.empty(0, np.int64)
+            out = batch.take(pa.array(query[start]))
+            floors = pa.array(np.full(len(start), -np.inf)) if first else out.column("floor")
+            cells = pa.ListArray.from_arrays(pa.array(np.r_[start, len(query)].astype(np.int32)), pa.array(cell.astype(np.int32)))
+            yield pa.record_batch([out.column("vec_id"), out.column("v"), floors, pa.array(part[start]), cells], names=["query_id", "v", "floor", "part", "cells"])
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         found = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         if left.num_rows and right.num_rows:
+            left = left.sort_by([("cell", "ascending"), ("vec_id", "ascending")])
             number = lambda t, c: t[c].to_numpy()
             packed = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint64).reshape(left.num_rows, -1)
             codes = Codes(packed, number(left, "align"), number(left, "length"), number(left, "cell"))
             found = nearest_in_block(
-                held.value, number(left, "vec_id"), matrix(left["v"], dim), codes, number(right, "query_id"), matrix(right["v"], dim), number(right, "floor"), k, epsilon
-            )
+                held.value, number(left, "vec_id"), matrix(left["v"], dim), codes, number(right, "query_id"), matrix(right["v"], dim),
+                number(right, "floor"), right["cells"].to_pylist(), k, epsilon,
+            )
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
+    rows_of = np.bincount(part_of, counts).astype(np.int64)
+    cells = F.broadcast(spark.createDataFrame(list(enumerate(part_of.tolist())), "cell int, part int"))  # a row per cell
+
     def met(asked: DataFrame) -> DataFrame:
-        turns = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}  # a row per cell
-        plan = [(c, partitions(spark, cells[c][0], block_rows), partitions(spark, q, block_queries)) for c, q in turns.items()]
-        plan = F.broadcast(spark.createDataFrame(plan, "cell int, blocks int, turns int"))  # a row per cell
+        turns = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect()}  # a row per part
+        plan = [(p, partitions(spark, int(rows_of[p]), block_rows), partitions(spark, q, block_queries)) for p, q in turns.items()]
+        plan = F.broadcast(spark.createDataFrame(plan, "part int, blocks int, turns int"))  # a row per part
         deal = lambda c, count: F.pmod(F.xxhash64(c, F.lit(1)), count).cast("int")
         every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-        base = coded.join(plan, "cell").withColumn("block", deal("vec_id", "blocks")).withColumn("turn", every("turns"))
-        queries = asked.join(plan, "cell").withColumn("turn", deal("query_id", "turns")).withColumn("block", every("blocks"))
-        meeting = ["cell", "block", "turn"]
+        base = coded.join(cells, "cell").join(plan, "part").withColumn("block", deal("vec_id", "blocks")).withColumn("turn", every("turns"))
+        queries = asked.join(plan, "part").withColumn("turn", deal("query_id", "turns")).withColumn("block", every("blocks"))
+        meeting = ["part", "block", "turn"]
         return base.drop("blocks", "turns").groupBy(*meeting).cogroup(queries.drop("blocks", "turns").groupBy(*meeting)).applyInArrow(run, FOUND)
 
     def best(found: DataFrame) -> DataFrame:

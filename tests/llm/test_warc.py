@@ -70,10 +70,10 @@ def test_global_order_over_many_runs_and_ranges(spark, small):
     folder = scratch_path(spark, "test-warc")
     marked = pages.select(F.col("page_id").cast("string").alias("page"), "url", F.lit("2024-01-01T00:00:00Z").alias("date"), "html", F.lit(None).cast("string").alias("refers"))
     archives = warc.write_archives(marked, folder, file_bytes=2000)
-    assert len(archives) > 5
-    runs = warc.index_runs(spark, folder, archives, run_rows=3)
+    assert archives.count() > 5
+    runs = warc.index_runs(folder, archives, run_rows=3)
     assert runs.count() > 9
-    got = warc.merge_runs(spark, folder, runs, fan_in=3, range_rows=10).collect()
+    got = warc.merge_runs(folder, runs, fan_in=3, range_rows=10, part_rows=20).collect()
     assert sorted(int(r.page) for r in got) == sorted(r.page_id for r in pages.collect())
     placed = sorted(got, key=lambda r: (r.range_no, r.place))
     assert placed == sorted(got, key=lambda r: warc.order(r.asDict())) and len({r.range_no for r in got}) > 2
@@ -86,3 +86,36 @@ def test_a_payload_that_changed_is_an_error():
     assert warc.parsed(good)["payload_bytes"] == 7
     with pytest.raises(ValueError):
         warc.parsed(good.replace(b"payload\r\n", b"pAyload\r\n"))
+
+
+def test_ids_of_any_size_and_kind(spark):
+    rows = [(10**13, "http://a.org/1", "x" * 200), (3 * 10**11, "http://a.org/1", "y" * 50), (-5, "http://a.org/1", "x" * 200), (7, "http://a.org/1", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.archive_pages(pages).collect()
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got} == {
+        (10**13, "revisit", -5), (3 * 10**11, "response", None), (-5, "response", None), (7, "response", None)
+    }
+    assert all("2024" <= r.captured_at[:4] <= "2056" and len(r.captured_at) == 20 for r in got)
+    assert {r.captured_at for r in got if r.page_id == 7} == {"2024-01-01T00:00:07Z"}
+    named = spark.createDataFrame([("a1", *rows[0][1:]), ("b2", *rows[0][1:]), ("12", "u", "z"), (None, "u", "z")], pages.schema.simpleString()[7:-1].replace(":", " ").replace("page_id bigint", "page_id string"))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive_pages(named).collect()}
+    assert got == {"a1": ("response", None), "b2": ("revisit", "a1"), "12": ("response", None), None: ("response", None)}
+
+
+def test_ranges_of_a_hot_url_are_read_once(tmp_path):
+    """All captures are of one URL: the ranges together read each row about once, a block more at each limit."""
+    store = warc.Store(f"file://{tmp_path}")
+    rows = [
+        {"url_key": "org,hot)/", "captured_at": f"2024-01-01T{k // 3600:02d}:{k // 60 % 60:02d}:{k % 60:02d}Z", "page": str(k), "archive": "a", "offset": k, "length": 1,
+         "record_type": "response", "payload_bytes": 0, "payload_digest": "", "refers": None}
+        for k in range(40_000)
+    ]
+    warc.write_run(store, "one.parquet", rows[:25_000])
+    warc.write_run(store, "two.parquet", rows[25_000:])
+    limits = [None, *(warc.order(rows[k]) for k in range(2000, 40_000, 2000)), None]
+    read, got = 0, []
+    for low, high in zip(limits, limits[1:], strict=False):
+        cursor = warc.Cursor(store, ["one.parquet", "two.parquet"], low, high)
+        got += [row["offset"] for _, row in cursor]
+        read += cursor.read
+    assert got == list(range(40_000)) and read <= 40_000 + 2 * len(limits) * warc.GROUP_ROWS
