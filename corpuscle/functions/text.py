@@ -18,6 +18,12 @@ def once(value: Column, expression: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), expression), F.lit(0))
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are costly, computed once however often they are named: the optimiser puts an expression in
+    wherever a filter or another column names it, but not past a generator, so they come out of one."""
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
@@ -66,20 +72,18 @@ def truncated(text: Column, most: int = rules.MAX_CHARS) -> Column:
 
 
 def comment_steps(df: DataFrame, text: str, most: int = rules.MAX_CHARS) -> DataFrame:
-    """Adds `clean` and, for each counted step, `changed_<step>`. Steps are columns of their own, so each pattern is
-    applied once however often a step's text is compared."""
-    now = F.col(text)
-    names = []
+    """Adds `clean` and, for each counted step, `changed_<step>`. Each step's text is computed once, however often it is
+    compared. Null texts stay null, without any work."""
+    now, names, kept = text, [], df.columns
     for k, (step, chain) in enumerate(groupby(rules.COMMENT, key=lambda r: r.step)):
-        after = rewrite(now, chain)
-        name = f"__step{k}"
-        df = df.withColumn(name, strip(after) if step == "whitespace" else after)
+        after = rewrite(F.col(now), chain)
+        names.append(f"__step{k}")
+        df = computed(df, **{names[-1]: strip(after) if step == "whitespace" else after})
         if step in rules.COMMENT_COUNTED:
-            df = df.withColumn(f"changed_{step}", F.col(name) != now)
-        now = F.col(name)
-        names.append(name)
-    df = df.withColumn("clean", truncated(now, most)).withColumn("changed_truncate", F.col("clean") != now)
-    return df.drop(*names)
+            df = df.withColumn(f"changed_{step}", F.col(names[-1]) != F.col(now))
+        now = names[-1]
+    df = computed(df, clean=truncated(F.col(now), most)).withColumn("changed_truncate", F.col("clean") != F.col(now))
+    return df.select(*kept, "clean", *[f"changed_{s}" for s in rules.COMMENT_COUNTED])
 
 
 def comment_clean(text: Column, most: int = rules.MAX_CHARS) -> Column:
@@ -105,9 +109,8 @@ def plain_quotes(text: Column) -> Column:
 
 def news_clean(nfc: Column) -> Column:
     """From text with plain quotes in NFC. An odd number of `"` removes them all."""
-    own = strip(rewrite(nfc, rules.NEWS))
-    bare = F.replace(own, F.lit('"'), F.lit(""))
-    return strip(F.when((F.length(own) - F.length(bare)) % 2 == 1, bare).otherwise(own))
+    bare = lambda t: F.replace(t, F.lit('"'), F.lit(""))
+    return once(strip(rewrite(nfc, rules.NEWS)), lambda t: strip(F.when((F.length(t) - F.length(bare(t))) % 2 == 1, bare(t)).otherwise(t)))
 
 
 def news_quality(text: Column, least: int = rules.MIN_WORDS) -> Column:

@@ -24,11 +24,13 @@ def each(function, kind: T.DataType = T.StringType()):  # noqa: B008
 
 
 def nfc(text: Column) -> Column:
-    return each(lambda t: t if t.isascii() else unicodedata.normalize("NFC", t))(text)
+    """Normalisation to NFC; ASCII texts are so already and don't go to Python."""
+    return F.coalesce(each(lambda t: unicodedata.normalize("NFC", t))(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def unescape(text: Column) -> Column:
-    return each(html.unescape)(text)
+    """HTML entities resolved; texts without `&` have none and don't go to Python."""
+    return F.coalesce(each(html.unescape)(F.when(text.contains("&"), text)), text)
 
 
 def balanced(text: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions import rules
-from corpuscle.functions.text import comment_steps, drop_reason, is_blank, word_count
+from corpuscle.functions.text import comment_steps, computed, drop_reason, is_blank, word_count
 
 
 def percent(n: Column, total: Column) -> Column:
@@ -14,15 +14,15 @@ def percent(n: Column, total: Column) -> Column:
 
 
 def cleaned(lines: DataFrame, text: str, least: int = rules.MIN_WORDS, most: int = rules.MAX_CHARS) -> DataFrame:
-    """Adds `reason` (of dropping, null if kept), `clean` and the steps' changed_ flags. Blank lines are no samples.
-    A line is charged to the first rule that it fails; the costly chain counts for lines that pass the cheap rules."""
-    own = lines.where(~is_blank(F.col(text))).withColumn("reason", drop_reason(F.col(text), least))
-    own = comment_steps(own, text, most)
+    """Adds `reason` (of dropping, null if kept), `clean` and the steps' changed_ flags. Blank lines are no samples. A line is
+    charged to the first rule that it fails; the costly chain is run for lines that pass the cheap rules, so `clean` of
+    the others is null."""
+    own = computed(lines.where(~is_blank(F.col(text))), cheap=drop_reason(F.col(text), least))
+    own = comment_steps(own.withColumn("passed", F.when(F.col("cheap").isNull(), F.col(text))), "passed", most)
     late = F.when(is_blank(F.col("clean")) | (word_count(F.col("clean")) < least), "empty")
-    own = own.withColumn("late", late)
-    for step in rules.COMMENT_COUNTED:
-        own = own.withColumn(f"changed_{step}", F.col("reason").isNull() & F.col(f"changed_{step}"))
-    return own.withColumn("reason", F.coalesce("reason", "late")).drop("late")
+    own = computed(own, reason=F.when(F.col("cheap").isNull(), late).otherwise(F.col("cheap")))
+    flags = [F.coalesce(F.col(f"changed_{s}"), F.lit(False)).alias(f"changed_{s}") for s in rules.COMMENT_COUNTED]
+    return own.select(*lines.columns, "reason", "clean", *flags)
 
 
 def summary(rows: DataFrame) -> DataFrame:

@@ -100,8 +100,9 @@ QUALITY_SQL = (
 
 def nfc_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    nfc = docs.withColumn("nfc", udfs.nfc(text.plain_quotes(F.coalesce("text", F.lit("")))))
-    return nfc.withColumn("clean", text.news_clean(F.col("nfc"))).drop("nfc")
+    plain = text.computed(docs, plain=text.plain_quotes(F.coalesce("text", F.lit(""))))
+    nfc = plain.withColumn("nfc", udfs.nfc(F.col("plain")))
+    return text.computed(nfc, clean=text.news_clean(F.col("nfc"))).drop("plain", "nfc")
 
 
 # ---- cleaning, filters, dedup --------------------------------------------------------------------
@@ -251,8 +252,8 @@ def entity_packaging(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def forum_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = lines(spark, sf_dir).where(~text.is_blank(F.col("line")))
-    raw = text.rewrite(udfs.unescape(F.col("line")), rules.FORUM_RAW)
-    clean = own.withColumn("clean", text.forum_clean(udfs.nfc(raw)))
+    plain = text.computed(own.withColumn("plain", udfs.unescape(F.col("line"))), raw=text.rewrite(F.col("plain"), rules.FORUM_RAW))
+    clean = text.computed(plain.withColumn("nfc", udfs.nfc(F.col("raw"))), clean=text.forum_clean(F.col("nfc")))
     return clean.where(text.forum_quality(F.col("clean"))).select("doc_id", "line_no", "clean")
 
 
