@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import cut
+from corpuscle.llm.common import cut, written
 
 SEED = 42
 #: Words of 32 bits in a block, each with one bit of a key; and odd multipliers, one for each word.
@@ -99,7 +99,7 @@ def judge(
 
     Every page asks the filter for each key that could list it. What may be listed goes on to an equality join
     with the list, which drops false hits. Only the filter is broadcast, at most_bytes at the most; Spark
-    chooses the join by the list's size, and splits keys that are hot.
+    chooses the join by the list's size, and splits keys that are hot. Pages without a possible hit aren't shuffled.
     """
     spark = pages.sparkSession
     keys = rules.where("host is not null and path is not null").select(
@@ -134,11 +134,13 @@ def judge(
     parts = pages.select(F.col(id).alias("page_id"), host.alias("host"), path.alias("path"))
     kind = parts.schema["page_id"].dataType.simpleString()
     asked = parts.mapInArrow(ask, f"page_id {kind}, host string, path string, hits array<string>")
-    numbered = asked.withColumn("row", F.monotonically_increasing_id())
-    possible = numbered.select("row", "page_id", "host", "path", F.explode_outer("hits").alias("key"))
+    numbered = written(asked.withColumn("row", F.monotonically_increasing_id()), "asked", narrow=True)
+    possible = numbered.where(F.size("hits") > 0).select("row", "page_id", "host", "path", F.explode("hits").alias("key"))
     real = possible.join(keys.withColumn("known", F.lit(True)), "key", "left")
     rank = F.when(F.col("known"), F.struct(~F.col("key").startswith("="), F.length("key").alias("n"), "key", "verdict"))
     best = real.groupBy("row", "page_id", "host", "path").agg(F.max(rank).alias("best"))
+    clear = numbered.where(F.size("hits") == 0).select("row", "page_id", "host", "path", F.lit(None).cast(best.schema["best"].dataType).alias("best"))
+    best = best.unionByName(clear)
     ruled = ~F.col("best.key").startswith("=")
     return best.select(
         "page_id", "host", "path", F.when(ruled, F.col("best.key")).alias("rule"),
