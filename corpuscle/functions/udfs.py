@@ -132,16 +132,25 @@ def term_segmenter(phrases: Iterable[str], fixed: bool = False):
     return run
 
 
+#: Letters that match others in any case without sharing their folded form with them.
+ODD_CASE = re.compile("[\u0130\u0131]")
+
+
 def translator(entries: list[tuple[str, str]]):
-    """Applies a slang dictionary: longest key first, whole words, any case, one key after another, so a later key
-    may rewrite what an earlier one put in. Values are literal."""
+    """Applies a slang dictionary to a text, first put in NFC: longest key first, whole words, any case, one key after
+    another, so a later key may rewrite what an earlier one put in. Values are literal. Keys that a text doesn't hold
+    cost a search for a substring each."""
     ordered = sorted(entries, key=lambda e: -len(e[0]))
-    patterns = [(re.compile(rf"\b{re.escape(k)}\b", re.I), v) for k, v in ordered]
+    patterns = [(k.casefold(), re.compile(rf"\b{re.escape(k)}\b", re.I), v) for k, v in ordered]
 
     def run(text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
-        for pattern, value in patterns:
-            text = pattern.sub(lambda _, v=value: v, text)
+        text = text if text.isascii() else unicodedata.normalize("NFC", text)
+        held = text.casefold()
+        odd = ODD_CASE.search(text) is not None
+        for key, pattern, value in patterns:
+            if odd or key in held:
+                text, n = pattern.subn(lambda _, v=value: v, text)
+                held = text.casefold() if n else held
         return text
 
     return run

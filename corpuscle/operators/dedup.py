@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def keep_first(df: DataFrame, text: str, order: list[str], scope: list[str] = ()) -> DataFrame:
+def keep_first(df: DataFrame, text: str, order: list[str], scope: list[str] = (), digest: bool = False) -> DataFrame:
     """The first row, by `order`, of each text (and scope, e.g. an article). One aggregate by digest that combines
     map-side: a text that most rows share reaches its reducer as a row per task, and df is computed once. Order keys
-    must name rows."""
-    key = [F.md5(F.col(text)).alias("__md5"), *[F.col(c).alias(f"__s{k}") for k, c in enumerate(scope)]]
+    must name rows. digest: the column holds the texts' digests already, so that df needn't carry the texts along."""
+    key = [(F.col(text) if digest else F.md5(F.col(text))).alias("__md5"), *[F.col(c).alias(f"__s{k}") for k, c in enumerate(scope)]]
     first = df.groupBy(*key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("__row"))
     return first.select("__row.*")
 

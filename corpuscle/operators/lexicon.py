@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.functions.rules import Rule
-from corpuscle.functions.text import rewrite, tokens
+from corpuscle.functions.text import tokens
 from corpuscle.functions.udfs import each, translator
 
-#: Dictionaries up to this many keys are folded into expressions; larger ones go to a pandas UDF.
-FOLD = 200
-
 
 def token_rows(df: DataFrame, id: list[str], text: str) -> DataFrame:
     """(id..., pos, tok), one row per token."""
@@ -62,17 +58,6 @@ def top(counts: DataFrame, name: str, n: int = 10) -> DataFrame:
 
 
 def translate(df: DataFrame, text: str, entries: list[tuple[str, str]], out: str = "translated") -> DataFrame:
-    """Slang translation by (key, value) in file order: longest key first, whole words in any case, one key after
-    another. Texts are expected in NFC. Values are literal."""
-    ordered = sorted(entries, key=lambda e: -len(e[0]))
-    if len(ordered) > FOLD:
-        return df.withColumn(out, each(translator(entries))(F.col(text)))
-    return df.withColumn(out, rewrite(F.col(text), [Rule("slang", rf"(?iU)\b{quoted(k)}\b", literal(v)) for k, v in ordered]))
-
-
-def quoted(key: str) -> str:
-    return "".join(c if c.isalnum() or c in " _" else "\\" + c for c in key)
-
-
-def literal(value: str) -> str:
-    return value.replace("\\", "\\\\").replace("$", "\\$")
+    """Slang translation by (key, value) in file order: texts in NFC, longest key first, whole words in any case, one key
+    after another. Values are literal; the dictionary may have any size. Null texts stay null."""
+    return df.withColumn(out, each(translator(entries))(F.col(text)))

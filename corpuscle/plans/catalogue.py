@@ -127,17 +127,17 @@ FIRST_SQL = f"SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS pl
 @query(f"SELECT doc_id, source, lang AS domain, md5(t) AS md5 FROM ({FIRST_SQL}) WHERE place = 1")
 def exact_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = nfc_docs(spark, sf_dir).where(text.news_quality(F.col("clean")))
-    first = dedup.keep_first(good, "clean", ["doc_id"])
-    return first.select("doc_id", "source", F.col("lang").alias("domain"), F.md5("clean").alias("md5"))
+    narrow = good.select("doc_id", "source", F.col("lang").alias("domain"), F.md5("clean").alias("md5"))
+    return dedup.keep_first(narrow, "md5", ["doc_id"], digest=True)
 
 
 @query(f"""
 SELECT source, count(*) AS total, count(*) FILTER (place = 1) AS kept, count(*) FILTER (place > 1) AS dropped
 FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS place FROM ({NEWS_SQL})) GROUP BY source""")
 def dedup_stats_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = nfc_docs(spark, sf_dir)
-    total = docs.groupBy("source").agg(F.count(F.lit(1)).alias("total"))
-    kept = dedup.keep_first(docs, "clean", ["doc_id"]).groupBy(F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("k"))
+    docs = nfc_docs(spark, sf_dir).select("doc_id", "source", F.md5("clean").alias("md5"))
+    total = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("total"))
+    kept = dedup.keep_first(docs, "md5", ["doc_id"], digest=True).groupBy(F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("k"))
     both = total.join(kept, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("kept", F.coalesce("k", F.lit(0)))
     return both.select("source", "total", "kept", (F.col("total") - F.col("kept")).alias("dropped"))
 
@@ -266,21 +266,19 @@ def email_url_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
 SLANG = [("of the", "OFF"), ("of", "off-$1"), ("the", "a\\b"), ("and", "n"), ("n", "und"), ("by the", "beside the")]
 
 
-@query(
-    "SELECT doc_id, "
-    + sql_replace("text", *[(rf"(?i)\b{k}\b", v.replace("\\", "\\\\")) for k, v in sorted(SLANG, key=lambda e: -len(e[0]))])
-    + " AS translated FROM documents WHERE lang = 'en' AND regexp_full_match(text, '(?s)[\\x00-\\x7F]*')"
-)
-def slang_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where((F.col("lang") == "en") & F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
-    return lexicon.translate(docs, "text", SLANG).select("doc_id", "translated")
+def slang_sql() -> str:
+    """RE2 has ASCII word bounds only, so bounds are spelt out. A bound that two neighbours share is used up by the first
+    one, so each key is replaced twice."""
+    out, bound = "nfc_normalize(text)", r"[^\p{L}\p{N}_]"
+    for k, v in sorted(SLANG, key=lambda e: -len(e[0])):
+        pair = (rf"(?i)(^|{bound}){k}($|{bound})", r"\1" + v.replace("\\", "\\\\") + r"\2")
+        out = sql_replace(out, pair, pair)
+    return out
 
 
-@query()
-def slang_translate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, of any language and script, with Unicode word bounds; the SQL of slang_translate has ASCII ones only."""
-    docs = table(spark, sf_dir, "documents").withColumn("text", udfs.nfc(F.col("text")))
-    return lexicon.translate(docs, "text", SLANG).select("doc_id", "translated")
+@query(f"SELECT doc_id, {slang_sql()} AS translated FROM documents")
+def slang_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.translate(table(spark, sf_dir, "documents"), "text", SLANG).select("doc_id", "translated")
 
 
 @query()
@@ -291,9 +289,9 @@ def final_polish(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def word_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the pairs of words that the benchmark repeats as a dictionary of phrases."""
+    """With the pairs of words that the benchmark has in two places or more as a dictionary of phrases."""
     counts = lexicon.pairs(table(spark, sf_dir, "benchmark"), ["item_id"], "text").where("pair is not null").groupBy("pair").count()
-    phrases = [r.pair for r in counts.orderBy(F.desc("count"), "pair").limit(1000).collect()]
+    phrases = [r.pair for r in counts.where("count > 1").orderBy("pair").collect()]  # a dictionary is a table for the driver
     own = lines(spark, sf_dir).where(~text.is_blank(F.col("line")))
     return own.select("doc_id", "line_no", udfs.each(udfs.term_segmenter(phrases))(F.col("line")).alias("segmented"))
 
@@ -508,18 +506,9 @@ def topk_next_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.ranked(lm_parts(spark, sf_dir)[1], 3)
 
 
-@query(f"{ENCODED_SQL} SELECT doc_id, CAST(k AS INTEGER) AS position, array_to_string(ids[greatest(k - 15, 1):k], ',') AS before, ids[k + 1] AS label FROM (SELECT doc_id, ids, unnest(range(1, least(len(ids), 40))) AS k FROM e)")
+@query(f"{ENCODED_SQL} SELECT doc_id, CAST(k AS INTEGER) AS position, array_to_string(ids[greatest(k - 15, 1):k], ',') AS before, ids[k + 1] AS label FROM (SELECT doc_id, ids, unnest(range(1, len(ids))) AS k FROM e)")
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to 16 indices before each of the first positions: a report on the beginnings of texts."""
-    ids = encoded(spark, sf_dir)
-    rows = ids.select("doc_id", "ids", F.explode(F.sequence(F.lit(1), F.least(F.size("ids"), F.lit(40)) - 1)).alias("position"))
-    window = sequences.context(F.col("ids"), F.col("position"))
-    return rows.select("doc_id", "position", listed(window).alias("before"), F.element_at("ids", F.col("position") + 1).alias("label"))
-
-
-@query()
-def context_window_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to 16 indices before every predicted position; the SQL of context_window has the first positions only."""
+    """Up to 16 indices before every predicted position."""
     ids = encoded(spark, sf_dir).where(F.size("ids") > 1)
     rows = ids.select("doc_id", "ids", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("position"))
     window = sequences.context(F.col("ids"), F.col("position"))
