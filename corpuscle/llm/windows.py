@@ -372,21 +372,33 @@ def near_passages(
     early = np.arange(len(held)) - np.repeat(ends - sizes, sizes) < np.repeat(room, sizes)
     order = np.argsort(held[early], kind="stable")
     list_token, list_holder = held[early][order], holder[early][order]
-    mark = np.zeros(len(values) + 1, bool)
+    local = np.full(len(values) + 1, -1)
+    share = 2 * similar / (1 + similar)
+
+    def holds(match: np.ndarray) -> np.ndarray:
+        """Which lines have `least` cells or more in a row of which `share` match."""
+        total = np.zeros((len(match), match.shape[1] + 1))
+        np.cumsum(match - share, axis=1, out=total[:, 1:])
+        low = np.minimum.accumulate(total[:, : total.shape[1] - least], axis=1)
+        return (total[:, least:] - low >= -1e-9).any(axis=1)
 
     def compare(i: int, others: np.ndarray) -> Iterator[tuple[int, int, list]]:
-        mark[ranks[i]] = True
-        mark[-1] = False
+        mine = ranks[i][have[i]]
+        different = np.unique(mine)
+        local[different] = np.arange(len(different))
         for at in range(0, len(others), 512):
             now = others[at : at + 512]
             now = now[sets.root[own[now]] != sets.root[own[i]]]
-            hits = np.cumsum(mark[ranks[now]], axis=1, dtype=np.int32)
-            hits[:, least:] -= hits[:, :-least].copy()
-            for j in now[hits[:, least - 1 :].max(axis=1, initial=0) >= similar * least - 1e-9].tolist():
+            place = local[ranks[now]]
+            fits = holds(place >= 0)
+            now, place = now[fits], place[fits]
+            there_too = np.zeros((len(now), len(different) + 1), bool)
+            there_too[np.arange(len(now))[:, None], place] = True  # the last column takes what isn't in i
+            for j in now[holds(there_too[:, local[mine]])].tolist():
                 if sets.root[own[i]] != sets.root[own[j]] and (found := verified(parts[own[i]], parts[own[j]], least, similar)):
                     sets.join(int(own[i]), int(own[j]))
                     yield int(own[i]), int(own[j]), found
-        mark[ranks[i]] = False
+        local[different] = -1
 
     roots, counts = np.unique(sets.root[own], return_counts=True)
     outside = sets.root[own] != roots[counts.argmax()]
