@@ -62,8 +62,23 @@ def perplexity(cce: Column, most: float = 100.0) -> Column:
     return F.exp(F.least(cce, F.lit(most)))
 
 
-def report(scored: DataFrame, source: str, domain: str) -> DataFrame:
-    """group, tokens, cce, ppl, top1, top5, top10 (in percent): all rows, each source and each domain, in one pass."""
+def unpadded(scored: DataFrame, pad: str = "<pad>") -> DataFrame:
+    """Without the places that only fill a sequence up: they count in no loss and no rate."""
+    return scored.where(F.col("label") != pad)
+
+
+def batch_loss(scored: DataFrame, batch: str, pad: str = "<pad>") -> DataFrame:
+    """One row: batches, loss, ppl. The loss is the mean over batches of each batch's mean, as training loops report it, so
+    a short batch weighs as much as a full one; batches of nothing but padding don't count."""
+    each_ = unpadded(scored, pad).groupBy(batch).agg(F.avg(-F.col("log_p")).alias("loss"))
+    means = each_.agg(F.count(F.lit(1)).alias("batches"), F.avg("loss").alias("loss"))
+    return means.select("batches", F.round("loss", 4).alias("loss"), F.round(perplexity(F.col("loss")), 2).alias("ppl"))
+
+
+def report(scored: DataFrame, source: str, domain: str, pad: str = "<pad>") -> DataFrame:
+    """group, tokens, cce, ppl, top1, top5, top10 (in percent), sorted by group: all rows, each source and each domain, in
+    one pass, without padding."""
+    scored = unpadded(scored, pad)
     grouped = scored.groupingSets([[], [source], [domain]], source, domain).agg(
         F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("tokens"), F.sum(-F.col("log_p")).alias("loss"),
         *[F.count_if(F.col("rank") <= k).alias(f"hit{k}") for k in (1, 5, 10)],
@@ -71,7 +86,8 @@ def report(scored: DataFrame, source: str, domain: str) -> DataFrame:
     name = F.when(F.col("gid") == 3, "OVERALL").when(F.col("gid") == 1, F.concat(F.lit("Source: "), source)).otherwise(F.concat(F.lit("Domain: "), domain))
     cce = F.col("loss") / F.col("tokens")
     percent = [F.round(F.col(f"hit{k}") / F.col("tokens") * 100, 2).alias(f"top{k}") for k in (1, 5, 10)]
-    return grouped.select(name.alias("group"), "tokens", F.round(cce, 4).alias("cce"), F.round(perplexity(cce), 2).alias("ppl"), *percent)
+    rows = grouped.select(name.alias("group"), "tokens", F.round(cce, 4).alias("cce"), F.round(perplexity(cce), 2).alias("ppl"), *percent)
+    return rows.orderBy("group")
 
 
 def suggestions(counts: DataFrame, n: int = 3, skip: tuple[str, ...] = ("<eos>", "<unk>")) -> DataFrame:
@@ -91,10 +107,12 @@ def mismatches(scored: DataFrame, counts: DataFrame, skip: tuple[str, ...], n: i
 
 
 def beam(
-    start: list[int], table: dict[int, list[tuple[int, float]]], width: int, most: int, alpha: float, step_penalty: bool, window: int = 32
-) -> list[int]:
+    start: list[int], table: dict[int, list[tuple[int, float]]], width: int, most: int, alpha: float, step_penalty: bool, window: int = 32,
+    no_repeat: int = 0,
+) -> list[int]:
     """The best continuation. step_penalty: every step's gain is divided by the length penalty, and indices that have
-    occurred lose 2; else the penalty counts in ranking alone, the last index loses 3 and the one before it 1."""
+    occurred lose 2; else the penalty counts in ranking alone, the last index loses 3 and the one before it 1. no_repeat:
+    no run of so many indices comes twice; where nothing else is left the sequence ends."""
     beams = [(start, 0.0)]
     penalty = lambda seq: ((5 + len(seq)) / 6) ** alpha
     for _ in range(most):
@@ -106,6 +124,11 @@ def beam(
             context = seq if step_penalty else seq[-window:]
             logits = {k: v for k, v in table.get(context[-1], table.get(UNK, [(EOS, 0.0)]))}
             lose = dict.fromkeys(seq, 2.0) if step_penalty else {**({seq[-2]: 1.0} if len(seq) > 1 else {}), seq[-1]: 3.0}
+            if no_repeat:
+                n = no_repeat - 1
+                last = seq[len(seq) - n :]
+                banned = {seq[k + n] for k in range(len(seq) - n) if seq[k : k + n] == last}
+                logits = {k: v for k, v in logits.items() if k not in banned} or {EOS: 0.0}
             logits = {k: v - lose.get(k, 0.0) for k, v in logits.items()}
             norm = math.log(sum(map(math.exp, logits.values())))
             for k, v in sorted(logits.items(), key=lambda e: (-e[1], e[0]))[:width]:
@@ -119,8 +142,9 @@ def beam(
 
 
 def beam_search(
-    prompts: DataFrame, id: str, ids: str, model: DataFrame, width: int = 3, most: int = 20, alpha: float = 0.7, step_penalty: bool = True
-) -> DataFrame:
+    prompts: DataFrame, id: str, ids: str, model: DataFrame, width: int = 3, most: int = 20, alpha: float = 0.7, step_penalty: bool = True,
+    no_repeat: int = 0,
+) -> DataFrame:
     """(id, ids): prompts of indices with their best continuations. model: (prev, next, log_p), the best few followers of
     each index of a capped vocabulary, so it is a table of bounded size."""
     table: dict[int, list[tuple[int, float]]] = {}
@@ -130,7 +154,7 @@ def beam_search(
 
     @F.pandas_udf("array<int>")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else beam([SOS, *map(int, v)], held.value, width, most, alpha, step_penalty))
+        return values.map(lambda v: None if v is None else beam([SOS, *map(int, v)], held.value, width, most, alpha, step_penalty, no_repeat=no_repeat))
 
     return prompts.select(id, run(F.col(ids)).alias("ids"))
 

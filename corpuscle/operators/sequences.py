@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.sources.sinks import kept
+
 
 def sliding(df: DataFrame, id: list[str], ids: str, length: int = 32) -> DataFrame:
     """(id..., start, x, y): every window of length + 1 indices, as input and the same shifted by one. A sequence of n
@@ -38,15 +40,14 @@ def blocks(df: DataFrame, order: str, ids: str, length: int = 128, batch: int =
 
 
 def ranks(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
-    """Rows numbered from 1 in the order of a column whose values differ. Rows are counted by bucket of a hash-free
-    range partitioning: each partition numbers its own rows and adds what lies before it."""
-    sliced = df.repartitionByRange(order).sortWithinPartitions(order)
-    sliced = sliced.withColumn("__part", F.spark_partition_id()).persist()
+    """Rows numbered from 1 in the order of a column whose values differ. Rows are dealt into ranges, which are written so
+    that they stay as they are; each range numbers its own rows and adds what lies before it."""
+    dealt = kept(df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()), "ranks")
     inner = Window.partitionBy("__part").orderBy(order)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sliced.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    own = sliced.withColumn("__own", F.row_number().over(inner))
+    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))  # a row per range
+    own = dealt.withColumn("__own", F.row_number().over(inner))
     return own.join(F.broadcast(starts), "__part").withColumn(name, F.col("__own") + F.col("__before")).drop("__own", "__before", "__part")
 
 
@@ -55,6 +56,11 @@ def padded(ids: Column, length: int, pad: int = 0) -> Column:
     return F.slice(F.concat(ids, F.array_repeat(F.lit(pad), F.greatest(F.lit(length) - F.size(ids), F.lit(0)))), 1, length)
 
 
+def masked(ids: Column, pad: int = 0) -> Column:
+    """Labels of a padded sequence: each index but the first, null where there is only padding."""
+    return F.transform(F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 1, F.lit(0))), lambda x: F.when(x != pad, x))
+
+
 def last(ids: Column, n: int = 32) -> Column:
     return F.slice(ids, F.greatest(F.size(ids) - (n - 1), F.lit(1)), F.lit(n))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions.text import words
+from corpuscle.operators.sequences import ranks
 
 #: Indices of the special words.
 PAD, UNK, SOS, EOS = 0, 1, 2, 3
@@ -47,7 +48,7 @@ def decode(df: DataFrame, id: list[str], ids: str, vocab: DataFrame, skip: tuple
 
 
 def class_index(df: DataFrame, column: str, name: str = "label") -> DataFrame:
-    """Class numbers from 0 in the order of the values."""
-    classes = df.select(column).distinct()
-    own = classes.withColumn(name, (F.row_number().over(Window.orderBy(F.col(column).asc_nulls_last())) - 1).cast("int"))
-    return df.join(own.withColumnRenamed(column, "__c"), F.col(column).eqNullSafe(F.col("__c"))).drop("__c")
+    """Class numbers from 0 in the order of the values, null last."""
+    classes = df.select(F.col(column).alias("__c")).distinct().withColumn("__k", F.struct(F.col("__c").isNull(), "__c"))
+    own = ranks(classes, "__k", "__rank").select("__c", (F.col("__rank") - 1).cast("int").alias(name))
+    return df.join(own, F.col(column).eqNullSafe(F.col("__c"))).drop("__c")

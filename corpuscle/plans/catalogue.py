@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
-import tempfile
-import uuid
+import re
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import bpe, html, rules, text, udfs
 from corpuscle.operators import dedup, lexicon, lm, metrics, sequences, split, vocab
-from corpuscle.sources import readers
+from corpuscle.sources import readers, sinks
 from corpuscle.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,10 +143,20 @@ def dedup_stats_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("source", "total", "kept", (F.col("total") - F.col("kept")).alias("dropped"))
 
 
-SPAM_SQL = " OR ".join(f"regexp_matches(line, {quoted('(?i)' + p)})" for p in rules.SPAM)
-TERMINAL_SQL = " OR ".join(
-    f"regexp_matches({sql_strip('line')}, {quoted(p)})" for p in [*("(?i)" + p for p in rules.TERMINAL_ANY_CASE), *rules.TERMINAL]
-)
+# Fixed values, stated for the SQL on their own: patterns of spam and of terminal commands, code words, letters of tokens.
+SPAM_PATTERNS = (
+    r"byvn\.net/\S+", r"share cho m[aấ]y (th[iíy]m|b[aá]c|[aâ]nh em) con deal", r"(rút gọn|áp\s+dc|áp\s+được)\s+(full\s+)?mã\s+giảm",
+    r"mã\s+giảm\s+giá.{0,30}(sale|giảm)\s*\d+[%k]", r"chuột\s+bạch\s+xem", r"quốc\s+hàng\s+của\s+vozer",
+)
+TERMINAL_PATTERNS = (
+    r"(?i)^(sudo|apt|pkg|pip|npm|git|cd|ls|rm|mv|cp|chmod|chown|grep|awk|sed|curl|wget)\s", r"(?i)^(pkg upgrade|su|debugging|force-vp9|header-switch)$",
+    r"^\$\s+\w+", r"^>>>\s+\w+", r"^#\s*!/\w+",
+)
+KEYS = "script html div doctype src href interface ethernet pppoe wlan ssid dhcp mikrotik hotspot default-name supplicant wpa2 ap-bridge".split()
+LETTERS = "[a-zàáạảãâầấậẩẫăằắặẳẵèéẹẻẽêềếệểễìíịỉĩòóọỏõôồốộổỗơờớợởỡùúụủũưừứựửữỳýỵỷỹđ0-9]+"
+NOISE = r"<url>|https?://\S+|www\.\S+"
+SPAM_SQL = " OR ".join(f"regexp_matches(line, {quoted('(?i)' + p)})" for p in SPAM_PATTERNS)
+TERMINAL_SQL = " OR ".join(f"regexp_matches({sql_strip('line')}, {quoted(p)})" for p in TERMINAL_PATTERNS)
 REASON_SQL = f"CASE WHEN {SPAM_SQL} THEN 'spam' WHEN {TERMINAL_SQL} THEN 'terminal_cmd' WHEN {sql_count('line')} < 15 THEN 'too_short' ELSE 'kept' END"
 
 
@@ -165,30 +176,72 @@ def drop_reason_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("origin", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+CUT_SQL = "greatest(" + ", ".join(f"CASE WHEN strpos(reverse(left(text, 5000)), {c}) > 0 THEN 5000 - strpos(reverse(left(text, 5000)), {c}) ELSE -1 END" for c in ("'.'", "'!'", "'?'", "chr(10)")) + ")"
+CUT_AT_SQL = f"CASE WHEN length(text) > 5000 THEN {sql_strip(f'CASE WHEN {CUT_SQL} > 2500 THEN left(text, CAST({CUT_SQL} + 1 AS BIGINT)) ELSE left(text, 5000) END')} ELSE text END"
+# The comment chain for RE2, which has neither look-behind nor back references: what stands before a word is put back, and
+# repeats are spelt out for the characters that the tables hold.
+W, NW = r"[\p{L}\p{N}_]", r"(^|[^\p{L}\p{N}_])"
+MONTH = "(?i)\\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\\s+\\d{1,2},?\\s+20\\d{2}\\b"
+SINGLE = [(rf"{re.escape(c)}{{4,}}", c) for c in ".!?-_~"]
+DOUBLE = [(rf"{re.escape(c)}{{4,}}", c.replace("\\", "\\\\") * 2) for c in string.ascii_letters + string.digits + " \t,;:'\"()[]{}<>/\\|@#$%^&*+=`" + "áàâäãåçéèêëíìîïñóòôöõúùûüßÁÀÂÄÉÈÊËÍÎÓÔÖÚÜ"]
+COMMENT_SQL = {
+    "signature": [(rf"(?i)\bvia\s+the{W}*voz{W}*\s+for\s+{W}+", ""), (rf"(?i)\bSent\s+from\s+.{{3,60}}\s+using\s+voz{W}+", ""), (rf"(?i)\bGửi\s+từ\s+.{{2,60}}\s+bằng\s+{W}+App\b", ""), (rf"(?i)\bvia\s+{W}+\s+for\s+(iPhone|Android|iPad)\b", "")],
+    "facebook": [(r"(?i)Log\s+in\s+(to|or sign up to view)\s+Facebook.*", "")],
+    "url": [(r"(?i)https?://\S+", "<URL>"), (rf"(?i){NW}(www\.\S+|vn\.shp\.ee/\S+|s\.lazada\.vn/\S+|bit\.ly/\S+|shopee\.vn/\S+)", r"\1<URL>")],
+    "metadata": [(r"""(?i)Post\s+in\s+thread\s+['"].+?['"]""", ""), (rf"(?i)Replies:\s*\d+\s+Forum:\s*{W}+", ""), (MONTH, ""), (r"\b\d{1,2}/\d{1,2}/20\d{2}\b", "")],
+    "repeat": SINGLE + DOUBLE,
+    "emoticon": [(rf"(?i){NW}:v\b", r"\1"), (rf"{NW}:\)\s*$", r"\1"), (r"\){3,}", ""), (rf"{NW}=\)\s*$", r"\1"), (rf"{NW}>\.<", r"\1"), (rf"{NW}: {W}+:($|[^\p{{L}}\p{{N}}_])", r"\1\2")],
+    "emoji": [(r"[\x{10000}-\x{10ffff}]|[☀-➿]|[⌀-⏿]|[■-◿]", "")],
+    "punctuation": [(r"([!?])[!?]{2,}", r"\1"), (r"\.{4,}", ".")],
+    "whitespace": [(r"[ \t]{2,}", " ")],
+}
+
+
+def comment_sql(source: str) -> str:
+    """From (..., line): every sample with its reason, the texts after the steps as step_<name>, and clean."""
+    out = f"SELECT *, {REASON_SQL} AS cheap FROM ({source}) WHERE regexp_matches(line, '\\S')"
+    now = "line"
+    for step, pairs in COMMENT_SQL.items():
+        expression = sql_replace(now, *pairs)
+        out = f"SELECT *, {sql_strip(expression) if step == 'whitespace' else expression} AS step_{step} FROM ({out})"
+        now = f"step_{step}"
+    out = f"SELECT *, {CUT_AT_SQL} AS clean FROM (SELECT *, {now} AS text FROM ({out}))"
+    return f"SELECT *, CASE WHEN cheap <> 'kept' THEN cheap WHEN NOT regexp_matches(clean, '\\S') OR {sql_count('clean')} < 15 THEN 'empty' END AS reason FROM ({out})"
+
+
+def counters_sql(source: str) -> str:
+    names = [*COMMENT_SQL][:-1]
+    texts = ["line", *(f"step_{n}" for n in names)]
+    steps = [f"count(*) FILTER (cheap = 'kept' AND {a} <> {b}) AS cleaned_{n}" for n, a, b in zip(names, texts, texts[1:], strict=False)]
+    steps.append("count(*) FILTER (cheap = 'kept' AND clean <> step_whitespace) AS cleaned_truncate")
+    reasons = [f"count(*) FILTER (reason = '{r}') AS dropped_{r}" for r in ("spam", "terminal_cmd", "too_short", "empty")]
+    total = " + ".join(f"cleaned_{n}" for n in names)
+    counts = f"SELECT count(*) AS total_input, count(*) FILTER (reason IS NULL) AS total_output, {', '.join(reasons + steps)} FROM ({comment_sql(source)})"
+    dropped = "dropped_spam + dropped_terminal_cmd + dropped_too_short + dropped_empty"
+    return f"SELECT *, {dropped} AS dropped_total, round(({dropped}) / total_input * 100, 2) AS dropped_pct, {total} AS cleaned_total FROM ({counts})"
+
+
+BOTH_SQL = f"SELECT line FROM ({LINES}) UNION ALL SELECT unnest(string_split(text, chr(10))) AS line FROM conversations"
+
+
+@query(counters_sql(BOTH_SQL))
 def clean_step_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.summary(metrics.cleaned(both_texts(spark, sf_dir), "line"))
 
 
-@query()
+@query(f"SELECT doc_id, line_no, clean FROM ({comment_sql(LINES)}) WHERE reason IS NULL")
 def comment_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = metrics.cleaned(lines(spark, sf_dir), "line").where("reason is null")
     return own.select("doc_id", "line_no", "clean")
 
 
-CUT_SQL = "greatest(" + ", ".join(f"CASE WHEN strpos(reverse(left(text, 5000)), {c}) > 0 THEN 5000 - strpos(reverse(left(text, 5000)), {c}) ELSE -1 END" for c in ("'.'", "'!'", "'?'", "chr(10)")) + ")"
-
-
-@query(f"""
-SELECT doc_id, CAST(length(text) AS INTEGER) AS before, CAST(length(t) AS INTEGER) AS after, md5(t) AS md5
-FROM (SELECT doc_id, text, CASE WHEN length(text) > 5000 THEN {sql_strip("CASE WHEN cut > 2500 THEN left(text, CAST(cut + 1 AS BIGINT)) ELSE left(text, 5000) END")} ELSE text END AS t
-      FROM (SELECT doc_id, text, {CUT_SQL} AS cut FROM documents))""")
+@query(f"SELECT doc_id, CAST(length(text) AS INTEGER) AS before, CAST(length(t) AS INTEGER) AS after, md5(t) AS md5 FROM (SELECT doc_id, text, {CUT_AT_SQL} AS t FROM documents)")
 def truncate_by_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("t", text.truncated(F.col("text")))
     return docs.select("doc_id", F.length("text").alias("before"), F.length("t").alias("after"), F.md5("t").alias("md5"))
 
 
-KEYS_SQL = "[" + ", ".join(quoted(w) for w in rules.CODE_WORDS) + "]"
+KEYS_SQL = "[" + ", ".join(map(quoted, KEYS)) + "]"
 MOST_SQL = "(SELECT coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM (SELECT unnest(w) AS x) WHERE length(x) > 1 GROUP BY x))"
 
 
@@ -309,7 +362,7 @@ def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- tokens, lexicon, vocabulary -----------------------------------------------------------------
 
-TOKENS = "list_filter(regexp_extract_all(" + sql_replace("lower({})", (rules.TOKEN_NOISE, " ")) + f", {quoted(rules.TOKEN)}), lambda k: NOT regexp_full_match(k, '[0-9]+'))"
+TOKENS = "list_filter(regexp_extract_all(" + sql_replace("lower({})", (NOISE, " ")) + f", {quoted(LETTERS)}), lambda k: NOT regexp_full_match(k, '[0-9]+'))"
 
 
 def sql_tokens(column: str) -> str:
@@ -501,6 +554,27 @@ def ppl_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.report(lm_parts(spark, sf_dir)[0], "source", "lang")
 
 
+BATCH_SQL = f"SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch FROM ({SPLIT_SQL}) WHERE split = 'test'"
+
+
+@query(f"""{SCORED_SQL}, m AS (SELECT batch, avg(-ln(0.7 * p2 + (1 - CAST(0.7 AS DOUBLE)) * p1)) AS loss FROM sc JOIN ({BATCH_SQL}) USING (doc_id) GROUP BY batch)
+SELECT count(*) AS batches, round(avg(loss), 4) AS loss, round(exp(least(avg(loss), 100)), 2) AS ppl FROM m""")
+def validation_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean over batches of 16 texts, as a training loop reports it; texts in the order of their ids."""
+    scored, _ = lm_parts(spark, sf_dir)
+    docs = split.by_source(table(spark, sf_dir, "documents"), "doc_id", "source").where("split = 'test'").select("doc_id")
+    batches = sequences.ranks(docs, "doc_id").select("doc_id", F.floor((F.col("rank") - 1) / 16).alias("batch"))
+    return lm.batch_loss(scored.join(batches, "doc_id"), "batch")
+
+
+@query(f"{ENCODED_SQL} SELECT doc_id, CAST(least(len(ids), 128) - 1 AS INTEGER) AS valid, CAST(list_sum(ids[2:128]) AS BIGINT) AS total FROM e")
+def padding_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of sequences cut or filled up to 128: how many count, and their sum."""
+    labels = sequences.masked(sequences.padded(F.col("ids"), 128))
+    rows = encoded(spark, sf_dir).select("doc_id", F.filter(labels, lambda x: x.isNotNull()).alias("own"))
+    return rows.select("doc_id", F.size("own").alias("valid"), F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
 @query(f"{SCORED_SQL} SELECT prev, label, n, rank FROM r WHERE rank <= 3")
 def topk_next_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.ranked(lm_parts(spark, sf_dir)[1], 3)
@@ -531,7 +605,8 @@ def beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = lm.index_model(counts, words)
     one = lm.beam_search(ids, "id", "ids", model).withColumnRenamed("ids", "by_step")
     two = lm.beam_search(ids, "id", "ids", model, step_penalty=False).withColumnRenamed("ids", "by_rank")
-    return one.join(two, "id")
+    three = lm.beam_search(ids, "id", "ids", model, step_penalty=False, no_repeat=2).withColumnRenamed("ids", "no_pair_twice")
+    return one.join(two, "id").join(three, "id")
 
 
 @query()
@@ -543,6 +618,62 @@ def short_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- pages, links, crawl state -------------------------------------------------------------------
 
 
+def site_pages(spark: SparkSession, sf_dir: str, body: str, author: str) -> DataFrame:
+    """documents as articles: a line a paragraph, every fifth in a caption, every seventh set right, every eleventh under an
+    author's class, every third a div; the first two lines stand as title and summary before the body, too."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    def paragraph(line: Column, at: Column) -> Column:
+        k = at + 1
+        around = lambda tag, end: F.concat(F.lit(tag), safe(line), F.lit(end))
+        return (
+            F.when(k % 5 == 0, around("<figcaption><p>", "</p></figcaption>")).when(k % 7 == 0, around('<p style="Text-Align: x; text-align: right;">', "</p>"))
+            .when(k % 11 == 0, around(f'<p class="{author}">', "</p>")).when(k % 3 == 0, around("<div><b>", "</b></div>")).otherwise(around("<p>", "</p>"))
+        )
+
+    own = F.split("text", "\n")
+    head = F.concat(F.lit('<h1 data-slot="title">'), safe(F.get(own, F.lit(0))), F.lit('</h1><h2 data-slot="sapo">'), safe(F.coalesce(F.get(own, F.lit(1)), F.lit(""))), F.lit("</h2>"))
+    page = F.concat(F.lit("<html><body>"), head, F.lit(body), F.array_join(F.transform(own, paragraph), ""), F.lit("</article></div></body></html>"))
+    return table(spark, sf_dir, "documents").select("doc_id", page.alias("html"))
+
+
+SITE_BODIES = {"vnexpress": '<div><article class="fck_detail x">', "dantri": '<div class="singular-content"><article>', "thanhnien": '<div class="detail-cmain"><article>'}
+
+
+def site_sql(site: str, kept: str, least: int, extra: str = "") -> str:
+    text_ = "trim(regexp_replace(line, '\\s+', ' ', 'g'), ' ')"
+    own = f"SELECT doc_id, line_no + 2 AS place, {text_} AS t FROM ({LINES}) WHERE (line_no + 1) % 5 <> 0 AND (line_no + 1) % 7 <> 0 AND {kept}{extra}"
+    return f"SELECT '{site}' AS site, doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) AS INTEGER) AS idx, md5(t) AS md5 FROM ({own}) WHERE length(t) > {least}"
+
+
+NOT_DIV = "((line_no + 1) % 3 <> 0 OR (line_no + 1) % 11 = 0)"
+HEAD_SQL = f" UNION ALL SELECT doc_id, line_no, trim(regexp_replace(line, '\\s+', ' ', 'g'), ' ') FROM ({LINES}) WHERE line_no < 2"
+
+
+@query(
+    site_sql("vnexpress", "true", 50) + " UNION ALL " + site_sql("thanhnien", NOT_DIV, 40) + " UNION ALL "
+    + site_sql("dantri", f"{NOT_DIV} AND (line_no + 1) % 11 <> 0", 40, HEAD_SQL).replace("WHERE length(t) > 40", "WHERE length(t) > 40 AND first = 1").replace("FROM (SELECT doc_id, line_no + 2", "FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY place) AS first FROM (SELECT doc_id, line_no + 2").replace("line_no < 2)", "line_no < 2))")
+)
+def site_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs of the same articles as three sites' profiles find them: body and head, what is cut out, what is
+    passed over, least length, and numbers from 1."""
+    out = None
+    for site, body in SITE_BODIES.items():
+        found = html.paragraphs(site_pages(spark, sf_dir, body, "name author-name"), site, id="doc_id")
+        own = found.select(F.lit(site).alias("site"), "doc_id", "idx", F.md5("text").alias("md5"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INTEGER) AS idx, md5(t) AS md5 FROM (SELECT doc_id, line_no, {sql_strip('line')} AS t FROM ({LINES})) WHERE length(t) > 25")
+def thread_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as threads, a line a comment under a quoted one, and the texts of the forum's profile."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    block = lambda line: F.concat(F.lit('<div class="bbWrapper"><blockquote>quoted <p>text</p></blockquote>'), safe(line), F.lit("</div>"))
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), block), "<hr>").alias("html"))
+    return html.paragraphs(pages, "forum", id="doc_id").select("doc_id", "idx", F.md5("text").alias("md5"))
+
+
 @query()
 def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.paragraphs(table(spark, sf_dir, "pages"), "plain")
@@ -647,8 +778,7 @@ def group_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT md5(text) AS md5 FROM documents GROUP BY md5(text)")
 def stream_dedup_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as a stream of files, deduplicated into a table of the cluster's shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = sinks.shared_folder(spark, "stream")
     schema = table(spark, sf_dir, "documents").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
     stream = ingest.file_stream(spark, f"{sf_dir}/documents.parque*", schema)
     running = ingest.ingest(stream, "text", f"{folder}/out", f"{folder}/checkpoint")
@@ -656,6 +786,112 @@ def stream_dedup_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("md5")
 
 
+# ---- files written and read back -----------------------------------------------------------------
+
+
+@query(f"SELECT lang, count(*) AS n, count(DISTINCT md5(line)) AS texts, CAST(sum(length(line)) AS BIGINT) AS chars FROM ({LINES}) WHERE regexp_matches(line, '\\S') AND lang IN ('en', 'de') GROUP BY lang")
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as text files, a folder for each language; two of them are read back by name."""
+    folder = sinks.shared_folder(spark, "text")
+    lines(spark, sf_dir).select("lang", F.col("line").alias("value")).write.partitionBy("lang").text(folder)
+    found = None
+    for lang in ("en", "de"):
+        own = readers.text_lines(spark, f"{folder}/lang={lang}", glob="part-*.txt").select(F.lit(lang).alias("lang"), "value")
+        found = own if found is None else found.unionByName(own)
+    return found.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.md5("value")).alias("texts"), F.sum(F.length("value")).alias("chars"))
+
+
+@query(f"SELECT doc_id, line_no, md5({sql_strip('line')}) AS md5 FROM ({LINES}) WHERE regexp_matches(line, '\\S')")
+def strict_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their place before them, read back as strict UTF-8 and stripped."""
+    folder = sinks.shared_folder(spark, "strict")
+    own = lines(spark, sf_dir).where(~text.is_blank(F.col("line")))
+    sinks.write_text(own.select(F.concat_ws("|", "doc_id", "line_no", text.strip(F.col("line")), F.lit(" ")).alias("value")), "value", folder)
+    back = readers.text_lines(spark, folder, strict=True)
+    part = lambda k: F.split("value", r"\|", 3)[k]
+    return back.select(part(0).cast("long").alias("doc_id"), part(1).cast("int").alias("line_no"), F.md5(F.regexp_replace(part(2), r"\|$", "")).alias("md5"))
+
+
+@query("SELECT doc_id % 3 AS third, source, lang AS domain, count(*) AS n, min(md5(text)) AS texts FROM documents WHERE text <> '' GROUP BY ALL")
+def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base records as JSON lines, three batches of files; read back strictly, batches told apart by their folder."""
+    folder = sinks.shared_folder(spark, "json")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id") % 3, "source", F.col("lang").alias("domain"), F.col("text").alias("raw_text")).toDF("third", "source", "domain", "raw_text")
+    for k in range(3):
+        sinks.write_json(docs.where(F.col("third") == k).drop("third"), f"{folder}/batch={k}")
+    back = readers.strict_json(spark, [f"{folder}/batch={k}" for k in range(3)]).withColumn("third", F.regexp_extract("_metadata.file_path", r"batch=(\d)", 1).cast("long"))
+    return back.groupBy("third", "source", "domain").agg(F.count(F.lit(1)).alias("n"), F.min(F.md5("raw_text")).alias("texts"))
+
+
+@query(f"SELECT coalesce(source, 'unknown') AS source, count(*) AS n, min(md5({sql_strip('text')})) AS texts FROM documents WHERE regexp_matches(text, '\\S') GROUP BY ALL")
+def loose_json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rich records among broken and blank lines, read back with the broken ones left out."""
+    folder = sinks.shared_folder(spark, "loose")
+    rich = table(spark, sf_dir, "documents").select("source", F.concat(F.lit(" "), "text", F.lit(" \n")).alias("segmented_text"))
+    broken = F.when(F.rand(4) < 0.2, F.lit('{"source": "x", "segmented_text": ')).otherwise(F.lit('{"source": "x", "segmented_text": "  "}'))
+    rows = rich.select(F.to_json(F.struct("source", "segmented_text")).alias("value")).unionByName(rich.select(broken.alias("value")))
+    sinks.write_text(rows, "value", folder)
+    back = readers.permissive_json(spark, folder)
+    return back.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min(F.md5("segmented_text")).alias("texts"))
+
+
+@query(f"SELECT tok AS unigram, count(*) AS frequency FROM (SELECT unnest({sql_tokens('text')}) AS tok FROM documents) GROUP BY tok HAVING count(*) >= 10")
+def frequency_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent tokens as a CSV file with a header, and back."""
+    folder = sinks.shared_folder(spark, "csv")
+    sinks.write_frequencies(lexicon.frequent(token_counts(spark, sf_dir), 10), folder, "unigram")
+    return spark.read.option("header", True).schema("unigram string, frequency long").csv(folder)
+
+
+@query(f"SELECT word, idx FROM ({VOCAB_SQL}) WHERE idx < 4000")
+def vocabulary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary's first indices as one JSON object, and back."""
+    folder = sinks.shared_folder(spark, "vocab")
+    best = vocabulary(spark, sf_dir).where("idx < 4000")  # one object, so of a size for one task
+    whole = best.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("word", "idx"))).alias("word2idx"))).alias("value"))
+    sinks.write_text(whole, "value", folder)
+    return readers.vocabulary_json(spark, folder)
+
+
+@query("SELECT key, value, CAST(place AS INTEGER) AS place FROM (VALUES " + ", ".join(f"({quoted(k)}, {quoted(v)}, {n})" for n, (k, v) in enumerate(SLANG)) + ") v(key, value, place)")
+def slang_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slang dictionary's JSON file, in file order."""
+    folder = sinks.shared_folder(spark, "slang")
+    whole = json.dumps({"other": {"a": "b"}, "teencode_unigrams_meaningful": dict(SLANG)}, indent=1)
+    sinks.write_text(literal_rows(spark, [(whole,)], "value string"), "value", folder)
+    return readers.slang_map(spark, folder)
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (n_chars > 500) AS kept, round(count(*) FILTER (n_chars > 500) / count(*) * 100, 2) AS kept_pct FROM documents")
+def stats_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary as a pretty JSON log, and back."""
+    folder = sinks.shared_folder(spark, "log")
+    summary = metrics.kept_by(table(spark, sf_dir, "documents"), "source", F.col("n_chars") > 500).where("source = 'ALL'")
+    sinks.write_log(summary.select("total", "kept", "kept_pct"), folder)
+    return spark.read.option("multiLine", True).schema("total long, kept long, kept_pct double").json(folder)
+
+
+@query("SELECT event_id, CAST(user_id AS VARCHAR) AS seen, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events")
+def json_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key set in every event's object, the other keys as they are."""
+    rows = table(spark, sf_dir, "events")
+    now = readers.json_updated(F.col("props"), "seen", F.col("user_id").cast("string"))
+    return rows.select("event_id", now.alias("now")).select("event_id", F.get_json_object("now", "$.seen").alias("seen"), F.get_json_object("now", "$.k").alias("k"))
+
+
+@query("SELECT url_site, CAST(max(page_id) AS BIGINT) AS page FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS url_site FROM pages) GROUP BY url_site HAVING max(page_id) % 5 <> 0")
+def crawl_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cursor of each site: set by the even pages, then by the rest where those are later; finished sites are deleted."""
+    folder = sinks.shared_folder(spark, "state")
+    pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("url_site"), F.col("page_id").alias("page"))
+    sinks.upsert(pages.where("page % 2 = 0"), folder, "url_site")
+    before = sinks.state(spark, folder)
+    later = pages.where("page % 2 = 1").unionByName(before)
+    sinks.upsert(later, folder, "url_site")
+    sinks.delete(sinks.state(spark, folder).where("page % 5 = 0"), folder, "url_site")
+    return sinks.state(spark, folder)
+
+
 @query("SELECT lang, count(*) AS labelled, CAST(sum(quality) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY lang")
 def label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")

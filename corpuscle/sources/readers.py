@@ -35,7 +35,7 @@ def json_updated(line: Column, key: str, value: Column) -> Column:
     """The JSON object with one key set, its other keys as they are."""
     own = F.from_json(line, "map<string,variant>")
     rest = F.map_filter(own, lambda k, _: k != key)
-    return F.to_json(F.map_concat(rest, F.create_map(F.lit(key), F.parse_json(F.to_json(F.struct(value.alias("v")))))))
+    return F.to_json(F.map_concat(rest, F.create_map(F.lit(key), F.variant_get(F.parse_json(F.to_json(F.struct(value.alias("v")))), "$.v", "variant"))))
 
 
 def tolerant_json(spark: SparkSession, path: str, key: str | None = None, is_json: bool | None = None) -> DataFrame:
@@ -80,7 +80,7 @@ def forum_labels(file: Column) -> tuple[Column, Column]:
 
 def slang_map(spark: SparkSession, path: str, key: str = "teencode_unigrams_meaningful") -> DataFrame:
     """(key, value, place) of one object of a JSON file; empty if it isn't there."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     entries = F.from_json(F.get_json_object("value", f"$.{key}"), "map<string,string>")
     return whole.select(F.posexplode(F.map_entries(entries)).alias("place", "e")).select("e.key", "e.value", "place")
 
@@ -96,7 +96,7 @@ def dictionary(*lists: DataFrame) -> DataFrame:
 
 def vocabulary_json(spark: SparkSession, path: str) -> DataFrame:
     """(word, idx) from `{"word2idx": {...}}` or the bare object."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     inner = F.from_json(F.get_json_object("value", "$.word2idx"), "map<string,int>")
     bare = F.from_json("value", "map<string,int>")
     return whole.select(F.explode(F.coalesce(inner, bare)).alias("word", "idx"))

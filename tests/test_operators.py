@@ -38,8 +38,10 @@ def test_strict_reads_fail(spark, tmp_path):
 def test_maps_and_dictionaries(spark, tmp_path):
     (tmp_path / "slang.json").write_text(json.dumps({"teencode_unigrams_meaningful": {"k": "không", "dc": "được"}, "other": {}}))
     assert [(r.key, r.value) for r in readers.slang_map(spark, str(tmp_path / "slang.json")).orderBy("place").collect()] == [("k", "không"), ("dc", "được")]
+    (tmp_path / "slang.json").write_text(json.dumps({"teencode_unigrams_meaningful": {"k": "không"}}, indent=2))
+    assert [r.value for r in readers.slang_map(spark, str(tmp_path / "slang.json")).collect()] == ["không"]
     for body in ({"word2idx": {"a": 4, "b": 5}}, {"a": 4, "b": 5}):
-        (tmp_path / "vocab.json").write_text(json.dumps(body))
+        (tmp_path / "vocab.json").write_text(json.dumps(body, indent=2))
         assert {r.word: r.idx for r in readers.vocabulary_json(spark, str(tmp_path / "vocab.json")).collect()} == {"a": 4, "b": 5}
     one = spark.createDataFrame([(" Băng_Thông ",), ("",), ("x",)], "value string")
     assert sorted(r.word for r in readers.dictionary(one, one).collect()) == ["băng thông", "x"]
@@ -199,7 +201,7 @@ def test_streams_equal_batches(spark, tmp_path):
 def test_json_updates_keep_other_keys(spark):
     df = spark.createDataFrame([('{"a": {"b": [1, 2]}, "text": "x", "n": null}', 'y "z"')], "line string, t string")
     got = df.select(readers.json_updated(F.col("line"), "text", F.col("t"))).first()[0]
-    assert json.loads(got)["a"] == {"b": [1, 2]}
+    assert json.loads(got)["a"] == {"b": [1, 2]} and isinstance(json.loads(got)["text"], str)
 
 
 def test_terms_stay_whole():
@@ -224,3 +226,39 @@ def test_bpe_round_trip(spark):
     df = spark.createDataFrame([("Xin chào, <|endoftext|> 123",), (None,), ("",)], "t string").withColumn("ids", bpe.encode(F.col("t"), BPE_FILE))
     assert [r.back for r in df.select(bpe.decode(F.col("ids"), BPE_FILE).alias("back")).collect()] == ["Xin chào, <|endoftext|> 123", None, ""]
     assert df.select(F.max(F.size(bpe.encode(F.col("t"), BPE_FILE, 2)))).first()[0] == 2
+
+
+def test_beams_without_repeated_pairs():
+    from corpuscle.operators import lm
+
+    table = {2: [(5, -0.1)], 5: [(6, -0.1), (7, -2.0)], 6: [(5, -0.1), (3, -5.0)], 7: [(5, -0.1)]}
+    free = lm.beam([2], table, 2, 12, 0.7, step_penalty=False)
+    bound = lm.beam([2], table, 2, 12, 0.7, step_penalty=False, no_repeat=2)
+    pairs = lambda seq: list(zip(seq, seq[1:], strict=False))
+    assert len(set(pairs(free))) < len(pairs(free)) and len(set(pairs(bound))) == len(pairs(bound)) and bound[-1] == 3
+
+
+def test_a_keyed_state_replaces_and_deletes(spark, tmp_path):
+    from corpuscle.sources import sinks
+
+    path = f"file://{tmp_path}/state"
+    rows = lambda *r: spark.createDataFrame(list(r), "site string, category int, page int")
+    assert sinks.state(spark, path) is None
+    sinks.delete(rows(("a", 0, 0)), path, "site")
+    sinks.upsert(rows(("a", 0, 1), ("a", 0, 2), ("b", 1, 1)), path, "site")
+    sinks.upsert(rows(("b", 2, 1), ("c", 0, 1)), path, "site")
+    assert sorted(map(tuple, sinks.state(spark, path).collect())) == [("a", 0, 2), ("b", 2, 1), ("c", 0, 1)]
+    sinks.delete(rows(("a", 9, 9), ("x", 0, 0)), path, "site")
+    assert sorted(r.site for r in sinks.state(spark, path).collect()) == ["b", "c"]
+    (tmp_path / "state" / "version=9").mkdir()  # an attempt that failed
+    assert sinks.versions(spark, path) == 3
+
+
+def test_loss_of_batches_and_padding(spark):
+    from corpuscle.operators import lm
+
+    rows = spark.createDataFrame([(0, "x", -1.0, 1), (0, "y", -3.0, None), (1, "z", -5.0, 2), (1, "<pad>", -90.0, None), (2, "<pad>", -9.0, None)], "batch int, label string, log_p double, rank int")
+    assert tuple(lm.batch_loss(rows, "batch").first()) == (2, 3.5, round(math.exp(3.5), 2))
+    whole = lm.report(rows.withColumn("s", F.lit("b")).withColumn("d", F.lit("a")), "s", "d").collect()
+    assert [r.group for r in whole] == ["Domain: a", "OVERALL", "Source: b"] and {r.tokens for r in whole} == {3}
+    assert lm.perplexity(F.lit(500.0)) is not None
