@@ -70,6 +70,11 @@ def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= SMALL_ROWS else df
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def fresh(name: str, df: DataFrame) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -110,7 +115,7 @@ def named(docs: DataFrame, text: str, name: str, first: Callable[[Column], Colum
         return docs.withColumn(name, first(own))
     h, hit = fresh("h", docs), fresh("hit", docs)
     marked = docs.withColumn(h, first(own)).join(clashes.select(F.col("h").alias(h), F.lit(True).alias(hit)), h, "left")
-    return marked.withColumn(name, F.when(F.col(hit), F.xxhash64(F.md5(own), F.lit(1))).otherwise(F.col(h))).select(*docs.columns, name)
+    return marked.withColumn(name, F.when(F.col(hit), F.xxhash64(F.md5(own), F.lit(1))).otherwise(F.col(h))).select(*columns(docs), name)
 
 
 def words_in(text: Column) -> Column:
@@ -148,4 +153,4 @@ def prefix_sums(df: DataFrame, order: list[Column], values: dict[str, str], per_
     inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = dealt.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"own__{k}") for k, v in enumerate(values)])
     both = own.join(small_side(starts, n), part)
-    return both.select(*df.columns, *[(F.col(f"own__{k}") + F.col(f"__{k}")).alias(name) for k, name in enumerate(values.values())])
+    return both.select(*columns(df), *[(F.col(f"own__{k}") + F.col(f"__{k}")).alias(name) for k, name in enumerate(values.values())])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import cut, fresh, small_side, squeezed, with_row, written
+from corpuscle.llm.common import columns, cut, fresh, small_side, squeezed, with_row, written
 
 
 def content_hash(normal: Column) -> Column:
@@ -66,4 +66,4 @@ def without_exact_copies(docs: DataFrame, text: str = "text", id: str = "doc_id"
     table; only the places of those that go are joined to it."""
     rows = with_row(docs, row := fresh("row", docs))
     gone = cut(grouped(rows, row, text, id).where("not kept").select(F.col("row").alias(row)).coalesce(64))
-    return rows.join(small_side(gone), row, "left_anti").select(*docs.columns)
+    return rows.join(small_side(gone), row, "left_anti").select(*columns(docs))

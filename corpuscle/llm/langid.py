@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import cut
+from corpuscle.llm.common import columns
 
 #: n-grams of 1 to SIZES characters, hashed to 2^BITS buckets.
 SIZES, BITS = 3, 16
@@ -265,7 +265,7 @@ def accepted(
     model = train(docs, text, id, lang, ~held_out(F.col(id), 4, 2), **how)
     if model is None:
         return docs.where(F.col(text).rlike(r"\p{L}")) if langs is None else docs.where(F.lit(False))
-    rows = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col(text).alias("text"))
+    rows = docs.select(*[c.alias(f"c{k}") for k, c in enumerate(columns(docs))], F.col(text).alias("text"))
     fine = (F.col("lang_pred") != "und") & (F.col("score") >= least)
     told = predicted(rows, model).where(fine if langs is None else fine & F.col("lang_pred").isin(langs))
     return told.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

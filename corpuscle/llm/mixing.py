@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import cut, fresh, prefix_sums, with_row, words_in, written
+from corpuscle.llm.common import columns, cut, fresh, prefix_sums, with_row, words_in, written
 
 #: Rows of a range that a running total goes over in one task.
 RANGE_ROWS = 20_000
@@ -115,4 +115,4 @@ def mixed(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str =
     share = (F.col("start") + F.col("pass") * F.col("source_size")) / F.col("target")
     at = F.struct(reached(share, F.col("rate_start"), F.col("rate_end")).alias("at"), "h", "pass", "row")
     copies = copies.select(F.col("row").alias(row), at.alias(order := fresh("order", rows)))
-    return rows.join(copies, row).orderBy(order).select(*docs.columns)
+    return rows.join(copies, row).orderBy(order).select(*columns(docs))

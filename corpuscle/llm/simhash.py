@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import cut, fresh, named, partitions, small_side, with_row, written
+from corpuscle.llm.common import columns, cut, fresh, named, partitions, small_side, with_row, written
 from corpuscle.llm.components import components
 from corpuscle.llm.urlfilter import BlockedBloom
 from corpuscle.llm.windows import MIX, WordHashes, mixed, shingles, whole_runs
@@ -481,4 +481,4 @@ def without_near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id",
     told apart by their place in the table; only the places of those that go are joined to it."""
     rows = with_row(docs, row := fresh("place", docs))
     gone = cut(copies(rows, row, text, id, similar), narrow=True)
-    return rows.join(small_side(gone), row, "left_anti").select(*docs.columns)
+    return rows.join(small_side(gone), row, "left_anti").select(*columns(docs))

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from corpuscle.llm import packing, simhash
 
 
@@ -129,3 +131,69 @@ def test_pack_is_the_last_stage():
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mix", "pack"]
     assert packing.SHARD_ROWS > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+CLASHING = "row string, place int, h long, hit boolean, part int, `order` double, pass int, c0 string, __at int, lang_pred string, score double, keep string, `a.b` int"
+
+
+def odd_documents(spark, metadata):
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"the{rng.randrange(500)} and of cat" if rng.random() < 0.5 else f"house{rng.randrange(900)}" for _ in range(n))
+    german = lambda n: " ".join(f"der{rng.randrange(500)} und die" for _ in range(n))
+    base = words(120)
+    texts = [(k, words(40) if k % 2 else german(40), "en" if k % 2 else "de", "ab"[k % 3 > 0]) for k in range(60)]
+    texts += [(100, None, "en", "a"), (101, "", "en", None), (102, " \n\t", None, "a"), (103, "12 34 !!", "en", "a")]  # without a letter
+    texts += [(110, base, "en", "a"), (111, base + " \n", "en", "a"), (111, base + " \n", "en", "a"), (None, base, None, None), (112, base.replace(" ", "  "), "en", "b")]
+    texts += [(120, base + " one two three", "en", "a"), (121, base.upper(), "en", "a"), (None, "short text", None, None), (None, "short text", None, None)]
+    texts += [(130, "wort " * 30_000, "de", None), (131, words(3000), "en", "hot"), (7, words(30), "en", "hot"), (7, words(30), None, "hot")]
+    extra = (None, 1, 2, True, 3, 0.5, 4, "c", 5, "x", 0.1, "k", 6)
+    schema = "doc_id long, text string, lang string, source string, " + CLASHING + (", _metadata string" if metadata else "")
+    return spark.createDataFrame([(*t, *extra, *(["m"] if metadata else [])) for t in texts], schema)
+
+
+@pytest.mark.parametrize("metadata", [False, True])
+def test_stages_on_odd_rows(spark, tmp_path, metadata):
+    """Null, empty, long, tied and repeated rows and columns of clashing names go through all stages."""
+    import corpus_pipeline
+
+    docs = odd_documents(spark, metadata)
+    docs.write.parquet(f"{tmp_path}/in")
+    docs = spark.read.parquet(f"{tmp_path}/in")
+    columns = docs.columns
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.select("doc_id", "text", "source").collect()
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{number}")
+        docs = spark.read.parquet(f"{tmp_path}/{number}")
+        if name == "pack":
+            break
+        assert docs.columns == columns and {r["a.b"] for r in docs.select("`a.b`").collect()} == {6}
+        after = docs.select("doc_id", "text", "source").collect()
+        if name == "language_id":
+            assert sorted(map(repr, after)) == sorted(repr(r) for r in before if any(c.isalpha() for c in r.text or ""))
+        elif name == "exact_dedup":
+            key = lambda r: re.sub(r"[\x20\x09-\x0D]", "", r.text)
+            assert len(after) == len({key(r) for r in before}) == len({key(r) for r in after})
+            hot = next(key(r) for r in before if r.doc_id == 112)
+            assert [r.doc_id for r in after if key(r) == hot] == [112]
+        elif name == "near_dedup":
+            left = {r.text for r in after}
+            assert not any(t.isupper() and t.lower() in left for t in left) and sum("house" in t and len(t) > 600 and len(t) < 20_000 for t in left) >= 1
+            assert sum(r.doc_id in (112, 120, 121) for r in after) == 1
+        else:
+            assert max(after.count(r) for r in after) == 2 and {r.doc_id for r in after} <= {r.doc_id for r in before}
+    rows = docs.collect()
+    assert sum(r.size for r in rows) == sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in after)
+    bins = {}
+    for r in rows:
+        bins.setdefault((r.shard, r.bin), []).append(r)
+    assert all(sum(r.size for r in b) <= 2048 and len({r.source for r in b if r.source}) == sum(bool(r.source) for r in b) for b in bins.values())
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = odd_documents(spark, False).where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.count() == 0
+        docs = after if after.columns == docs.columns else docs
