@@ -183,3 +183,45 @@ def test_crowded_signatures_equal_brute_force():
             for j in range(i):
                 if rows[i] != rows[j] and windows.verified(parts[i], parts[j], least, 0.8):
                     assert find(rows[i]) == find(rows[j])
+
+
+def test_near_repeats_against_brute_force(spark):
+    """Recall and precision beside signatures that hundreds share: 300 documents with one common line of 45 words, 120 pairs
+    that go on with near repeats, and the documents of a table. Brute force verifies all pairs with enough in common."""
+    rng = random.Random(3)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)]
+    common, texts = words(45), []
+    for k in range(150):
+        passage = words(rng.randrange(60, 160))
+        for side in (0, 1):
+            own = list(passage) if k < 120 else words(80)
+            for _ in range(rng.randrange(1, len(passage) // 50 + 1) if side else 0):
+                own[rng.randrange(len(own))] = words(1)[0]
+            texts.append(" ".join(words(rng.randrange(20, 120)) + common + own + words(rng.randrange(20, 120))))
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 3 = 0")
+    rows = [(10_000 + k, t) for k, t in enumerate(texts)] + [(r.doc_id, r.text) for r in table.collect()]
+    seen, least = windows.WordHashes(), windows.LEAST_WORDS - windows.SHINGLE + 1
+    held = {i: (windows.shingles(t, seen) >> np.uint64(32)).astype(np.uint32).view(np.int32) for i, t in rows}
+    sets = {i: set(x.tolist()) for i, x in held.items()}
+    where = {}
+    for i, s in sets.items():
+        for h in s:
+            where.setdefault(h, []).append(i)
+    shared = {}
+    for ids in where.values():
+        for k, a in enumerate(ids):
+            for b in ids[:k]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    want = {pair for pair, n in shared.items() if n >= 30 and windows.verified(held[pair[0]], held[pair[1]], least, 0.8)}
+    got = windows.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    classes = {}
+    for r in got:
+        classes.setdefault(r.class_id, set()).add(r.doc_id)
+        assert r.end_word - r.start_word >= windows.LEAST_WORDS
+    together = {frozenset((a, b)) for c in classes.values() for a in c for b in c if a != b}
+    found = sum(frozenset(pair) in together for pair in want)
+    assert len(want) > 150 and found >= 0.99 * len(want)
+    linked = {i for pair in want for i in pair}
+    assert {r.doc_id for r in got} <= linked  # no document without a repeat
+    for c in classes.values():  # and each is linked inside its class
+        assert all(any(frozenset((a, b)) in {frozenset(p) for p in want} for b in c if b != a) for a in c)
