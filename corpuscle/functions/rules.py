@@ -10,9 +10,13 @@ from typing import NamedTuple
 
 
 class Rule(NamedTuple):
+    """needs: texts that hold none of these, in any case, can't match, so the pattern isn't tried on them; `0` stands for
+    any digit. Empty: it is always tried."""
+
     step: str
     pattern: str
     replacement: str = ""
+    needs: tuple[str, ...] = ()
 
 
 def rx(pattern: str, flags: str = "") -> str:
@@ -49,49 +53,50 @@ ORPHANS = (",", ".", "!", "?", ":", "-", '"')
 
 #: Comment cleaning, in place.
 COMMENT = (
-    Rule("signature", rx(r"\bvia\s+the\w*voz\w*\s+for\s+\w+", "i")),
-    Rule("signature", rx(r"\bSent\s+from\s+.{3,60}\s+using\s+voz\w+", "i")),
-    Rule("signature", rx(r"\bGửi\s+từ\s+.{2,60}\s+bằng\s+\w+App\b", "i")),
-    Rule("signature", rx(r"\bvia\s+\w+\s+for\s+(iPhone|Android|iPad)\b", "i")),
-    Rule("facebook", rx(r"Log\s+in\s+(to|or sign up to view)\s+Facebook.*?(?=\n|$)", "is")),
+    Rule("signature", rx(r"\bvia\s+the\w*voz\w*\s+for\s+\w+", "i"), needs=("voz",)),
+    Rule("signature", rx(r"\bSent\s+from\s+.{3,60}\s+using\s+voz\w+", "i"), needs=("voz",)),
+    Rule("signature", rx(r"\bGửi\s+từ\s+.{2,60}\s+bằng\s+\w+App\b", "i"), needs=("app",)),
+    Rule("signature", rx(r"\bvia\s+\w+\s+for\s+(iPhone|Android|iPad)\b", "i"), needs=("iphone", "android", "ipad")),
+    Rule("facebook", rx(r"Log\s+in\s+(to|or sign up to view)\s+Facebook.*?(?=\n|$)", "is"), needs=("facebook",)),
     Rule(
         "url",
         rx(r"https?://\S+|(?<!\w)www\.\S+|(?<!\w)vn\.shp\.ee/\S+|(?<!\w)s\.lazada\.vn/\S+|(?<!\w)bit\.ly/\S+|(?<!\w)shopee\.vn/\S+", "i"),
         "<URL>",
+        needs=("http", "www.", "vn.shp.ee", "s.lazada.vn", "bit.ly", "shopee.vn"),
     ),
-    Rule("metadata", rx(r"Post\s+in\s+thread\s+['\"].+?['\"]", "i")),
-    Rule("metadata", rx(r"Replies:\s*\d+\s+Forum:\s*\w+", "i")),
-    Rule("metadata", rx(rf"\b({MONTHS})\s+\d{{1,2}},?\s+20\d{{2}}\b", "i")),
-    Rule("metadata", rx(r"\b\d{1,2}/\d{1,2}/20\d{2}\b")),
-    Rule("repeat", rx(r"([.!?\-_~])\1{3,}"), "$1"),
+    Rule("metadata", rx(r"Post\s+in\s+thread\s+['\"].+?['\"]", "i"), needs=("thread",)),
+    Rule("metadata", rx(r"Replies:\s*\d+\s+Forum:\s*\w+", "i"), needs=("replies:",)),
+    Rule("metadata", rx(rf"\b({MONTHS})\s+\d{{1,2}},?\s+20\d{{2}}\b", "i"), needs=("0",)),
+    Rule("metadata", rx(r"\b\d{1,2}/\d{1,2}/20\d{2}\b"), needs=("/20",)),
+    Rule("repeat", rx(r"([.!?\-_~])\1{3,}"), "$1", ("....", "!!!!", "????", "----", "____", "~~~~")),
     Rule("repeat", rx(r"([^.!?\-_~\n])\1{3,}"), "$1$1"),
-    Rule("emoticon", rx(r"(?<!\w):v\b", "i")),
-    Rule("emoticon", rx(r"(?<!\w):\)\s*$", "m")),
-    Rule("emoticon", rx(r"\){3,}")),
-    Rule("emoticon", rx(r"(?<!\w)=\)\s*$", "m")),
-    Rule("emoticon", rx(r"(?<!\w)>\.<")),
-    Rule("emoticon", rx(r"(?<!\w): \w+:(?!\w)")),
+    Rule("emoticon", rx(r"(?<!\w):v\b", "i"), needs=(":v",)),
+    Rule("emoticon", rx(r"(?<!\w):\)\s*$", "m"), needs=(":)",)),
+    Rule("emoticon", rx(r"\){3,}"), needs=(")))",)),
+    Rule("emoticon", rx(r"(?<!\w)=\)\s*$", "m"), needs=("=)",)),
+    Rule("emoticon", rx(r"(?<!\w)>\.<"), needs=(">.<",)),
+    Rule("emoticon", rx(r"(?<!\w): \w+:(?!\w)"), needs=(": ",)),
     Rule("emoji", rx(r"[\x{10000}-\x{10ffff}]|[☀-➿]|[⌀-⏿]|[■-◿]")),
-    Rule("punctuation", rx(r"([!?])[!?]{2,}"), "$1"),
-    Rule("punctuation", rx(r"\.{4,}"), "."),
-    Rule("whitespace", rx(r"[ \t]{2,}"), " "),
+    Rule("punctuation", rx(r"([!?])[!?]{2,}"), "$1", ("!!", "??", "!?", "?!")),
+    Rule("punctuation", rx(r"\.{4,}"), ".", ("....",)),
+    Rule("whitespace", rx(r"[ \t]{2,}"), " ", ("  ", "\t")),
 )
 COMMENT_COUNTED = ("signature", "facebook", "url", "metadata", "repeat", "emoticon", "emoji", "punctuation", "truncate")
 
 #: Line cleaning. `:)` needs two closing brackets or more; `>` deletes to the line's end.
 LINE = (
-    Rule("url", rx(r"https?://\S+|www\.\S+|ftp://\S+")),
-    Rule("image", rx(r"\[hình ảnh\]|\[image\]|\[img\]", "i")),
-    Rule("quote", rx(r">+\s*.*")),
-    Rule("signature", rx(r"-{2,}\s*$")),
+    Rule("url", rx(r"https?://\S+|www\.\S+|ftp://\S+"), needs=("http", "www.", "ftp:")),
+    Rule("image", rx(r"\[hình ảnh\]|\[image\]|\[img\]", "i"), needs=("[",)),
+    Rule("quote", rx(r">+\s*.*"), needs=(">",)),
+    Rule("signature", rx(r"-{2,}\s*$"), needs=("--",)),
     Rule("emoticon", rx(r"=\)+|:\){2,}|:>+|;\)+|:D+|>\.<|T_T|:\|+|>_<|:v+|:\*+|<3+")),
-    Rule("brackets", rx(r"\(\s*\)")),
-    Rule("dots", rx(r"\.{2,}"), "."),
-    Rule("spaces", rx(r" {2,}"), " "),
+    Rule("brackets", rx(r"\(\s*\)"), needs=("(",)),
+    Rule("dots", rx(r"\.{2,}"), ".", ("..",)),
+    Rule("spaces", rx(r" {2,}"), " ", ("  ",)),
 )
 
-_WEB = (Rule("url", rx(r"https?\s*:\s*/\s*/\s*\S+"), " "), Rule("email", rx(r"\S+@\S+\.\S+"), " "))
-_ELLIPSIS = Rule("ellipsis", rx(r"\.{3,}"), "…")
+_WEB = (Rule("url", rx(r"https?\s*:\s*/\s*/\s*\S+"), " ", ("http",)), Rule("email", rx(r"\S+@\S+\.\S+"), " ", ("@",)))
+_ELLIPSIS = Rule("ellipsis", rx(r"\.{3,}"), "…", ("...",))
 _MARKS = (
     Rule("space_before", rx(r"\s+([,.:;!?…])"), "$1"),
     Rule("space_after", rx(r"([,:;!?])(?=[^\s\d\"”\)])"), "$1 "),
@@ -100,21 +105,21 @@ _SPACES = Rule("spaces", rx(r" +"), " ")
 
 #: Forum texts: before and after normalisation to NFC, and after lower-casing.
 FORUM_RAW = (
-    Rule("quote", rx(r"\[QUOTE\].*?\[/QUOTE\]", "is"), " "),
-    Rule("signature", rx(r"Sent from (my )?[a-zA-Z0-9 ]+ using .*", "i"), " "),
-    Rule("signature", rx(r"Sent from .* via .*", "i"), " "),
-    Rule("signature", rx(r"via theNEXTvoz.*", "i"), " "),
-    Rule("signature", rx(r"Gửi từ .* bằng .*", "i"), " "),
+    Rule("quote", rx(r"\[QUOTE\].*?\[/QUOTE\]", "is"), " ", ("[quote]",)),
+    Rule("signature", rx(r"Sent from (my )?[a-zA-Z0-9 ]+ using .*", "i"), " ", ("sent from ",)),
+    Rule("signature", rx(r"Sent from .* via .*", "i"), " ", ("sent from ",)),
+    Rule("signature", rx(r"via theNEXTvoz.*", "i"), " ", ("via thenextvoz",)),
+    Rule("signature", rx(r"Gửi từ .* bằng .*", "i"), " ", ("gửi từ ",)),
 )
 FORUM_WEB = _WEB
 #: Terms that stay together. Without a suffix the next word is drawn in; `entities(fixed=True)` avoids that.
 ENTITIES = (
-    Rule("unit", rx(r"\b(\d+)\s*(k|vnd|đ|nd|th|st|rd|gb|tb|hz|mhz|p|fps)\b"), "$1$2"),
-    Rule("inch", rx(r"(?<![-/a-z])\b(\d+)\s*[\"']"), "$1inch "),
-    Rule("cpu", rx(r"\b(i|r)\s*(\d)\s*[-_]?\s*(\d{4,5})\s*([kxf]{0,2})\b"), "$1$2_$3$4"),
-    Rule("gpu", rx(r"\b(rtx|gtx|rx|hd|gt)\s*[-_]?\s*(\d{3,4})\s*[-_]?\s*(ti|xt|super)\b"), "$1_$2_$3"),
-    Rule("gpu", rx(r"\b(rtx|gtx|rx|hd|gt)\s*[-_]?\s*(\d{3,4})\s*[-_]?\s*\b"), "$1_$2"),
-    Rule("gear", rx(r"\b(logitech|corsair|fuhlen|mchose|vxe|razer|dareu)\s+([a-z0-9]+)\b"), "$1_$2"),
+    Rule("unit", rx(r"\b(\d+)\s*(k|vnd|đ|nd|th|st|rd|gb|tb|hz|mhz|p|fps)\b"), "$1$2", ("0",)),
+    Rule("inch", rx(r"(?<![-/a-z])\b(\d+)\s*[\"']"), "$1inch ", ("0",)),
+    Rule("cpu", rx(r"\b(i|r)\s*(\d)\s*[-_]?\s*(\d{4,5})\s*([kxf]{0,2})\b"), "$1$2_$3$4", ("0",)),
+    Rule("gpu", rx(r"\b(rtx|gtx|rx|hd|gt)\s*[-_]?\s*(\d{3,4})\s*[-_]?\s*(ti|xt|super)\b"), "$1_$2_$3", ("0",)),
+    Rule("gpu", rx(r"\b(rtx|gtx|rx|hd|gt)\s*[-_]?\s*(\d{3,4})\s*[-_]?\s*\b"), "$1_$2", ("0",)),
+    Rule("gear", rx(r"\b(logitech|corsair|fuhlen|mchose|vxe|razer|dareu)\s+([a-z0-9]+)\b"), "$1_$2", ("logitech", "corsair", "fuhlen", "mchose", "vxe", "razer", "dareu")),
 )
 ENTITIES_FIXED = tuple(
     {

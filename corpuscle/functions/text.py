@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 from itertools import groupby
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,12 +43,36 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(r"(?U)\S")
 
 
+#: Letters that match others in any case and don't turn into them when lower-cased.
+ODD_CASE = ("ſ", "ı", "\u0307")
+
+
+def may_match(text: Column, needs: tuple[str, ...]) -> Column:
+    """Whether a text holds one of some strings in any case; `0` is any digit."""
+    low = F.lower(text)
+    held = [low.rlike(r"(?U)\d") if n == "0" else low.contains(n) for n in needs]
+    held += [low.contains(c) for c in ODD_CASE if any(x.isalpha() for n in needs for x in n)]
+    return reduce(or_, held)
+
+
 def rewrite(text: Column, chain: Iterable[Rule]) -> Column:
+    """The chain's patterns in turn, each only on texts that hold what it needs: looking for a few letters costs little
+    beside a pattern of Unicode classes."""
+    for needs, own in groupby(chain, key=lambda r: r.needs):
+        text = once(text, guarded(needs, list(own))) if needs else replaced(text, own)
+    return text
+
+
+def replaced(text: Column, chain: Iterable[Rule]) -> Column:
     for rule in chain:
         text = F.regexp_replace(text, rule.pattern, rule.replacement)
     return text
 
 
+def guarded(needs: tuple[str, ...], chain: list[Rule]) -> Callable[[Column], Column]:
+    return lambda t: F.when(may_match(t, needs), replaced(t, chain)).otherwise(t)
+
+
 def any_of(text: Column, patterns: Iterable[str], flags: str = "") -> Column:
     return text.rlike(rx("|".join(f"(?:{p})" for p in patterns), flags))
 
@@ -142,10 +168,17 @@ def forum_quality(text: Column) -> Column:
     return once(text, good)
 
 
+#: The same runs, with the commonest letters taken as runs of their own: the whole alphabet is a slow class.
+FAST_TOKEN = f"((?:[a-z0-9]++|{rules.TOKEN[:-1]})+)"
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters of the alphabet and digits, without URLs and without plain numbers."""
-    own = F.regexp_replace(F.lower(text), rx(rules.TOKEN_NOISE), " ")
-    return F.filter(F.regexp_extract_all(own, F.lit(f"({rules.TOKEN})"), F.lit(1)), lambda t: ~t.rlike(r"\A[0-9]+\z"))
+    low = F.lower(text)
+    noisy = low.contains("<url>") | low.contains("http") | low.contains("www.")
+    own = F.when(noisy, F.regexp_replace(low, rx(rules.TOKEN_NOISE), " ")).otherwise(low)
+    number = lambda t: (t < ":") & t.rlike(r"\A[0-9]+\z")  # noqa: E731  # digits come before `:`, letters after it
+    return F.filter(F.regexp_extract_all(own, F.lit(FAST_TOKEN), F.lit(1)), lambda t: ~number(t))
 
 
 def url_without_query(url: Column) -> Column:

@@ -148,3 +148,16 @@ def test_costly_columns_are_computed_once(spark, small):
     assert operators("forum_clean")[0] == 2
     comment = sum(1 for _ in rules.COMMENT)
     assert operators("comment_clean")[1] < 3 * comment and operators("clean_step_counters")[1] < 3 * comment
+
+
+@pytest.mark.parametrize("chain", ["COMMENT", "LINE", "FORUM_RAW", "FORUM_WEB", "ENTITIES", "ENTITIES_FIXED", "FORUM_MARKS", "NEWS"])
+def test_what_a_rule_needs_changes_no_result(spark, chain):
+    """With and without trying patterns on texts only that hold what they need."""
+    own = getattr(rules, chain)
+    free = [r._replace(needs=()) for r in own]
+    rng = random.Random(3)
+    pieces = ["Sent from my x1 using vozFApp", "via theNEXTvoz for iPhone", "GỬI TỪ a bằng VOZVNApp", "Log in to Facebook now", "HTTPS://a.b", "WWW.a", "bit.ly/x", "Post in thread 'a'", "Replies: 5 Forum: x",
+              "Jan 10, 2026", "5/09/2025", "[QUOTE]a[/quote]", "[IMG]", "-- ", "()", "a..", "ﬅ ſent from ıphone İPAD", "٣ gb", "Sent from a via b", "Razer  viper", "RTX 3060 TI", "a@b.c"]
+    values = strings(800, 5) + [" ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 5))) for _ in range(800)] + [None, ""]
+    rows = spark.createDataFrame([(v,) for v in values], "t string").select("t", text.rewrite(F.col("t"), own).alias("a"), text.rewrite(F.col("t"), free).alias("b")).collect()
+    assert [(r.t, r.a, r.b) for r in rows if r.a != r.b] == []
