@@ -21,7 +21,7 @@ CHUNK_WORDS, REMEMBERED = 1_000_000, 250_000
 #: Windows of one signature up to which all pairs are listed; windows of larger ones that are compared at once.
 SMALL, TOGETHER = 8, 16_384
 #: Windows for which the small tables made of them get one file more.
-FILE_WINDOWS = 2_000_000
+FILE_WINDOWS = 500_000
 #: Grain to which the ranges that are fetched are widened; common ranges that are held before overlapping ones are united.
 GRAIN, HELD = 64, 2_000_000
 #: Odd multipliers that mix bits.
