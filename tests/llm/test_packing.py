@@ -117,3 +117,24 @@ def test_shards_cost_little_fill(spark):
         fill.append(bins.agg(F.avg(F.col("used") / 2048)).first()[0])
     print(f"fill {fill[0]:.4f} in one, {fill[1]:.4f} in shards")
     assert fill[1] > 0.97 * fill[0]
+
+
+def test_the_query_packs_as_a_plain_search_does(spark, small):
+    """Of the registered query: pieces in order, each in the tightest bin without its source and its cluster of copies."""
+    import hashlib
+
+    from corpuscle.llm import entries
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    items = []
+    for r in docs:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        copy = hashlib.md5(re.sub(r"[\x20\x09-\x0D]", "", r.text or "").encode()).hexdigest()
+        if n % 2048:
+            items.append((-(n % 2048), r.doc_id, r.source, copy))
+    items.sort(key=lambda x: x[:2])
+    number = {}
+    masks = [(1 << number.setdefault(("s", s), len(number)) if s is not None else 0) | 1 << number.setdefault(("c", c), len(number)) for _, _, s, c in items]
+    want = plain_best_fit([-n for n, *_ in items], masks, 2048)
+    got = {r.doc_id: r.bin for r in entries.op4_best_fit_packing(spark, small).where("shard >= 0").collect()}
+    assert got == {i: b for (_, i, *_), b in zip(items, want, strict=True)} and len(set(want)) < len(items) / 2
