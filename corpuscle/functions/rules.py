@@ -44,14 +44,13 @@ CODE_WORDS = (
     "script", "html", "div", "doctype", "src", "href", "interface", "ethernet", "pppoe", "wlan", "ssid", "dhcp",
     "mikrotik", "hotspot", "default-name", "supplicant", "wpa2", "ap-bridge",
 )
-MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 TOKEN = "[a-zàáạảãâầấậẩẫăằắặẳẵèéẹẻẽêềếệểễìíịỉĩòóọỏõôồốộổỗơờớợởỡùúụủũưừứựửữỳýỵỷỹđ0-9]+"
 TOKEN_NOISE = r"<url>|https?://\S+|www\.\S+"
 PARAGRAPH_CHARS = {"vnexpress.net": 50, "dantri.com.vn": 40, "thanhnien.vn": 40, "voz.vn": 25}
 BOT_WALL = ("Just a moment...", "Checking your browser")
 ORPHANS = (",", ".", "!", "?", ":", "-", '"')
 
-#: Comment cleaning, in place.
+#: Comment cleaning, in place.
 COMMENT = (
     Rule("signature", rx(r"\bvia\s+the\w*voz\w*\s+for\s+\w+", "i"), needs=("voz",)),
     Rule("signature", rx(r"\bSent\s+from\s+.{3,60}\s+using\s+voz\w+", "i"), needs=("voz",)),
@@ -66,7 +65,7 @@ COMMENT = (
     ),
     Rule("metadata", rx(r"Post\s+in\s+thread\s+['\"].+?['\"]", "i"), needs=("thread",)),
     Rule("metadata", rx(r"Replies:\s*\d+\s+Forum:\s*\w+", "i"), needs=("replies:",)),
-    Rule("metadata", rx(rf"\b({MONTHS})\s+\d{{1,2}},?\s+20\d{{2}}\b", "i"), needs=("0",)),
+    Rule("metadata", rx(r"\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2},?\s+20\d{2}\b", "i"), needs=("0",)),
     Rule("metadata", rx(r"\b\d{1,2}/\d{1,2}/20\d{2}\b"), needs=("/20",)),
     Rule("repeat", rx(r"([.!?\-_~])\1{3,}"), "$1", ("....", "!!!!", "????", "----", "____", "~~~~")),
     Rule("repeat", rx(r"([^.!?\-_~\n])\1{3,}"), "$1$1"),
@@ -76,18 +75,18 @@ COMMENT = (
     Rule("emoticon", rx(r"(?<!\w)=\)\s*$", "m"), needs=("=)",)),
     Rule("emoticon", rx(r"(?<!\w)>\.<"), needs=(">.<",)),
     Rule("emoticon", rx(r"(?<!\w): \w+:(?!\w)"), needs=(": ",)),
-    Rule("emoji", rx(r"[\x{10000}-\x{10ffff}]|[☀-➿]|[⌀-⏿]|[■-◿]")),
+    Rule("emoji", rx(r"[\x{10000}-\x{10ffff}]|[\u2600-\u27BF]|[\u2300-\u23FF]|[\u25A0-\u25FF]|[\u2700-\u27BF]")),
     Rule("punctuation", rx(r"([!?])[!?]{2,}"), "$1", ("!!", "??", "!?", "?!")),
     Rule("punctuation", rx(r"\.{4,}"), ".", ("....",)),
     Rule("whitespace", rx(r"[ \t]{2,}"), " ", ("  ", "\t")),
 )
 COMMENT_COUNTED = ("signature", "facebook", "url", "metadata", "repeat", "emoticon", "emoji", "punctuation", "truncate")
 
-#: Line cleaning. `:)` needs two closing brackets or more; `>` deletes to the line's end.
+#: Line cleaning. `:)` needs two closing brackets or more; `>` deletes to the line's end.
 LINE = (
     Rule("url", rx(r"https?://\S+|www\.\S+|ftp://\S+"), needs=("http", "www.", "ftp:")),
-    Rule("image", rx(r"\[hình ảnh\]|\[image\]|\[img\]", "i"), needs=("[",)),
-    Rule("quote", rx(r">+\s*.*"), needs=(">",)),
+    Rule("image", rx(r"\[Hình ảnh\]|\[hình ảnh\]|\[image\]|\[img\]", "i"), needs=("[",)),
+    Rule("quote", rx(r">{1,}\s*.*"), needs=(">",)),
     Rule("signature", rx(r"-{2,}\s*$"), needs=("--",)),
     Rule("emoticon", rx(r"=\)+|:\){2,}|:>+|;\)+|:D+|>\.<|T_T|:\|+|>_<|:v+|:\*+|<3+")),
     Rule("brackets", rx(r"\(\s*\)"), needs=("(",)),
@@ -103,7 +102,7 @@ _MARKS = (
 )
 _SPACES = Rule("spaces", rx(r" +"), " ")
 
-#: Forum texts: before and after normalisation to NFC, and after lower-casing.
+#: Forum texts, before and after normalisation to NFC, and after lower-casing.
 FORUM_RAW = (
     Rule("quote", rx(r"\[QUOTE\].*?\[/QUOTE\]", "is"), " ", ("[quote]",)),
     Rule("signature", rx(r"Sent from (my )?[a-zA-Z0-9 ]+ using .*", "i"), " ", ("sent from ",)),
@@ -112,7 +111,7 @@ FORUM_RAW = (
     Rule("signature", rx(r"Gửi từ .* bằng .*", "i"), " ", ("gửi từ ",)),
 )
 FORUM_WEB = _WEB
-#: Terms that stay together. Without a suffix the next word is drawn in; `entities(fixed=True)` avoids that.
+#: Terms that stay together. Without a suffix the next word is drawn in; `entities(fixed=True)` avoids that.
 ENTITIES = (
     Rule("unit", rx(r"\b(\d+)\s*(k|vnd|đ|nd|th|st|rd|gb|tb|hz|mhz|p|fps)\b"), "$1$2", ("0",)),
     Rule("inch", rx(r"(?<![-/a-z])\b(\d+)\s*[\"']"), "$1inch ", ("0",)),
@@ -130,20 +129,20 @@ ENTITIES_FIXED = tuple(
 )
 FORUM_MARKS = (_ELLIPSIS, *_MARKS, _SPACES)
 
-#: News texts, after NBSP and quotation marks. The ranges go by code point and hold letters of either case.
+#: News texts, after NBSP and quotation marks. The ranges go by code point and hold letters of either case.
 NEWS = (
     *_WEB, _ELLIPSIS, *_MARKS,
     Rule("sentence_gap", rx(r"(?<=[a-zà-ỹ])\.(?=[A-ZÀ-Ỹ])"), ". "),
     _SPACES,
 )
 
-#: Last polish, after bracket balancing.
+#: Last polish, after bracket balancing.
 POLISH = (Rule("space_before", rx(r"\s+([.?!:;])"), "$1"), Rule("ellipsis", rx(r"\.\s*\.\s*\."), "..."))
 
-#: Paragraphs of web pages.
+#: Paragraphs of web pages.
 PARAGRAPH = (Rule("more", rx(r">>\s*Xem thêm:.*$", "i")), Rule("invite", rx(r"Mời các bạn tham gia.*$", "i")), Rule("spaces", rx(r"\s+"), " "))
 
-#: Around punctuation before word segmentation. The marks of the second rule are deleted; fixed: set apart.
+#: Around punctuation before word segmentation. The marks of the second rule are deleted; fixed: set apart.
 SEGMENT_MARKS = (
     Rule("stops", rx(r"(?<!\d)([.,])(?!\d)"), " $1 "),
     Rule("marks", rx(r"[!?;:()\[\]{}”\"’']"), "  "),

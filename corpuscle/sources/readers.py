@@ -62,6 +62,7 @@ def permissive_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def news_labels(file: Column, prefix: str = "forum_") -> tuple[Column, Column]:
     """Source and domain from names like `site_topic.txt`."""
+    # fixed value: the shape of the names
     shape = r"([a-zA-Z0-9]+)_([a-zA-Z0-9]+)\.txt$"
     known = file.rlike(shape)
     source = F.lower(F.concat(F.lit(prefix), F.regexp_extract(file, shape, 1)))
@@ -70,6 +71,7 @@ def news_labels(file: Column, prefix: str = "forum_") -> tuple[Column, Column]:
 
 def forum_labels(file: Column) -> tuple[Column, Column]:
     """Source and domain from names like `data_site_topic_normalized.txt`."""
+    # fixed value: the shape of the names
     shape = r"^data_([^_]+)_([^_]+)_normalized\.txt$"
     known = file.rlike(shape)
     return (
