@@ -302,7 +302,29 @@ def entity_packaging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return literal_rows(spark, TERMS, "id int, t string").select("id", text.entities(F.col("t")).alias("packed"))
 
 
-@query()
+def sql_words_apart(pattern: str, replacement: str) -> list[tuple[str, str]]:
+    """A pattern between Unicode word bounds, spelt out and twice, as a bound that two neighbours share is used up."""
+    whole = (rf"(^|[^\p{{L}}\p{{N}}_]){pattern}($|[^\p{{L}}\p{{N}}_])", replacement)
+    return [whole, whole]
+
+
+# The forum chain for RE2. Groups count from the bound before, which is the first.
+FORUM_STEPS = [
+    sql_replace("t", (r"(?is)\[QUOTE\].*?\[/QUOTE\]", " "), (r"(?i)Sent from (my )?[a-zA-Z0-9 ]+ using .*", " "), (r"(?i)Sent from .* via .*", " "),
+                (r"(?i)via theNEXTvoz.*", " "), (r"(?i)Gửi từ .* bằng .*", " ")),
+    "nfc_normalize(t)", *WEB_SQL, "lower(t)",
+    sql_replace("t", *sql_words_apart(r"(\d+)\s*(k|vnd|đ|nd|th|st|rd|gb|tb|hz|mhz|p|fps)", r"\1\2\3\4")),
+    sql_replace("t", (r"(^|[^-/\p{L}\p{N}_])(\d+)\s*[\"']".replace('\\"', '"'), r"\1\2inch ")),
+    sql_replace("t", *sql_words_apart(r"(i|r)\s*(\d)\s*[-_]?\s*(\d{4,5})\s*([kxf]{0,2})", r"\1\2\3_\4\5\6")),
+    sql_replace("t", *sql_words_apart(r"(rtx|gtx|rx|hd|gt)\s*[-_]?\s*(\d{3,4})\s*[-_]?\s*(ti|xt|super)", r"\1\2_\3_\4\5")),
+    sql_replace("t", (r"(^|[^\p{L}\p{N}_])(rtx|gtx|rx|hd|gt)\s*[-_]?\s*(\d{3,4})\s*[-_]?\s*\b", r"\1\2_\3")),
+    sql_replace("t", *sql_words_apart(r"(logitech|corsair|fuhlen|mchose|vxe|razer|dareu)\s+([a-z0-9]+)", r"\1\2_\3\4")),
+    sql_replace("t", (r"\.{3,}", "…")), sql_replace("t", (r"\s+([,.:;!?…])", r"\1")), sql_replace("t", AFTER, AFTER), sql_replace("t", (" +", " ")), sql_strip("t"),
+]
+FORUM_SQL = steps_sql("line", FORUM_STEPS, f"SELECT * FROM ({LINES}) WHERE regexp_matches(line, '\\S')")
+
+
+@query(f"SELECT doc_id, line_no, t AS clean FROM (SELECT doc_id, line_no, t, {sql_words('t')} AS w FROM ({FORUM_SQL})) WHERE len(w) >= 4 AND len(list_intersect(w, {KEYS_SQL})) < 2 AND {MOST_SQL} <= 5")
 def forum_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = lines(spark, sf_dir).where(~text.is_blank(F.col("line")))
     plain = text.computed(own.withColumn("plain", udfs.unescape(F.col("line"))), raw=text.rewrite(F.col("plain"), rules.FORUM_RAW))
