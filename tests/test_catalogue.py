@@ -67,3 +67,74 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_bpe_encode_equals_the_library(spark, small):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(catalogue.BPE_FILE)
+    plain.encode_special_tokens = True
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
+    for r in catalogue.QUERIES["bpe_encode"](spark, small).collect():
+        ids = plain.encode(docs[r.doc_id], add_special_tokens=False).ids[:128]
+        assert (r.n, r.md5) == (len(ids), hashlib.md5(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_word_segmentation_joins_the_longest_phrases(spark, small):
+    pairs = {}
+    for r in spark.read.parquet(f"{small}/benchmark.parquet").collect():
+        own = [t for t in re.findall(catalogue.LETTERS, r.text.lower()) if not re.fullmatch("[0-9]+", t)]
+        for pair in zip(own, own[1:], strict=False):
+            pairs[" ".join(pair)] = pairs.get(" ".join(pair), 0) + 1
+    known = {p for p, n in pairs.items() if n > 1}
+    joined = 0
+    for r in catalogue.QUERIES["word_segmentation"](spark, small).collect():
+        words = r.segmented.split()
+        joined += sum("_" in w for w in words)
+        assert all(w.lower().replace("_", " ") in known for w in words if "_" in w)
+        for a, b in zip(words, words[1:], strict=False):  # what stands alone before another word can't be joined with it
+            assert "_" in a or "_" in b or f"{a} {b}".lower() not in known
+    assert joined > 50
+
+
+def test_short_completions_equal_plain_counting(spark, small):
+    counts = {}
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        own = ["<sos>", *r.text.split(), "<eos>"]
+        for a, b in zip(own, own[1:], strict=False):
+            counts.setdefault(a, {}).setdefault(b, 0)
+            counts[a][b] += 1
+    best = {a: sorted((w for w in n if w != "<eos>"), key=lambda w: (-n[w], w)) for a, n in counts.items()}
+    want = set()
+    for start in ("the", "la", "der"):
+        for rank, word in enumerate(best[start][:6], 1):
+            text = [word]
+            for _ in range(3):
+                if not best.get(text[-1]):
+                    break
+                text.append(best[text[-1]][0])
+            want.add((start, rank, " ".join(text)))
+    assert {tuple(r) for r in catalogue.QUERIES["short_completions"](spark, small).collect()} == want
+
+
+def test_polished_lines_are_balanced_and_end(spark, small):
+    lines = {(r.doc_id, r.line_no): r.line for r in catalogue.lines(spark, small).collect()}
+    for r in catalogue.QUERIES["final_polish"](spark, small).collect():
+        depth = 0
+        for c in r.polished:
+            depth += {"(": 1, ")": -1}.get(c, 0)
+            assert depth >= 0
+        kept = lambda t: re.sub(r"[\s().]", "", unicodedata.normalize("NFC", t)).lower()
+        assert depth == 0 and r.polished[-1] in ".?!" and kept(r.polished) == kept(lines[r.doc_id, r.line_no])
+        first = next((c for c in r.polished if not c.isspace()), "")
+        assert first == first.upper() or first.upper().lower() != first
+
+
+def test_beams_follow_the_model_and_keep_their_rules(spark, small):
+    for r in catalogue.QUERIES["beam_search"](spark, small).collect():
+        for ids in (r.by_step, r.by_rank, r.no_pair_twice):
+            assert ids[0] == 2 and len(ids) <= 2 + 4 + 20 and 3 not in ids[1:-1]
+        pairs = list(zip(r.no_pair_twice, r.no_pair_twice[1:], strict=False))
+        assert len(set(pairs)) == len(pairs)
