@@ -16,7 +16,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     and executors run on this machine it is a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         shared = "file://" + tempfile.gettempdir()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
