@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import scratch_path, written
+from corpuscle.llm.common import partitions, scratch_path, written
 
 #: Hidden states.
 STATES = 8
@@ -21,7 +21,9 @@ STATES = 8
 #: CLASSES shapes. Longer words than KEY_BYTES go by their first bytes and a digest, so a key's size is bounded.
 HEAD_WORDS, HEAD_LEAST, CLASSES, KEY_BYTES = 1 << 18, 16, 256, 64
 #: Share of the training rows that each round of Baum-Welch goes over, at every size of the corpus.
-ROUNDS = (1 / 16, 1 / 16, 1 / 16, 1 / 16, 1 / 4, 1 / 4, 1.0, 1.0)
+ROUNDS = (1 / 16, 1 / 16, 1 / 16, 1 / 4, 1.0, 1.0)
+#: Training tokens of a task, about: each hands on a table of all symbols.
+TASK_TOKENS = 8_000_000
 #: Weight, in tokens, of the unigram distribution in each state's emissions.
 PRIOR = 100.0
 #: Tokens of a segment; longer texts are cut, and joined again through their segments' transfer matrices.
@@ -46,6 +48,24 @@ def shape(word: bytes) -> int:
     return xxhash.xxh32_intdigest(word[-2:]) % CLASSES
 
 
+class Symbols(dict):
+    """The symbol of each word: its place among the frequent ones, else one after them for its shape. The latter are
+    remembered up to COUNTED words."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        super().__init__((w, k) for k, w in enumerate(words))
+        self.size, self.rare = len(words), []
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self.rare) >= COUNTED:
+            for w in self.rare:
+                del self[w]
+            self.rare.clear()
+        self.rare.append(word)
+        value = self[word] = self.size + shape(word)
+        return value
+
+
 @dataclass
 class Head:
     """The frequent words, and what the rest amount to."""
@@ -57,8 +77,8 @@ class Head:
     total: int
     distinct: int
 
-    def index(self) -> dict[bytes, int]:
-        return {w: k for k, w in enumerate(self.words)}
+    def index(self) -> Symbols:
+        return Symbols(self.words)
 
     def unigram(self) -> np.ndarray:
         """The symbols' smoothed distribution; a class has half a count for each of its words and one for unknown ones."""
@@ -309,10 +329,10 @@ def head_of(counts: DataFrame, head_words: int) -> Head:
     held, last = best.agg(F.count(F.lit(1)), F.min("n")).first()
     least = HEAD_LEAST if held <= head_words else last + 1
     is_head = (F.col("n") >= least) | (F.length("word") == 0)
-    top = sorted((bytes(r["word"]), r["n"]) for r in counts.where(is_head).select("word", "n").collect())  # head_words at most
+    top = counts.where(is_head).select("word", "n").toArrow().sort_by("word")  # head_words at most
     rest = {r["shape"]: (r["t"], r["w"]) for r in counts.where(~is_head).groupBy("shape").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("w")).collect()}
     by_class = np.array([rest.get(k, (0, 0)) for k in range(CLASSES)], np.int64)
-    return Head([w for w, _ in top], np.array([n for _, n in top], np.int64), by_class[:, 0], by_class[:, 1], total, distinct)
+    return Head(top["word"].to_pylist(), top["n"].to_numpy(), by_class[:, 0], by_class[:, 1], total, distinct)
 
 
 ENCODED = "row long, doc_id {}, held_out boolean, symbols binary, tail array<binary>, times array<int>"
@@ -323,20 +343,13 @@ def encoded(docs: DataFrame, head, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = head.value.index()
-        size, shapes = len(index), {}
+        size = index.size
         for batch in batches:
             symbols, tails, times = [], [], []
             for text in batch.column("text"):
                 words = tokens(text.as_py())
-                own = np.fromiter((index.get(w, -1) for w in words), np.int32, len(words))
-                rare = np.flatnonzero(own < 0)
-                tail = [words[k] for k in rare.tolist()]
-                for w in tail:
-                    if w not in shapes:
-                        if len(shapes) >= COUNTED:
-                            shapes.clear()
-                        shapes[w] = size + shape(w)
-                own[rare] = [shapes[w] if w in shapes else size + shape(w) for w in tail]
+                own = np.fromiter(map(index.__getitem__, words), np.int32, len(words))
+                tail = [words[k] for k in np.flatnonzero(own >= size).tolist()]
                 symbols.append(own.tobytes())
                 once = Counter(tail)
                 tails.append(list(once))
@@ -364,7 +377,7 @@ def gathered(column: pa.Array, limit: int = 4 * CHUNK) -> Iterator[tuple[slice,
             at, size = k + 1, 0
 
 
-def summed(parts: DataFrame, fans: int) -> list:
+def summed(parts: DataFrame, fans: int) -> pa.Table:
     """Adds up rows (block, fan, task, data) with equal blocks in the order of tasks, so that reruns agree, and first by
     fan, so no task gathers more than the root of all."""
 
@@ -375,7 +388,7 @@ def summed(parts: DataFrame, fans: int) -> list:
         return pa.table({"block": rows["block"][:1], "fan": pa.array([0], pa.int32()), "task": rows["task"][:1], "data": pa.array([total.tobytes()], pa.binary())})
 
     once = parts.groupBy("block", "fan").applyInArrow(add, SUMS) if fans > 1 else parts
-    return once.groupBy("block").applyInArrow(add, SUMS).collect()  # states + head words, whatever the corpus
+    return once.groupBy("block").applyInArrow(add, SUMS).toArrow()  # states x head words, whatever the corpus
 
 
 SUMS = "block int, fan int, task int, data binary"
@@ -406,8 +419,9 @@ def whole_round(data: DataFrame, model: Model, unigram: np.ndarray) -> Model:
                 names=["block", "fan", "task", "data"],
             )
 
-    got = {r["block"]: np.frombuffer(r["data"], np.float64) for r in summed(data.mapInArrow(run, SUMS), fans)}
-    held.unpersist()
+    table = summed(data.mapInArrow(run, SUMS), fans)
+    got = {b: np.frombuffer(x.as_buffer(), np.float64) for b, x in zip(table["block"].to_pylist(), table["data"], strict=True)}
+    held.destroy()
     k = len(model.start)
     if not got:
         return model
@@ -455,7 +469,8 @@ def score(
     few = max((r for r in rounds if r < 1), default=0)
     part = written(data.where(~F.col("held_out") & (place < int(span * few))).select(place.alias("place"), "symbols"), "symbols-part") if few else None
     for share in rounds if top.total else ():
-        model = whole_round(learn if share >= 1 else part.where(F.col("place") < int(span * share)).select("symbols"), model, unigram)
+        own = learn if share >= 1 else part.where(F.col("place") < int(span * share)).select("symbols")
+        model = whole_round(own.coalesce(partitions(spark, int(top.total * share) + 1, TASK_TOKENS)), model, unigram)
     size, learned = len(top.words), bool(top.total)
     held = spark.sparkContext.broadcast(model)
     # of a head word the logarithm of its smoothed count; of a shape's words that comes by the join, here is their share's divisor
