@@ -23,6 +23,8 @@ EPSILON, REACH = 2.4, 4.0
 SAMPLE_ROWS, CELL_ROWS = 16_384, 1024
 #: Rows that a task holds, of one cell or of several, and queries of a block of queries.
 BLOCK_ROWS, BLOCK_QUERIES = 65_536, 16_384
+#: Estimates that a task makes: a part's queries are dealt to so many tasks that none has many more.
+TASK_ESTIMATES = 1 << 24
 
 
 @dataclass
@@ -136,7 +138,7 @@ def matrix(column: pa.ChunkedArray | pa.ListArray, dim: int) -> np.ndarray:
     return np.asarray(flat.flatten(), np.float64).reshape(-1, dim)
 
 
-ASKED = "query_id long, v array<double>, floor double, part int, cells array<int>"
+ASKED = "query_id long, v array<double>, floor double, part int, cells array<int>, rows long"
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -228,7 +230,10 @@ def search(
             out = batch.take(pa.array(query[start]))
             floors = pa.array(np.full(len(start), -np.inf)) if first else out.column("floor")
             cells = pa.ListArray.from_arrays(pa.array(np.r_[start, len(query)].astype(np.int32)), pa.array(cell.astype(np.int32)))
-            yield pa.record_batch([out.column("vec_id"), out.column("v"), floors, pa.array(part[start]), cells], names=["query_id", "v", "floor", "part", "cells"])
+            asked = pa.array(np.add.reduceat(count[cell], start) if len(start) else start)
+            yield pa.record_batch(
+                [out.column("vec_id"), out.column("v"), floors, pa.array(part[start]), cells, asked], names=["query_id", "v", "floor", "part", "cells", "rows"]
+            )
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         found = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
@@ -247,8 +252,10 @@ def search(
     cells = F.broadcast(spark.createDataFrame(list(enumerate(part_of.tolist())), "cell int, part int"))  # a row per cell
 
     def met(asked: DataFrame) -> DataFrame:
-        turns = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect()}  # a row per part
-        plan = [(p, partitions(spark, int(rows_of[p]), block_rows), partitions(spark, q, block_queries)) for p, q in turns.items()]
+        plan = []
+        for r in asked.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")).collect():  # a row per part
+            blocks = partitions(spark, int(rows_of[r["part"]]), block_rows)
+            plan.append((r["part"], blocks, max(partitions(spark, r["n"], block_queries), partitions(spark, r["rows"], TASK_ESTIMATES * blocks))))
         plan = F.broadcast(spark.createDataFrame(plan, "part int, blocks int, turns int"))  # a row per part
         deal = lambda c, count: F.pmod(F.xxhash64(c, F.lit(1)), count).cast("int")
         every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
