@@ -10,9 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The white space of the word and equality rules, as a regular-expression class body.
+#: Fixed value: the white space of the word and equality rules, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
-WORD = rf"[^{SPACE}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpuscle-"))
     return sc.getCheckpointDir().rstrip("/")
