@@ -575,22 +575,26 @@ def verified(one: np.ndarray, two: np.ndarray, least: int, similar: float) -> li
     share = 2 * similar / (1 + similar)  # of both sides' shingles, when both have as many
     shares = (share, (1 + share) / 2, 1.0)  # stricter where a stretch that matches well enough pairs with one that doesn't
     out, open_ = [], [(0, len(one), 0)]
+    first, second = one.tolist(), two.tolist()  # the ranges are short, so sets beat sorting
+    among = lambda values, known: np.fromiter(map(known.__contains__, values), bool, len(values))
+    whole = among(first, set(second))
     while open_:
         low, high, level = open_.pop()
         if high - low < least:
             continue
-        match = np.isin(one[low:high], two)
+        match = whole[low:high]
         i, j = longest(match, shares[level])
         if j - i < least:
             continue
         i, j = (low + x for x in trimmed(match, i, j, least))
-        other = np.isin(two, one[i:j])
+        x = set(first[i:j])
+        other = among(second, x)
         p, q = longest(other, shares[level])
         alike = 0.0
         if q - p >= least:
             p, q = trimmed(other, p, q, least)
-            x, y = np.unique(one[i:j]), np.unique(two[p:q])
-            both = len(np.intersect1d(x, y, assume_unique=True))
+            y = set(second[p:q])
+            both = len(x & y)
             alike = both / (len(x) + len(y) - both)
         if alike >= similar:
             out.append(((i, j, *ends(match[i - low : j - low], i)), (p, q, *ends(other[p:q], p)), alike))
@@ -623,16 +627,15 @@ def slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
         for batch in batches:
-            for row, text, ranges in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("ranges").to_pylist(), strict=True):
-                own = (shingles(text.as_py(), seen) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                n = len(ranges)
-                yield pa.record_batch(
-                    [
-                        pa.array([row] * n, pa.int64()), pa.array([x["l"] for x in ranges], pa.int32()), pa.array([x["r"] for x in ranges], pa.int32()),
-                        pa.array([own[x["l"] : x["r"] + 1].tobytes() for x in ranges], pa.binary()),
-                    ],
-                    names=["row", "l", "r", "part"],
-                )
+            ranges, parts = batch.column("ranges"), []
+            ends = ranges.offsets.to_numpy()
+            low, high = (ranges.values.field(k).to_numpy(zero_copy_only=False)[ends[0] : ends[-1]] for k in (0, 1))
+            for k, text in enumerate(batch.column("text")):
+                own = (shingles(text.as_py(), seen) >> np.uint64(32)).astype(np.uint32).tobytes()
+                mine = slice(ends[k] - ends[0], ends[k + 1] - ends[0])
+                parts += [own[4 * x : 4 * (z + 1)] for x, z in zip(low[mine].tolist(), high[mine].tolist(), strict=True)]
+            rows = np.repeat(batch.column("row").to_numpy(), np.diff(ends))
+            yield pa.record_batch([pa.array(rows), pa.array(low), pa.array(high), pa.array(parts, pa.binary())], names=["row", "l", "r", "part"])
 
     picked = docs.select("row", "text").mapInArrow(pick, "row long, text string")
     joined = picked.join(per_row, "row").dropDuplicates(["row"]).select("row", "text", "ranges")
