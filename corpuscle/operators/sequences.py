@@ -26,17 +26,28 @@ def shift(ids: Column) -> tuple[Column, Column]:
 
 def blocks(df: DataFrame, order: str, ids: str, length: int = 128, batch: int = 1000) -> DataFrame:
     """(batch, block, input_ids, attention_mask, labels): rows in batches of `batch` by the rank of `order`, their
-    indices joined and cut into blocks; what is left over of a batch is dropped. Ranks come from a range sort and
-    the sizes of its partitions, not from one window over all rows; order values must differ."""
-    ranked = ranks(df.select(order, ids), order)
-    own = ranked.withColumn("batch", F.floor((F.col("rank") - 1) / batch))
-    joined = own.groupBy("batch").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", ids))), lambda r: r[ids])).alias("all")
-    )
-    whole = F.floor(F.size("all") / length).cast("int")
-    cut = joined.where(whole > 0).select("batch", "all", F.explode(F.sequence(F.lit(0), whole - 1)).alias("block"))
-    block = F.slice(F.col("all"), F.col("block") * length + 1, F.lit(length))
-    return cut.select("batch", "block", block.alias("input_ids"), F.array_repeat(F.lit(1), length).alias("attention_mask"), block.alias("labels"))
+    indices joined and cut into blocks; what is left over of a batch is dropped; null indices count as none. Ranks come
+    from a range sort and the sizes of its partitions, not from one window over all rows; order values must differ.
+
+    No task holds a batch: each row is cut where blocks end, by the number of indices before it in its batch, and a
+    block is put together from its pieces."""
+    n = F.when(F.col(ids).isNull(), 0).otherwise(F.size(ids)).cast("long")
+    ranked = ranks(df.select(order, ids, n.alias("n")), order).withColumn("batch", F.floor((F.col("rank") - 1) / batch))
+    before = Window.partitionBy("batch").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranked.select("rank", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), "batch")  # `batch` narrow rows at a time
+    own = ranked.where("n > 0").join(starts.drop("batch"), "rank")
+
+    def piece(block: Column) -> Column:
+        low = F.greatest(block * length - F.col("start"), F.lit(0))
+        high = F.least((block + 1) * length - F.col("start"), F.col("n"))
+        return F.struct(block.alias("block"), F.slice(ids, (low + 1).cast("int"), (high - low).cast("int")).alias("part"))
+
+    first, last = F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("n") - 1) / length)
+    cut = own.select("batch", "rank", F.inline(F.transform(F.sequence(first, last), piece)))
+    parts = F.array_sort(F.collect_list(F.struct("rank", "part")))  # `length` indices at most
+    joined = cut.groupBy("batch", "block").agg(F.flatten(F.transform(parts, lambda p: p["part"])).alias("input_ids"))
+    ones = F.array_repeat(F.lit(1), length).alias("attention_mask")
+    return joined.where(F.size("input_ids") == length).select("batch", F.col("block").cast("int"), "input_ids", ones, F.col("input_ids").alias("labels"))
 
 
 def ranks(df: DataFrame, order: str, name: str = "rank") -> DataFrame:

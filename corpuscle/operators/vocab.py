@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions.text import words
 from corpuscle.operators.sequences import ranks
 
+#: Texts whose words are looked up at once.
+TOGETHER = 1000
 #: Indices of the special words.
 PAD, UNK, SOS, EOS = 0, 1, 2, 3
 SPECIALS = {"<pad>": PAD, "<unk>": UNK, "<sos>": SOS, "<eos>": EOS}
@@ -29,14 +36,30 @@ def build(df: DataFrame, text: str, least: int = 3, most: int = 30_000) -> DataF
 
 def encode(df: DataFrame, id: list[str], text: str, vocab: DataFrame, marks: bool = True) -> DataFrame:
     """(id..., ids): indices of the words, unknown ones as UNK, between SOS and EOS if marks. Blank texts have no
-    words. The vocabulary is capped when it is built, so it is small beside the texts; Spark broadcasts it by its size."""
-    own = df.select(*id, F.posexplode_outer(words(F.col(text))).alias("pos", "word"))
-    found = own.join(vocab.select("word", "idx"), "word", "left")
-    pair = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("idx", F.lit(UNK)).alias("idx")))
-    ids = F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["idx"])
+    words; texts of one id go together word by word. The vocabulary is capped when it is built, so it goes to the
+    tasks as a table; words are looked up where they are read, and only their indices are shuffled, by id."""
+    known = vocab.select("word", F.col("idx").cast("int")).toArrow()  # as many rows as the vocabulary may have
+    held = df.sparkSession.sparkContext.broadcast((known["word"].to_pylist(), known["idx"].to_numpy()))
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in id)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, index = held.value
+        for whole in batches:
+            for batch in (whole.slice(at, TOGETHER) for at in range(0, whole.num_rows, TOGETHER)):
+                own = batch.column(len(id))
+                sizes = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)
+                words_ = own.flatten()
+                place = pc.fill_null(pc.index_in(words_, value_set=pa.array(listed, words_.type)), -1).to_numpy(zero_copy_only=False)
+                values = np.append(index, np.int32(UNK))[place].astype(np.int32)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                yield pa.record_batch([*batch.columns[: len(id)], pa.ListArray.from_arrays(ends, pa.array(values))], names=[*id, "ids"])
+
+    looked_up = df.select(*id, words(F.col(text)).alias("__words")).mapInArrow(run, f"{kinds}, ids array<int>")
+    each = F.transform(F.col("__all"), lambda a: F.transform(a, lambda x, k: F.struct(k.alias("pos"), x.alias("idx"))))
+    ids = F.when(F.size("__all") == 1, F.col("__all")[0]).otherwise(F.transform(F.array_sort(F.flatten(each)), lambda p: p["idx"]))
     if marks:
         ids = F.concat(F.array(F.lit(SOS)), ids, F.array(F.lit(EOS)))
-    return found.groupBy(*id).agg(ids.alias("ids"))
+    return looked_up.groupBy(*id).agg(F.collect_list("ids").alias("__all")).select(*id, ids.alias("ids"))
 
 
 def decode(df: DataFrame, id: list[str], ids: str, vocab: DataFrame, skip: tuple[int, ...] = (SOS, EOS, PAD)) -> DataFrame:

@@ -90,6 +90,17 @@ def test_vocabulary_round_trip(spark):
     assert [r.label for r in vocab.class_index(df, "t").orderBy("t").collect()] == [0, 1, 2, 3]
 
 
+def test_encoding_looks_words_up_where_they_are(spark):
+    """Before, a row for each word was shuffled to the vocabulary and back. Texts of one id go word by word, as before."""
+    df = spark.createDataFrame([(1, "a zz b"), (1, "b"), (2, None), (None, " \u00a0 "), (3, "b\u2003a b\x1cq")], "id int, t string")
+    words = spark.createDataFrame([("a", 7), ("b", 9), ("b\x1cq", 11)], "word string, idx int")
+    got = vocab.encode(df, ["id"], "t", words)
+    assert {r.id: r.ids for r in got.collect()} == {1: [2, 7, 9, 1, 9, 3], 2: [2, 3], None: [2, 3], 3: [2, 9, 7, 11, 3]}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    assert vocab.encode(df.where("false"), ["id"], "t", words, marks=False).count() == 0
+
+
 def test_windows_and_blocks(spark):
     df = spark.createDataFrame([(k, list(range(k))) for k in (0, 3, 4, 5, 9)], "id int, ids array<int>")
     got = sequences.sliding(df, ["id"], "ids", 3).collect()
@@ -107,6 +118,25 @@ def test_windows_and_blocks(spark):
     assert list(row) == [[0, 1, 2, 3, 4, 0, 0], [0, 1], [2, 3, 4], [2, 3], [], [1], [0, 1, 2, 3], [1, 2, 3, 4]]
 
 
+def test_blocks_of_a_large_batch(spark):
+    """Before, each block carried its whole batch along, and a row without indices took its batch with it."""
+    sizes = [None if k % 97 == 5 else (k * 7919) % 9001 for k in range(400)]
+    df = spark.createDataFrame([(k, n) for k, n in enumerate(sizes)], "id int, n int")
+    df = df.select("id", F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(1), F.col("n")), lambda x: F.col("id") * 10_000 + x)).alias("ids"))
+    got = sequences.blocks(df, "id", "ids", 128, batch=150)
+    nodes = [got._jdf.queryExecution().optimizedPlan()]
+    for node in nodes:
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+    carried = [n.requiredChildOutput().mkString(",") for n in nodes if n.nodeName() == "Generate"]
+    assert carried and not any("ids#" in c or "all#" in c for c in carried)
+    expected = set()
+    for at in range(0, 400, 150):
+        ids = [k * 10_000 + x for k in range(at, min(at + 150, 400)) for x in range(1, (sizes[k] or 0) + 1)]
+        expected |= {(at // 150, k, sum(ids[128 * k : 128 * k + 128])) for k in range(len(ids) // 128)}
+    rows = got.select("batch", "block", F.aggregate("input_ids", F.lit(0).cast("long"), lambda s, x: s + x), F.size("labels"), F.size("attention_mask")).collect()
+    assert len(rows) == len(expected) and {tuple(r)[:3] for r in rows} == expected and all(tuple(r)[3:] == (128, 128) for r in rows)
+
+
 def test_ranks(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"))
     got = sequences.ranks(df, "k").orderBy("k").collect()
