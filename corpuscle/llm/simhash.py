@@ -1,7 +1,8 @@
 """SimHash near-dedup: Golay-code fuzzy hashing of 64-bit fingerprints.
 
-near_groups() links fingerprints of four-word shingles by their distance alone. copies() takes bands of min-hashes of
-five-word shingles as candidates and verifies them on the shingles; it is what drops near copies from a corpus.
+near_groups() links fingerprints of four-word shingles by their distance alone. copies() is what drops near copies from a
+corpus: it takes the same links of fingerprints as candidates, adds those that share a band of min-hashes of five-word
+shingles, which fingerprints further apart may, and verifies all on the shingles.
 """
 
 from __future__ import annotations
@@ -426,14 +427,26 @@ def crowded_links(rows: DataFrame, parts: DataFrame, similar: float) -> DataFram
     return joined.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def print_pairs(rows: DataFrame) -> DataFrame:
+    """(row, simhash) -> pairs (a, b) of rows that fingerprints link: each row and the first of its fingerprint, and the first
+    rows of linked fingerprints."""
+    firsts = cut(rows.groupBy("simhash").agg(F.min("row").alias("first")), narrow=True)
+    own = rows.join(firsts, "simhash").where("row <> first").selectExpr("first a", "row b")
+    near = near_links(firsts.selectExpr("simhash print")).distinct()
+    for side in "ab":
+        near = near.join(firsts.selectExpr(f"simhash {side}", f"first row_{side}"), side)
+    return own.unionByName(near.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")))
+
+
 def copies(docs: DataFrame, row: str, text: str = "text", id: str = "doc_id", similar: float = 0.8) -> DataFrame:
     """The rows, by their column `row`, that another one of their group replaces: the one with the smallest id stays, and
     rows that are equal to it in id and text. A group is what is linked by a Jaccard similarity of `similar` or more of
     five-word shingle sets.
 
-    Documents with equal sets are linked to the first of them, which stands for all. All pairs of others that share a band
-    of min-hashes are compared on their sets, those of crowded bands inside one task or a pair of blocks, except pairs
-    that are linked already. Null texts count as empty; texts without words are alike; null ids come last.
+    Documents with equal sets are linked to the first of them, which stands for all. Those that SimHash fingerprints of
+    MOST differing bits or fewer link are compared on their sets. So are all pairs that share a band of min-hashes, those
+    of crowded bands inside one task or a pair of blocks, except pairs that are linked already: a block of text that is
+    added or cut off moves more bits than MOST at a similarity of 0.8. Null texts count as empty; texts without words are alike; null ids come last.
     """
     docs = named(docs.select(F.col(row).alias("place"), F.col(id).alias("doc_id"), F.col(text).alias("text")), "text", "row")
     kinds = {c: docs.schema[c].dataType.simpleString() for c in ("place", "doc_id")}
@@ -441,20 +454,21 @@ def copies(docs: DataFrame, row: str, text: str = "text", id: str = "doc_id", si
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
         for batch in batches:
-            size, print_, keys = [], [], []
+            size, print_, keys, bits = [], [], [], []
             for text in batch.column("text"):
                 own = shingle_set(text.as_py(), seen)
                 size.append(len(own))
                 print_.append(xxhash.xxh64_intdigest(own.tobytes()))
                 keys.append(band_keys(own))
+                bits.append(fingerprint(text.as_py()))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
             prints = pa.array(np.array(print_, np.uint64).view(np.int64))
             yield pa.record_batch(
-                [batch.column("place"), batch.column("doc_id"), batch.column("row"), pa.array(size, pa.int32()), prints, lists],
-                names=["place", "doc_id", "row", "size", "print", "keys"],
+                [batch.column("place"), batch.column("doc_id"), batch.column("row"), pa.array(size, pa.int32()), prints, pa.array(np.array(bits, np.uint64).view(np.int64)), lists],
+                names=["place", "doc_id", "row", "size", "print", "simhash", "keys"],
             )
 
-    shape = f"place {kinds['place']}, doc_id {kinds['doc_id']}, row long, size int, print long, keys array<long>"
+    shape = f"place {kinds['place']}, doc_id {kinds['doc_id']}, row long, size int, print long, simhash long, keys array<long>"
     rows = written(docs.select("place", "doc_id", "row", "text").mapInArrow(run, shape), "bands", narrow=True)
     files = partitions(docs.sparkSession, rows.count(), FILE_ROWS)
     firsts = cut(rows.groupBy("print", "size").agg(F.min("row").alias("first")), narrow=True)
@@ -463,7 +477,8 @@ def copies(docs: DataFrame, row: str, text: str = "text", id: str = "doc_id", si
     keyed = lone.select(F.explode("keys").alias("key"), "row", "size")
     dealt = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: buckets(batches, similar), LINKS)
     found = cut(dealt.distinct(), narrow=True)
-    pairs = found.where("a is not null").select("a", "b")
+    bits = rows.select("row", "simhash").join(firsts.selectExpr("first row"), "row").dropDuplicates(["row"])
+    pairs = cut(print_pairs(bits).unionByName(found.where("a is not null").select("a", "b")).distinct(), narrow=True)
     crowded = cut(keyed.join(found.where("crowded is not null").selectExpr("crowded key"), "key", "left_semi"), narrow=True)
     wanted = cut(pairs.selectExpr("a row").unionByName(pairs.selectExpr("b row")).unionByName(crowded.select("row")).unionByName(twins.selectExpr("a row")).unionByName(twins.selectExpr("b row")).distinct(), narrow=True)
     parts = shingle_sets(docs, wanted)

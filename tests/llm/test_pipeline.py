@@ -1,6 +1,8 @@
+import os
 import random
 import re
 
+import numpy as np
 import pytest
 
 from corpuscle.llm import packing, simhash
@@ -106,6 +108,26 @@ def test_near_copies_with_block_edits(spark):
     assert left == set(range(0, len(rows), 2))
 
 
+def test_near_copies_by_fingerprints(spark, monkeypatch):
+    """Fingerprints of four bits or fewer apart lead to a comparison without any common band, and a comparison decides."""
+    monkeypatch.setattr(simhash, "band_keys", lambda own: np.frombuffer(os.urandom(8 * simhash.BANDS), np.int64))
+    rng = random.Random(11)
+    rows, far = [], 0
+    while len(rows) < 60:
+        words = [f"w{rng.randrange(5000)}" for _ in range(900)]
+        other = words[:450] + ["other"] + words[451:]
+        apart = (simhash.fingerprint(" ".join(words)) ^ simhash.fingerprint(" ".join(other))).bit_count()
+        if 0 < apart <= simhash.MOST:
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    for lead in ("x", "y"):  # one shingle that is repeated makes the fingerprint, the sets are dissimilar
+        rows.append((1000 + far, " ".join(["same"] * 4000 + [f"{lead}{k}" for k in range(300)])))
+        far += 1
+    prints = [simhash.fingerprint(t) for _, t in rows[-2:]]
+    assert (prints[0] ^ prints[1]).bit_count() <= simhash.MOST
+    left = {r.doc_id for r in simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {*range(0, 60, 2), 1000, 1001}
+
+
 def test_near_copies_inside_template_families(spark):
     """Families of one set of long words, and of a common half: near copies meet though the others are dissimilar."""
     rng = random.Random(6)
