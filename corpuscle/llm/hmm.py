@@ -342,27 +342,38 @@ def encoded(docs: DataFrame, head, kind: str) -> DataFrame:
     """Symbols (32-bit) of each text, and its words outside the head, each once, with their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = head.value.index()
-        size = index.size
-        for batch in batches:
-            symbols, tails, times = [], [], []
-            for text in batch.column("text"):
-                words = tokens(text.as_py())
-                own = np.fromiter(map(index.__getitem__, words), np.int32, len(words))
-                tail = [words[k] for k in np.flatnonzero(own >= size).tolist()]
-                symbols.append(own.tobytes())
-                once = Counter(tail)
-                tails.append(list(once))
-                times.append(list(once.values()))
+        return encoded_batches(batches, head.value.index())
+
+    return docs.select("row", "doc_id", "held_out", "text").mapInArrow(run, ENCODED.format(kind))
+
+
+def encoded_batches(batches: Iterator[pa.RecordBatch], index: Symbols) -> Iterator[pa.RecordBatch]:
+    """Rows as ENCODED, handed on as soon as they have CHUNK tokens, so neither side of the pipe holds a whole batch of them."""
+    size = index.size
+    for batch in batches:
+        at, held = 0, 0
+        symbols, tails, times = [], [], []
+        for k, text in enumerate(batch.column("text")):
+            words = tokens(text.as_py())
+            own = np.fromiter(map(index.__getitem__, words), np.int32, len(words))
+            tail = [words[k] for k in np.flatnonzero(own >= size).tolist()]
+            symbols.append(own.tobytes())
+            once = Counter(tail)
+            tails.append(list(once))
+            times.append(list(once.values()))
+            held += len(words)
+            if held < CHUNK and k + 1 < batch.num_rows:
+                continue
+            part = batch.slice(at, k + 1 - at)
             yield pa.record_batch(
                 [
-                    batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(symbols, pa.binary()),
+                    part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(symbols, pa.binary()),
                     pa.array(tails, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32())),
                 ],
                 names=["row", "doc_id", "held_out", "symbols", "tail", "times"],
             )
-
-    return docs.select("row", "doc_id", "held_out", "text").mapInArrow(run, ENCODED.format(kind))
+            at, held = k + 1, 0
+            symbols, tails, times = [], [], []
 
 
 def gathered(column: pa.Array, limit: int = 4 * CHUNK) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,17 @@ def test_odd_rows(spark):
     assert hmm.score(docs.where("false"), langid.held_out(F.col("doc_id"), 5, 1)).count() == 0
     none = hmm.score(docs, F.lit(True)).collect()
     assert all(r.score == r.base_score and r.n_known == r.train_tokens == 0 for r in none)
+
+
+def test_encoded_rows_are_handed_on_by_their_tokens(monkeypatch):
+    """Before, all rows of a batch were held until the last one was encoded, however long their texts."""
+    monkeypatch.setattr(hmm, "CHUNK", 10)
+    texts = ["a b a", None, "a q q", "b " * 30, "a", ""]
+    batch = pa.record_batch([pa.array(range(6)), pa.array(range(10, 16)), pa.array([False] * 6), pa.array(texts)], names=["row", "doc_id", "held_out", "text"])
+    out = list(hmm.encoded_batches(iter([batch, batch.slice(0, 0)]), hmm.Symbols([b"", b"a", b"b"])))
+    assert [b.num_rows for b in out] == [4, 2] and [r for b in out for r in b.column("row").to_pylist()] == list(range(6))
+    got = [np.frombuffer(x.as_buffer(), np.int32).tolist() for b in out for x in b.column("symbols")]
+    rare = 3 + hmm.shape(b"q")
+    assert got == [[1, 2, 1, 0], [0], [1, rare, rare, 0], [2] * 30 + [0], [1, 0], [0]]
+    assert [x for b in out for x in b.column("tail").to_pylist()] == [[], [], [b"q"], [], [], []]
+    assert [x for b in out for x in b.column("times").to_pylist()] == [[], [], [2], [], [], []]
