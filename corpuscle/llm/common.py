@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -60,6 +61,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are done; else they stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes a table that written() made, once nothing reads it any more, and shuffle files with it."""
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        drop_path(table.sparkSession, folder)
+    freed(table.sparkSession)
+
+
 #: Rows of a narrow table (a few dozen bytes each) up to which a join's side is broadcast.
 SMALL_ROWS = 500_000
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import cut, named, partitions, written
+from corpuscle.llm.common import cut, dropped, freed, named, partitions, written
 from corpuscle.llm.components import components
 from corpuscle.llm.urlfilter import BlockedBloom
 
@@ -686,8 +686,10 @@ def passages(
     docs = named(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), "text", "row")
     names = written(docs.select("row", "doc_id").distinct(), "names", narrow=True)
     found = written(linked(windows(docs, least)), "window-links")
+    freed(docs.sparkSession)
     files = partitions(docs.sparkSession, found.count(), FILE_WINDOWS)
     near = cut(regions(found.where(F.col("kind") == EDGE), least).repartition(files))
+    freed(docs.sparkSession)
     snap = lambda c, up: ((F.floor(F.col(c) / GRAIN) + up) * GRAIN - up).cast("int")
     pairs = near.select("*", snap("a1", 0).alias("al"), snap("a2", 1).alias("ar"), snap("b1", 0).alias("bl"), snap("b2", 1).alias("br"))
     low, high = F.greatest("al", F.col("ac") - (least - 1)).alias("low"), F.least("ar", F.col("ac") + (least - 1)).alias("high")
@@ -695,14 +697,18 @@ def passages(
     crowd = crowd.select("*", snap("low", 0).alias("al"), snap("high", 1).alias("ar"))
     wanted = pairs.selectExpr("a row", "al l", "ar r").unionByName(pairs.selectExpr("b row", "bl l", "br r")).unionByName(crowd.selectExpr("row", "al l", "ar r"))
     parts = written(slices(docs, wanted.distinct()).repartition(files), "slices")
-    shared = checked(pairs, parts, least, similar).unionByName(crowded_passages(crowd, parts, least, similar))
-    shared = cut(shared.distinct().coalesce(files))
+    freed(docs.sparkSession)
+    shared = cut(checked(pairs, parts, least, similar).coalesce(files))  # one after the other: their shuffles don't add up on disk
+    freed(docs.sparkSession)
+    shared = cut(shared.unionByName(crowded_passages(crowd, parts, least, similar)).distinct().coalesce(files))
+    dropped(parts)
     many = names.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row")
     copies = found.where(F.col("kind") == LENGTH).selectExpr("a row", "0 s", "ar e", "1D similarity").join(many, "row", "left_semi")
     side = lambda k: shared.selectExpr(f"{k} row", f"{k}1 s", f"{k}2 e", f"{k}3 s_own", f"{k}4 e_own", "similarity")
     sides = side("a").unionByName(side("b")).unionByName(copies.selectExpr("*", "s s_own", "e e_own"))
     spans = sides.groupBy("row", "s", "e").agg(F.min("s_own").alias("s_own"), F.max("e_own").alias("e_own"), F.max("similarity").alias("similarity"))
     united = cut(unite(spans).coalesce(files))
+    dropped(found)
     nodes = cut(united.select("row", "first").distinct().coalesce(files).withColumn("node", F.monotonically_increasing_id()))
     united = cut(united.join(nodes, ["row", "first"]).coalesce(files))
     ends = united.select("row", "s", "e", "node")

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -225,3 +226,18 @@ def test_near_repeats_against_brute_force(spark):
     assert {r.doc_id for r in got} <= linked  # no document without a repeat
     for c in classes.values():  # and each is linked inside its class
         assert all(any(frozenset((a, b)) in {frozenset(p) for p in want} for b in c if b != a) for a in c)
+
+
+def test_scratch_tables_go_once_they_are_used(spark):
+    """Before, the windows' links and the slices of texts stayed on disk until the driver ended."""
+    from corpuscle.llm.common import shared_dir
+
+    passage = " ".join(f"w{k}" for k in range(80))
+    docs = spark.createDataFrame([(k, " ".join(f"a{k}x{i}" for i in range(60)) + " " + passage) for k in range(4)], "doc_id long, text string")
+    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rows = windows.passages(docs).collect()
+    assert sorted(r.doc_id for r in rows) == [0, 1, 2, 3] and {r.class_size for r in rows} == {4}
+    left = {x.partition("-")[0] for x in set(os.listdir(folder)) - before}
+    assert "names" in left and not left & {"window", "slices"}
+    assert windows.passages(docs.where("false")).count() == 0
